@@ -15,6 +15,7 @@ itself; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,39 +34,89 @@ VOCABULARY = "word_bpe_49k.json"
 WINDOW = 2048
 END = 1
 OPEN_WINDOWS = 4096
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 1_200_000
 SCHEMA = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 #: White space as the tokenizer sees it; str.split() would also split at the four separators in ODD.
 SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 ODD = re.compile("[\x1c-\x1f]")
+#: Up to here a character has one lower-case form and stands composed, so a text may be lowered before it is split.
+BEYOND_LATIN = re.compile("[^\0-\u012f]")
+#: Where no other symbol stands next to a full stop or comma, each of them is a token of its own.
+CROWDED = re.compile(r"[.,](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,]")
+CHUNK_CHARS = 2_000_000
+
+
+class Codes(dict):
+    """Numbers words in order of first sight."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        n = self[word] = len(self)
+        return n
 
 
 class WordEncoder:
-    """Ids of whole texts from the ids of their words: no token of this vocabulary crosses white space."""
+    """Ids of whole texts from the ids of their words: no token of this vocabulary crosses white space.
+
+    The ids of the words met so far lie one after the other in ``flat``; a text is a gather over it.
+    The memo is emptied when it is full, which changes no result.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def learn(self, new: list[str]) -> dict[str, tuple[int, ...]]:
-        found = {w: tuple(e.ids) for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False))}
-        if len(self.memo) + len(found) > MEMO_ENTRIES:
-            self.memo.clear()
-        self.memo.update((w, ids) for w, ids in found.items() if len(w) <= 64)
-        return found
-
-    def encode(self, text: str) -> np.ndarray:
-        words = SPACES.split(text) if ODD.search(text) else text.split()
-        new = {w for w in words if w not in self.memo}
-        memo = self.memo
-        if new:
-            known = {w: memo[w] for w in words if w not in new}
-            memo = known | self.learn(sorted(new))
-        return np.fromiter(chain(chain.from_iterable(map(memo.__getitem__, words)), (END,)), dtype="<u4")
+        self.forget()
+
+    def forget(self) -> None:
+        self.code = Codes()
+        self.flat = np.empty(0, "<u4")
+        self.starts = np.empty(0, np.int64)
+        self.sizes = np.empty(0, np.int64)
+
+    def learn(self) -> None:
+        """Encode the words that got a number since the last call."""
+        new, self.code.new = self.code.new, []
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)] if new else []
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), "<u4", int(sizes.sum()))])
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        if ODD.search(text):
+            return [w for w in SPACES.split(text) if w]
+        if BEYOND_LATIN.search(text):
+            return text.split()
+        low = text.lower()
+        return (low if CROWDED.search(low) else low.replace(".", " . ").replace(",", " , ")).split()
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, with the end mark."""
+        if len(self.code) > MEMO_ENTRIES:
+            self.forget()
+        number = self.code.__getitem__
+        numbered = []
+        for text in texts:
+            words = self.words(text)
+            numbered.append(np.fromiter(map(number, words), np.int64, len(words)))
+        self.learn()
+        for codes in numbered:
+            sizes = self.sizes[codes]
+            ends = np.cumsum(sizes)
+            n = int(ends[-1]) if len(ends) else 0
+            ids = np.empty(n + 1, "<u4")
+            ids[:n] = self.flat[np.repeat(self.starts[codes] - ends + sizes, sizes) + np.arange(n)]
+            ids[n] = END
+            yield ids
 
 
 @lru_cache(maxsize=4)
@@ -178,9 +229,11 @@ def pack(documents: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDO
         encode = encoder(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)).encode
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                packer.add(None if doc is None or doc != doc else doc, encode(text))
-            yield pd.DataFrame(packer.take(), columns=columns)
+            lengths = batch["text"].str.len().cumsum()
+            for _, chunk in batch.groupby(lengths // CHUNK_CHARS):
+                for doc, ids in zip(chunk["doc_id"], encode(chunk["text"].tolist())):
+                    packer.add(None if doc != doc else doc, ids)
+                yield pd.DataFrame(packer.take(), columns=columns)
         packer.close()
         yield pd.DataFrame(packer.take(), columns=columns)
 

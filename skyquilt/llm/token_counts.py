@@ -27,7 +27,7 @@ from .common import table
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 MARK = "▁"
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 800_000
 MEMO_CHARS = 48
 
 
