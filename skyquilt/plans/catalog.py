@@ -1,10 +1,372 @@
-"""Registered queries of the operating-picture engine and their SQL."""
+"""Registered queries of the operating-picture engine and their SQL.
+
+The SQL starts from the source columns of the given tables, so what goes through bytes, XML or JSON is checked
+by a round trip.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skyquilt.functions import text as tx
+from skyquilt.operators import adsb, cap, contracts, cot, lane, mavlink, state, views
+from skyquilt.plans import lenses
+from skyquilt.sources import replay
+
+ORG, PLATFORM, SURE = "org", "edge", 0.9
+NOW = F.lit("2024-01-31T00:00:00Z").cast("timestamp")
+WINDOW = F.expr("interval 6 hours")
+KEEP = ["batch", "arrival"]
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# -- shared pieces ---------------------------------------------------------------------------------------
+
+_E = """WITH e AS (SELECT event_id, ts, user_id, event_type, value, (props->>'k')::BIGINT AS k, user_id % 150 + 1 AS sys FROM events),
+usable AS (SELECT * FROM e WHERE event_type IN ('view', 'click', 'purchase', 'signup')) """
+
+
+def vehicle_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples of vehicle tracks and assets, with the source edge on the create."""
+    decoded = mavlink.decode(lenses.frames(spark, sf_dir))
+    tracks = mavlink.project(decoded, ORG, PLATFORM, SURE, KEEP)
+    usable = decoded.filter("error is null and (heartbeat is not null or global_position_int is not null or attitude is not null or battery_status is not null)")
+    subject = tx.entity_id(F.lit(ORG), F.lit(PLATFORM), "mavlink", "track", F.format_string("system-%d", "system_id"))
+    births = state.plan_births(usable.withColumn("subject", subject)).filter("kind = 'create'")
+    assets = mavlink.project_assets(births, ORG, PLATFORM, SURE, KEEP)
+    target = F.regexp_replace("subject", r"\.track\.", ".asset.")
+    edges = births.select(*KEEP, "subject", F.lit("cop.track.source").alias("predicate"), target.alias("object"), F.lit("entity").alias("object_type"), F.lit("mavlink").alias("source"), F.col("received_at").alias("timestamp"), F.lit(SURE).alias("confidence"), F.lit(99).alias("idx"))
+    return tracks.unionByName(assets).unionByName(edges)
+
+
+def operator_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cot.project(cot.decode(lenses.cot_events(spark, sf_dir)), ORG, PLATFORM, SURE, KEEP)
+
+
+def aircraft_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adsb.project(adsb.decode(lenses.snapshots(spark, sf_dir), "slot"), ORG, PLATFORM, 0.85, KEEP)
+
+
+def all_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vehicle_triples(spark, sf_dir).unionByName(operator_triples(spark, sf_dir)).unionByName(aircraft_triples(spark, sf_dir))
+
+
+def track_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.tracks(state.wide(state.current_state(vehicle_triples(spark, sf_dir))), NOW, WINDOW)
+
+
+@query(
+    "v2_vehicles_with_assets",
+    _E + """, pos AS (SELECT sys, arg_max(event_id, event_id) AS p FROM usable WHERE event_type = 'view' GROUP BY sys),
+    beat AS (SELECT sys, arg_max(CASE k % 6 WHEN 3 THEN 'standby' WHEN 4 THEN 'active' ELSE 'unknown' END || CASE WHEN ((k * 5) % 256) & 128 <> 0 THEN '.armed' ELSE '' END, event_id) AS s FROM usable WHERE event_type = 'click' GROUP BY sys),
+    seen AS (SELECT sys, arg_max(ts, event_id) AS seen_at FROM usable GROUP BY sys)
+    SELECT 'org.edge.cop.mavlink.track.system-' || sys AS track, 'UAS ' || sys AS label, 'MAVLink system ' || sys AS asset_name,
+      CASE WHEN TIMESTAMP '2024-01-31' - seen_at > INTERVAL 6 HOUR THEN 'stale' || CASE WHEN coalesce(s, '') LIKE '%.armed' THEN '.armed' ELSE '' END ELSE coalesce(s, 'unknown') END AS status,
+      ((p * 104729) % 2000000000 - 1000000000) / 1e7 AS lon, ((p * 7919) % 1000000000 - 500000000) / 1e7 AS lat
+    FROM pos JOIN seen USING (sys) LEFT JOIN beat USING (sys)""",
+)
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position, status and freshness of every vehicle, with its asset."""
+    triples = vehicle_triples(spark, sf_dir)
+    wide = state.wide(state.current_state(triples))
+    tracks = views.tracks(wide, NOW, WINDOW)
+    assets = views.assets(wide, tracks).select(F.col("subject").alias("track_source"), F.col("name").alias("asset_name"))
+    joined = tracks.join(assets, "track_source", "left")
+    return joined.select(F.col("subject").alias("track"), "label", "asset_name", "status", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
+
+
+# -- scalars and the lane --------------------------------------------------------------------------------
+
+
+@query("s6_infer_encoding", "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'json' WHEN page_id % 5 = 1 THEN 'json' WHEN page_id % 5 = 2 THEN 'protobuf' END AS encoding FROM pages")
+def s6(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    m = F.col("page_id") % 5
+    kind = F.when(m == 1, "application/JSON; charset=utf-8").when(m == 2, "application/x-protobuf").when(m == 3, "text/html")
+    return p.select("page_id", tx.infer_encoding(F.when(m == 0, " JSON ").otherwise(""), kind).alias("encoding"))
+
+
+@query(
+    "p20_entity_token",
+    "SELECT c_custkey, coalesce(nullif(trim(regexp_replace(lower(trim(c_name || ' (' || c_mktsegment || ') É')), '[^a-z0-9_-]+', '-', 'g'), '-'), ''), 'unknown') AS token, coalesce(nullif(trim(regexp_replace(lower(c_name || '#A_b.c - ' || c_mktsegment), '[^\\p{L}\\p{Nd}._]+', '-', 'g'), '-'), ''), 'default') AS source FROM customer",
+)
+def p20(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return c.select("c_custkey", tx.entity_token(F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit(") É"))).alias("token"), tx.sanitize_source(F.concat("c_name", F.lit("#A_b.c - "), "c_mktsegment")).alias("source"))
+
+
+@query(
+    "v10_freshness_and_age",
+    _E + "SELECT event_id, CASE WHEN TIMESTAMP '2024-01-31' - ts > INTERVAL 6 HOUR THEN 'stale.' || event_type ELSE 'active.' || event_type END AS status, CASE WHEN s < 59.5 THEN round(s)::BIGINT || 's' WHEN round(s / 60) < 60 THEN round(s / 60)::BIGINT || 'm' ELSE round(s / 3600)::BIGINT || 'h' END AS age FROM (SELECT *, epoch_us(TIMESTAMP '2024-01-31') / 1e6 - epoch_us(ts) / 1e6 AS s FROM e)",
+)
+def v10(spark, sf_dir):
+    e = lenses.events(spark, sf_dir)
+    return e.select("event_id", tx.freshness_status(F.concat(F.lit("active."), "event_type"), NOW, F.col("received_at"), WINDOW).alias("status"), tx.age_label(NOW, F.col("received_at")).alias("age"))
+
+
+@query(
+    "v13_wkt_points",
+    _E + "SELECT event_id, (event_id % 360 - 180) / 1.0 AS lon, (event_id % 180 - 90) / 1.0 AS lat FROM e WHERE event_type <> 'error'",
+)
+def v13(spark, sf_dir):
+    e = lenses.events(spark, sf_dir)
+    point = tx.wkt_point((F.col("event_id") % 360 - 180) / 1.0, (F.col("event_id") % 180 - 90) / 1.0)
+    made = e.withColumn("p", F.when(F.col("event_type") == "error", "POINT(1)").otherwise(point))
+    return made.filter(tx.wkt_ok(F.col("p"))).select("event_id", tx.wkt_lon(F.col("p")).alias("lon"), tx.wkt_lat(F.col("p")).alias("lat"))
+
+
+@query(
+    "s5_landed_responses",
+    """SELECT outcome, count(*)::BIGINT AS n FROM (SELECT CASE WHEN st = 304 THEN 'unchanged' WHEN st <> 200 THEN 'error' WHEN length(html) > 3000 THEN 'oversize'
+       WHEN etag = last_value(CASE WHEN st = 200 THEN etag END IGNORE NULLS) OVER (PARTITION BY host ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'unchanged' ELSE 'publish' END AS outcome
+       FROM (SELECT page_id, html, page_id % 7 AS host, 'v' || page_id // 20 AS etag, CASE WHEN page_id % 11 = 0 THEN 304 WHEN page_id % 13 = 0 THEN 500 ELSE 200 END AS st FROM pages)) GROUP BY outcome""",
+)
+def s5(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    status = F.when(F.col("page_id") % 11 == 0, 304).when(F.col("page_id") % 13 == 0, 500).otherwise(200)
+    made = p.select("page_id", (F.col("page_id") % 7).alias("host"), F.concat(F.lit("v"), F.floor(F.col("page_id") / 20).cast("string")).alias("etag"), status.alias("status_code"), F.length("html").alias("size"))
+    return replay.landed_responses(made, "host", "page_id", 3000).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query(
+    "r2_retained_lane",
+    _E + """, n AS (SELECT event_id, 'uav-' || user_id % 4 AS source, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS number, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id DESC) AS back FROM e)
+    SELECT event_id, source, 'mavlink://raw/' || source || '/' || lpad(number::VARCHAR, 8, '0') AS ref FROM n WHERE back <= 300""",
+)
+def r2(spark, sf_dir):
+    kept = lane.retain(lenses.frames(spark, sf_dir), F.octet_length("frame"), ["number"], max_records=300)
+    return kept.select("event_id", "source", "ref")
+
+
+@query(
+    "r7_lineage",
+    _E + """, n AS (SELECT *, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id DESC) AS back FROM e),
+    t AS (SELECT sys, arg_max(back, event_id) AS b FROM n WHERE event_type <> 'error' GROUP BY sys)
+    SELECT 'org.edge.cop.mavlink.track.system-' || sys AS subject, b <= 300 AS held FROM t""",
+)
+def r7(spark, sf_dir):
+    raw = lenses.frames(spark, sf_dir)
+    current = state.current_state(mavlink.project(mavlink.decode(raw), ORG, PLATFORM, SURE, KEEP))
+    return lane.trace(current, lane.retain(raw, F.octet_length("frame"), ["number"], max_records=300)).select("subject", "held")
+
+
+# -- decoding --------------------------------------------------------------------------------------------
+
+
+@query(
+    "d20_decode_frames",
+    _E + """SELECT event_id, sys AS system_id, CASE event_type WHEN 'view' THEN 33 WHEN 'purchase' THEN 147 WHEN 'signup' THEN 30 ELSE 0 END::BIGINT AS message_id,
+    CASE WHEN event_type = 'error' THEN 'bad checksum' END AS error,
+    CASE WHEN event_type = 'view' THEN (event_id * 7919) % 1000000000 - 500000000 END AS lat, CASE WHEN event_type = 'view' THEN (event_id * 104729) % 2000000000 - 1000000000 END AS lon,
+    CASE WHEN event_type = 'view' THEN k * 10 - 500 END AS vx, CASE WHEN event_type = 'view' THEN -k END AS vy,
+    CASE WHEN event_type = 'click' THEN k % 6 END AS system_status, CASE WHEN event_type = 'purchase' THEN k END AS battery, CASE WHEN event_type = 'purchase' THEN -k END AS current_battery,
+    CASE WHEN event_type = 'signup' THEN [0.5, 1.0, -2.0, 0.25][k % 4 + 1]::DOUBLE END AS roll FROM e""",
+)
+def d20(spark, sf_dir):
+    d = mavlink.decode(lenses.frames(spark, sf_dir))
+    return d.select("event_id", "system_id", "message_id", "error", "global_position_int.lat", "global_position_int.lon", "global_position_int.vx", "global_position_int.vy", "heartbeat.system_status", F.col("battery_status.battery_remaining").alias("battery"), "battery_status.current_battery", "attitude.roll")
+
+
+@query("d22_parse_stats", _E + "SELECT 'uav-' || user_id % 4 AS source, count(*)::BIGINT AS total, count(*) FILTER (event_type <> 'error')::BIGINT AS valid, count(*) FILTER (event_type = 'error')::BIGINT AS invalid, count(*) FILTER (event_type = 'error')::BIGINT AS checksum_errors, 0::BIGINT AS unknown_ids FROM e GROUP BY user_id % 4")
+def d22(spark, sf_dir):
+    return mavlink.parse_stats(mavlink.decode(lenses.frames(spark, sf_dir)))
+
+
+@query("d23_labels", _E + "SELECT event_id, coalesce(['accepted', 'temporarily_rejected', 'denied', 'unsupported', 'failed', 'in_progress', 'cancelled'][k % 9 + 1], 'unknown(' || k % 9 || ')') AS result, CASE WHEN k % 30 IN (8, 10, 12) OR k % 30 > 26 THEN 'UNKNOWN(' || k % 30 || ')' ELSE ['STABILIZE','ACRO','ALT_HOLD','AUTO','GUIDED','LOITER','RTL','CIRCLE','','LAND','','DRIFT','','SPORT','FLIP','AUTOTUNE','POSHOLD','BRAKE','THROW','AVOID_ADSB','GUIDED_NOGPS','SMART_RTL','FLOWHOLD','FOLLOW','ZIGZAG','SYSTEMID','AUTOROTATE'][k % 30 + 1] END AS mode FROM e")
+def d23(spark, sf_dir):
+    return lenses.events(spark, sf_dir).select("event_id", mavlink.named(F.col("k") % 9, mavlink.RESULTS).alias("result"), mavlink.named(F.col("k") % 30, mavlink.MODES, "UNKNOWN(%d)").alias("mode"))
+
+
+@query(
+    "d1_decode_cot",
+    _E + """SELECT event_id, CASE WHEN k = 0 THEN 'no uid' END AS error, CASE WHEN k > 0 THEN 'U-' || user_id END AS uid, 'C' || k AS callsign, (event_id % 90)::DOUBLE AS lat, CASE WHEN event_type = 'purchase' THEN k + 0.5::DOUBLE END AS course,
+    CASE WHEN event_type = 'signup' THEN 'hold ' || k END AS chat_text, CASE WHEN event_type = 'signup' THEN 'S-' || user_id END AS sender_uid,
+    CASE event_type WHEN 'view' THEN 'track' WHEN 'purchase' THEN 'track' WHEN 'click' THEN 'task' WHEN 'signup' THEN 'advisory' END AS route, k % 5 = 0 AS is_stale FROM e""",
+)
+def d1(spark, sf_dir):
+    d = cot.route(cot.decode(lenses.cot_events(spark, sf_dir)))
+    return d.select("event_id", "error", "uid", "callsign", "point.lat", "course", "chat_text", "sender_uid", "route", (F.col("time") > F.col("stale")).alias("is_stale"))
+
+
+@query(
+    "p7_cot_state",
+    _E + """, t AS (SELECT *, CASE event_type WHEN 'view' THEN 'track' WHEN 'purchase' THEN 'track' WHEN 'click' THEN 'task' WHEN 'signup' THEN 'advisory' END AS kind,
+      CASE event_type WHEN 'view' THEN 'operator' WHEN 'purchase' THEN 'air-track' WHEN 'click' THEN 'marker' WHEN 'signup' THEN 'geochat' END AS what FROM e WHERE k > 0 AND event_type <> 'error')
+    SELECT 'org.edge.cop.tak.' || kind || '.u-' || user_id AS subject, arg_max(CASE WHEN k % 5 = 0 THEN 'stale.' ELSE 'active.' END || what, event_id) AS status FROM t GROUP BY kind, user_id""",
+)
+def p7(spark, sf_dir):
+    s = state.current_state(operator_triples(spark, sf_dir)).filter(F.col("predicate").endswith(".status"))
+    return s.select("subject", F.col("object").alias("status"))
+
+
+@query(
+    "d9_decode_opensky",
+    _E + """, s AS (SELECT *, floor(epoch(ts) / 600)::BIGINT AS slot FROM e), bad AS (SELECT DISTINCT slot FROM s WHERE k = 99)
+    SELECT slot, user_id, k % 5 AS position_source, CASE WHEN k % 4 <> 0 THEN k - 50 + CASE WHEN k >= 50 THEN 0.5 ELSE 0.5 * CASE WHEN k - 50 < 0 THEN -1 ELSE 1 END END END::DOUBLE AS latitude, CASE WHEN k % 7 <> 0 THEN k + 0.125 END::DOUBLE AS velocity, k % 2 = 0 AS on_ground, CASE WHEN k % 3 <> 0 THEN 'Call' || user_id END AS callsign FROM s WHERE slot NOT IN (SELECT slot FROM bad)""",
+)
+def d9(spark, sf_dir):
+    d = adsb.decode(lenses.snapshots(spark, sf_dir), "slot").filter("error is null")
+    return d.select("slot", F.conv("icao24", 16, 10).cast("long").alias("user_id"), F.col("position_source").cast("long").alias("position_source"), "latitude", "velocity", "on_ground", "callsign")
+
+
+@query(
+    "p12_aircraft_state",
+    _E + """, s AS (SELECT *, floor(epoch(ts) / 600)::BIGINT AS slot FROM e), good AS (SELECT * FROM s WHERE slot NOT IN (SELECT slot FROM s WHERE k = 99))
+    SELECT 'org.edge.cop.adsb.track.' || lower(lpad(to_hex(user_id), 6, '0')) AS subject, min(CASE k % 5 WHEN 0 THEN 0.85 WHEN 1 THEN 0.8 WHEN 2 THEN 0.75 WHEN 3 THEN 0.65 ELSE 0.5 END)::DOUBLE AS least_confidence, count(*)::BIGINT AS n, count(*) FILTER (k % 4 <> 0)::BIGINT AS n_positions FROM good GROUP BY user_id""",
+)
+def p12(spark, sf_dir):
+    t = aircraft_triples(spark, sf_dir)
+    return t.groupBy("subject").agg(F.min("confidence").alias("least_confidence"), F.count_if(F.col("predicate") == "cop.track.status").alias("n"), F.count_if(F.col("predicate") == "cop.track.position").alias("n_positions"))
+
+
+@query(
+    "d4_decode_cap",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 50 = 1 THEN 'bad shape' END AS error, 'W-' || o_orderkey AS identifier, CASE o_orderstatus WHEN 'F' THEN 'Alert' WHEN 'O' THEN 'Update' ELSE 'Cancel' END AS msg_type, substr(o_orderpriority, 3) AS severity,
+    'Wind' || chr(10) || chr(10) || 'Strong' AS advisory_text, CASE WHEN o_orderkey % 3 = 0 THEN 24 WHEN o_orderkey % 50 = 1 THEN 0 ELSE 3 END::INT AS n_points, 0.82::DOUBLE AS confidence,
+    CASE WHEN o_orderkey % 10 = 0 THEN 'nonoperational.test' WHEN o_orderstatus NOT IN ('F', 'O') THEN 'cancelled' WHEN o_orderstatus = 'O' THEN 'stale.update' ELSE 'stale' END AS status FROM orders""",
+)
+def d4(spark, sf_dir):
+    d = cap.decode(lenses.warnings(spark, sf_dir))
+    status = cap.hazard_status(F.col("alert_status"), F.col("msg_type"), F.col("expires"), NOW, F.col("sent"), WINDOW)
+    points = F.coalesce(F.size(cap.hazard_geometry(F.filter("polygons", lambda p: p.isNotNull()), F.coalesce("circles", F.array()))), F.lit(0))
+    return d.select("o_orderkey", "error", "identifier", "msg_type", "severity", "advisory_text", F.greatest(F.lit(0), points).alias("n_points"), cap.confidence_of(F.col("certainty"), 0.9).alias("confidence"), status.alias("status"))
+
+
+# -- state, governance, views ----------------------------------------------------------------------------
+
+
+@query(
+    "p17_births",
+    _E + "SELECT sys AS system_id, min(event_id) AS born, count(*)::BIGINT AS n FROM usable GROUP BY sys",
+)
+def p17(spark, sf_dir):
+    d = mavlink.decode(lenses.frames(spark, sf_dir)).filter("error is null")
+    subject = tx.entity_id(F.lit(ORG), F.lit(PLATFORM), "mavlink", "track", F.format_string("system-%d", "system_id"))
+    p = state.plan_births(d.withColumn("subject", subject))
+    return p.groupBy("system_id").agg(F.min(F.when(F.col("kind") == "create", F.col("event_id"))).alias("born"), F.count("*").alias("n"))
+
+
+@query(
+    "m1_current_state",
+    _E + """SELECT 'org.edge.cop.mavlink.track.system-' || sys AS subject, arg_max(k, event_id)::VARCHAR AS battery FROM usable WHERE event_type = 'purchase' GROUP BY sys""",
+)
+def m1(spark, sf_dir):
+    s = state.current_state(mavlink.project(mavlink.decode(lenses.frames(spark, sf_dir)), ORG, PLATFORM, SURE, KEEP))
+    return s.filter("predicate = 'cop.track.battery_remaining'").select("subject", F.col("object").alias("battery"))
+
+
+@query("g7_violations", "SELECT 0::BIGINT AS n_unowned, 0::BIGINT AS n_dangling")
+def g7(spark, sf_dir):
+    t = all_triples(spark, sf_dir)
+    return contracts.violation_counters(t, state.entities(t), contracts.contracts(spark))
+
+
+@query(
+    "g6_profiles",
+    _E + """, cot AS (SELECT * FROM e WHERE k > 0) SELECT profile, n FROM (SELECT 'signal' AS profile, count(DISTINCT user_id)::BIGINT AS n FROM cot WHERE event_type IN ('view', 'purchase')
+    UNION ALL SELECT 'control', count(DISTINCT user_id) FROM cot WHERE event_type = 'click' UNION ALL SELECT 'content', count(DISTINCT user_id) FROM cot WHERE event_type = 'signup')""",
+)
+def g6(spark, sf_dir):
+    return contracts.route_by_profile(operator_triples(spark, sf_dir), contracts.contracts(spark)).select("profile", F.col("n_entities").alias("n"))
+
+
+@query(
+    "q5_discovery",
+    _E + """, n AS (SELECT 'mavlink.track' AS t, count(DISTINCT sys) AS n FROM usable UNION ALL SELECT 'mavlink.asset', count(DISTINCT sys) FROM usable),
+    targets AS (SELECT unnest(['mavlink.asset', 'mavlink.track', 'tak.asset', 'tak.track', 'tak.task', 'tak.advisory', 'cap.hazard_area', 'adsb.track']) AS t)
+    SELECT 'org.edge.cop.' || t AS prefix, least(coalesce(n, 0), 100)::BIGINT AS n, coalesce(n, 0) > 100 AS at_limit FROM targets LEFT JOIN n USING (t)""",
+)
+def q5(spark, sf_dir):
+    e = state.entities(vehicle_triples(spark, sf_dir))
+    return views.discovery_diagnostics(e, views.discovery_targets(spark, [(ORG, PLATFORM)]), 100).select("prefix", "n", "at_limit")
+
+
+@query(
+    "h1_feed_health",
+    _E + """, p AS (SELECT sys FROM usable WHERE event_type = 'view' GROUP BY sys), last AS (SELECT max(seen_at) AS seen_at FROM (SELECT sys, arg_max(ts, event_id) AS seen_at FROM usable GROUP BY sys) JOIN p USING (sys))
+    SELECT 'feed.mavlink' AS feed, CASE WHEN TIMESTAMP '2024-01-31' - seen_at > INTERVAL 6 HOUR THEN 'stale' ELSE 'live' END AS status, strftime(seen_at, '%Y-%m-%d %H:%M') AS last_minute FROM last
+    UNION ALL VALUES ('feed.tak', 'stale', '2024-01-31 00:00'), ('feed.cap', 'planned', '2024-01-30 23:27'), ('feed.adsb', 'planned', '2024-01-30 23:15')""",
+)
+def h1(spark, sf_dir):
+    t = track_view(spark, sf_dir).select(F.concat(F.lit("feed."), F.col("source")).alias("feed"), "updated_at")
+    h = views.feed_health(spark, t, NOW, WINDOW)
+    return h.select("feed", "status", F.date_format("last_event_at", "yyyy-MM-dd HH:mm").alias("last_minute"))
+
+
+@query(
+    "h5_adapter_health",
+    _E + "SELECT count(*)::BIGINT AS received, count(*) FILTER (k > 0)::BIGINT AS decoded, count(*) FILTER (k = 0)::BIGINT AS parse_errors, max(event_id) FILTER (k > 0) AS last_good FROM e",
+)
+def h5(spark, sf_dir):
+    d = cot.decode(lenses.cot_events(spark, sf_dir))
+    good = F.col("error").isNull()
+    return d.agg(F.count("*").alias("received"), F.count_if(good).alias("decoded"), F.count_if(~good).alias("parse_errors"), F.max(F.when(good, F.col("event_id"))).alias("last_good"))
+
+
+@query(
+    "h7_flow_rates",
+    _E + "SELECT 'uav-' || user_id % 4 AS source, count(*)::BIGINT AS n, round(count(*) / greatest(1, epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6), 6) AS per_second FROM e GROUP BY user_id % 4",
+)
+def h7(spark, sf_dir):
+    f = lenses.frames(spark, sf_dir)
+    elapsed = F.greatest(F.lit(1.0), F.unix_micros(F.max("received_at")) / 1e6 - F.unix_micros(F.min("received_at")) / 1e6)
+    return f.groupBy("source").agg(F.count("*").alias("n"), F.round(F.count("*") / elapsed, 6).alias("per_second"))
+
+
+@query(
+    "h8_source_staleness",
+    _E + "SELECT user_id % 4 AS endpoint, coalesce(max(ts) FILTER (event_type <> 'error') < TIMESTAMP '2024-01-31' - INTERVAL 2 MINUTE, true) AS stale FROM e GROUP BY user_id % 4",
+)
+def h8(spark, sf_dir):
+    e = lenses.events(spark, sf_dir)
+    fresh = F.max(F.when(F.col("event_type") != "error", F.col("received_at")))
+    return e.groupBy((F.col("user_id") % 4).alias("endpoint")).agg(F.coalesce(NOW - fresh > F.expr("interval 120 seconds"), F.lit(True)).alias("stale"))
+
+
+@query(
+    "x3_stop_at_first_error",
+    _E + "SELECT count(*)::BIGINT AS steps, count(*) FILTER (k = 0)::BIGINT AS failed FROM e WHERE event_id <= coalesce((SELECT min(event_id) FROM e WHERE k = 0), 9223372036854775807)",
+)
+def x3(spark, sf_dir):
+    d = cot.decode(lenses.cot_events(spark, sf_dir)).select("event_id", "error")
+    return state.stop_at_first_error(d, "event_id").agg(F.count("*").alias("steps"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+
+
+@query(
+    "t4_map_bounds",
+    _E + """, p AS (SELECT sys, max(event_id) AS p FROM usable WHERE event_type = 'view' GROUP BY sys), x AS (SELECT ((p * 104729) % 2000000000 - 1000000000) / 1e7 AS lon, ((p * 7919) % 1000000000 - 500000000) / 1e7 AS lat FROM p)
+    SELECT round(min(lon) - 0.01, 5) AS west, round(min(lat) - 0.008, 5) AS south, round(max(lon) + 0.01, 5) AS east, round(max(lat) + 0.008, 5) AS north FROM x""",
+)
+def t4(spark, sf_dir):
+    b = views.map_bounds(track_view(spark, sf_dir))
+    return b.select(*[F.round(c, 5).alias(c) for c in ("west", "south", "east", "north")])
+
+
+@query(
+    "e4_nearest_tracks",
+    _E + """, p AS (SELECT sys, max(event_id) AS p FROM usable WHERE event_type = 'view' GROUP BY sys), x AS (SELECT sys, ((p * 104729) % 2000000000 - 1000000000) / 1e7 AS lon, ((p * 7919) % 1000000000 - 500000000) / 1e7 AS lat FROM p)
+    SELECT 'org.edge.cop.mavlink.track.system-' || sys AS subject FROM x ORDER BY 2 * 6371.0088 * asin(sqrt(pow(sin(radians(lat - 10) / 2), 2) + cos(radians(lat)) * cos(radians(10)) * pow(sin(radians(lon - 20) / 2), 2))) LIMIT 10""",
+)
+def e4(spark, sf_dir):
+    return views.nearest(track_view(spark, sf_dir).select("subject", "lon", "lat"), 20.0, 10.0, 10).select("subject")
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+@query(
+    "e6_moving_windows",
+    _E + "SELECT 'org.edge.cop.mavlink.track.system-' || sys AS subject, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, count(*)::BIGINT AS n FROM usable WHERE event_type = 'view' GROUP BY sys, date_trunc('hour', ts)",
+)
+def e6(spark, sf_dir):
+    t = mavlink.project(mavlink.decode(lenses.frames(spark, sf_dir)), ORG, PLATFORM, SURE, KEEP).filter("predicate = 'cop.track.position'")
+    return views.positions_by_window(t).select("subject", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "n")
