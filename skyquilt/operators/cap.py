@@ -84,7 +84,8 @@ def hazard_status(status: Column, msg_type: Column, expires: Column, now: Column
 def circle_to_polygon(c: Column, n: int = 24) -> Column:
     """V8: a circle as a polygon of n points; null where a degree of longitude has no length or the radius none."""
     scale = F.cos(F.radians(c["lat"]))
-    dlat, dlon = c["radius_km"] / 111.32, F.try_divide(c["radius_km"], 111.32 * scale)
+    dlat = c["radius_km"] * (1 / 111.32)
+    dlon = dlat * F.pow(scale, F.lit(-1.0))
     around = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((c["lat"] + dlat * F.sin(i * (2 * math.pi / n))).alias("lat"), (c["lon"] + dlon * F.cos(i * (2 * math.pi / n))).alias("lon")))
     return F.when((F.abs(scale) >= 0.001) & (c["radius_km"] > 0), around)
 
