@@ -93,7 +93,7 @@ def circle_to_polygon(c: Column, n: int = 24) -> Column:
 def hazard_geometry(polygons: Column, circles: Column) -> Column:
     """V7: the first polygon of three points or more, else the first usable circle."""
     first = F.get(F.filter(polygons, lambda p: F.size(p) >= 3), F.lit(0))
-    return F.coalesce(first, F.get(F.filter(F.transform(circles, circle_to_polygon), lambda p: p.isNotNull()), F.lit(0)))
+    return F.coalesce(first, F.get(F.filter(F.transform(circles, lambda c: circle_to_polygon(c)), lambda p: p.isNotNull()), F.lit(0)))
 
 
 def hazard_label(event: Column, text: Column, instance: Column, area: Column) -> Column:
