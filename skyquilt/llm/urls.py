@@ -95,7 +95,7 @@ def scored(urls: DataFrame, ratios: DataFrame) -> DataFrame:
 
 
 def threshold(scores: DataFrame) -> float:
-    """Where, over BINS steps, the shares of allowed URLs below and blocked URLs at or above are closest; 0 without both kinds.
+    """Where, over BINS steps, the shares of allowed URLs below and blocked URLs at or above are closest, in the middle of equal ones; 0 without both kinds.
 
     ``scores`` has rule_verdict and score; only a histogram of BINS rows reaches the driver.
     """
@@ -108,13 +108,13 @@ def threshold(scores: DataFrame) -> float:
     allow, block = sum(r.allow for r in rows.values()), sum(r.block for r in rows.values())
     if not allow or not block:
         return 0.0
-    best, missed, passed = (2.0, 0.0), 0, block
+    gaps, missed, passed = [], 0, block
     for b in range(BINS + 1):
-        gap = abs(missed / allow - passed / block)
-        best = min(best, (gap, span[0] + b * width))
+        gaps.append(abs(missed / allow - passed / block))
         if b in rows:
             missed, passed = missed + rows[b].allow, passed - rows[b].block
-    return best[1]
+    closest = [b for b, gap in enumerate(gaps) if gap == min(gaps)]
+    return span[0] + (closest[0] + closest[-1]) / 2 * width
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:

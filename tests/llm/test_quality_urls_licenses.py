@@ -17,7 +17,7 @@ def test_quality_against_sql(spark):
 
 
 def test_quality_of_odd_rows(spark):
-    good = "\n".join(f"line {i} has a few words of its own number {i * 3}." for i in range(12))
+    good = "\n".join(" ".join(f"w{i}x{k}" for k in range(8)) + "." for i in range(12))
     junk = "\n".join("BUY!! NOW!! ALL!! OF!! IT!! HERE!! TODAY!!" for _ in range(12))
     rows = [(1, None, "q"), (2, "", "q"), (3, good, "q"), (4, good + "\nAccept all cookies now", "q"), (5, junk, "q"), (6, good + "\n" + "x%%% y$$$ " * 60, "q"), (7, "a b c " * 4000, "q"), (3, good, "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, words string")
