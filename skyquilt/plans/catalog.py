@@ -15,9 +15,17 @@ from skyquilt.plans import lenses
 from skyquilt.sources import replay
 
 ORG, PLATFORM, SURE = "org", "edge", 0.9
-NOW = F.lit("2024-01-31T00:00:00Z").cast("timestamp")
-WINDOW = F.expr("interval 6 hours")
 KEEP = ["batch", "arrival"]
+
+
+def now():
+    return F.lit("2024-01-31T00:00:00Z").cast("timestamp")
+
+
+def window():
+    return F.expr("interval 6 hours")
+
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -64,7 +72,7 @@ def all_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def track_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.tracks(state.wide(state.current_state(vehicle_triples(spark, sf_dir))), NOW, WINDOW)
+    return views.tracks(state.wide(state.current_state(vehicle_triples(spark, sf_dir))), now(), window())
 
 
 @query(
@@ -81,7 +89,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position, status and freshness of every vehicle, with its asset."""
     triples = vehicle_triples(spark, sf_dir)
     wide = state.wide(state.current_state(triples))
-    tracks = views.tracks(wide, NOW, WINDOW)
+    tracks = views.tracks(wide, now(), window())
     assets = views.assets(wide, tracks).select(F.col("subject").alias("track_source"), F.col("name").alias("asset_name"))
     joined = tracks.join(assets, "track_source", "left")
     return joined.select(F.col("subject").alias("track"), "label", "asset_name", "status", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
@@ -113,7 +121,7 @@ def p20(spark, sf_dir):
 )
 def v10(spark, sf_dir):
     e = lenses.events(spark, sf_dir)
-    return e.select("event_id", tx.freshness_status(F.concat(F.lit("active."), "event_type"), NOW, F.col("received_at"), WINDOW).alias("status"), tx.age_label(NOW, F.col("received_at")).alias("age"))
+    return e.select("event_id", tx.freshness_status(F.concat(F.lit("active."), "event_type"), now(), F.col("received_at"), window()).alias("status"), tx.age_label(now(), F.col("received_at")).alias("age"))
 
 
 @query(
@@ -239,7 +247,7 @@ def p12(spark, sf_dir):
 )
 def d4(spark, sf_dir):
     d = cap.decode(lenses.warnings(spark, sf_dir))
-    status = cap.hazard_status(F.col("alert_status"), F.col("msg_type"), F.col("expires"), NOW, F.col("sent"), WINDOW)
+    status = cap.hazard_status(F.col("alert_status"), F.col("msg_type"), F.col("expires"), now(), F.col("sent"), window())
     points = F.coalesce(F.size(cap.hazard_geometry(F.filter("polygons", lambda p: p.isNotNull()), F.coalesce("circles", F.array()))), F.lit(0))
     return d.select("o_orderkey", "error", "identifier", "msg_type", "severity", "advisory_text", F.greatest(F.lit(0), points).alias("n_points"), cap.confidence_of(F.col("certainty"), 0.9).alias("confidence"), status.alias("status"))
 
@@ -301,7 +309,7 @@ def q5(spark, sf_dir):
 )
 def h1(spark, sf_dir):
     t = track_view(spark, sf_dir).select(F.concat(F.lit("feed."), F.col("source")).alias("feed"), "updated_at")
-    h = views.feed_health(spark, t, NOW, WINDOW)
+    h = views.feed_health(spark, t, now(), window())
     return h.select("feed", "status", F.date_format("last_event_at", "yyyy-MM-dd HH:mm").alias("last_minute"))
 
 
@@ -332,7 +340,7 @@ def h7(spark, sf_dir):
 def h8(spark, sf_dir):
     e = lenses.events(spark, sf_dir)
     fresh = F.max(F.when(F.col("event_type") != "error", F.col("received_at")))
-    return e.groupBy((F.col("user_id") % 4).alias("endpoint")).agg(F.coalesce(NOW - fresh > F.expr("interval 120 seconds"), F.lit(True)).alias("stale"))
+    return e.groupBy((F.col("user_id") % 4).alias("endpoint")).agg(F.coalesce(now() - fresh > F.expr("interval 120 seconds"), F.lit(True)).alias("stale"))
 
 
 @query(
