@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyquilt.functions import text as tx
-from skyquilt.operators import adsb, cap, contracts, cot, lane, mavlink, state, views
+from skyquilt.operators import adsb, cap, contracts, cot, lane, mavlink, sapient, state, views
 from skyquilt.plans import lenses
 from skyquilt.sources import replay
 
@@ -252,6 +252,38 @@ def d4(spark, sf_dir):
     return d.select("o_orderkey", "error", "identifier", "msg_type", "severity", "advisory_text", F.greatest(F.lit(0), points).alias("n_points"), cap.confidence_of(F.col("certainty"), 0.9).alias("confidence"), status.alias("status"))
 
 
+_L = """WITH l AS (SELECT l_orderkey::BIGINT AS o, l_linenumber::INT AS n, l_partkey::BIGINT AS p, l_suppkey::BIGINT AS s FROM lineitem),
+m AS (SELECT *, CASE WHEN n <= 4 THEN 'detectionReport' WHEN n = 5 THEN 'registration' WHEN n = 6 THEN 'statusReport' WHEN o % 3 = 0 THEN 'statusReport' WHEN o % 3 = 1 THEN 'alert' ELSE 'taskAck' END AS content,
+  CASE WHEN n = 3 AND o % 5 = 0 THEN 'not one position' WHEN n <= 4 AND p % 11 = 0 THEN 'bad confidence' WHEN n <= 4 AND s % 13 = 0 THEN 'bad class' WHEN n = 5 AND o % 4 = 0 THEN 'bad version'
+  WHEN n = 6 AND o % 4 = 0 THEN 'bad status' WHEN n > 6 AND o % 3 = 0 THEN 'several contents' WHEN n > 6 AND o % 3 = 1 THEN 'no decoder' END AS error FROM l) """
+
+
+@query(
+    "d12_decode_sensor_messages",
+    _L + """SELECT o AS l_orderkey, n AS l_linenumber, content, error, printf('%08x-0000-4000-8000-%012x', s, o) AS node_id, CASE WHEN error IS NULL AND n IN (1, 3, 4) THEN p % 180 + 0.5::DOUBLE END AS x,
+    CASE WHEN error IS NULL AND n = 2 THEN (p % 360)::DOUBLE END AS azimuth, CASE WHEN error IS NULL AND n <= 4 THEN (p % 100) / 100::DOUBLE END AS confidence, CASE WHEN error IS NULL AND n = 5 THEN 't' || p % 9 END AS capability,
+    CASE WHEN error IS NULL AND n = 6 THEN 'default' END AS mode, CASE WHEN error IS NULL AND n > 6 THEN lpad(p::VARCHAR, 26, '0') END AS task_id FROM m""",
+)
+def d12(spark, sf_dir):
+    d = sapient.decode(lenses.sensor_messages(spark, sf_dir))
+    return d.select("l_orderkey", "l_linenumber", "content", "error", "node_id", "detection.x", "detection.azimuth", "detection.confidence", F.get("registration.capabilities.type", F.lit(0)).alias("capability"), "status_report.mode", "task_ack.task_id")
+
+
+@query(
+    "d14_sensor_classes",
+    _L + """SELECT o AS l_orderkey, n AS l_linenumber, '0' AS path, 'Class ' || p % 7 AS type, 0.5::DOUBLE AS confidence, NULL::BIGINT AS level FROM m WHERE n <= 4 AND error IS NULL
+    UNION ALL SELECT o, n, '0.0', 'Sub', NULL, 1 FROM m WHERE n <= 4 AND error IS NULL""",
+)
+def d14(spark, sf_dir):
+    return sapient.classifications(sapient.decode(lenses.sensor_messages(spark, sf_dir)), ["l_orderkey", "l_linenumber"]).drop("object_id")
+
+
+@query("d15_sensor_references", _L + "SELECT o AS l_orderkey, n AS l_linenumber, lpad(p::VARCHAR, 26, '0') AS subject_id, 'derived' AS relation, lpad(s::VARCHAR, 26, '0') AS object_id FROM m WHERE n <= 4 AND error IS NULL")
+def d15(spark, sf_dir):
+    r = sapient.references(sapient.decode(lenses.sensor_messages(spark, sf_dir)), ["l_orderkey", "l_linenumber"])
+    return r.select("l_orderkey", "l_linenumber", "subject_id", "relation", "object_id")
+
+
 # -- state, governance, views ----------------------------------------------------------------------------
 
 

@@ -91,3 +91,25 @@ def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</msgType><scope>Public</scope><info><event>High Wind</event><urgency>Expected</urgency><severity>"), F.substring("o_orderpriority", 3, 20), F.lit("</severity><certainty>Likely</certainty><headline> Wind </headline><description>Strong</description><area><areaDesc>Zone "), (key % 7).cast("string"), F.lit("</areaDesc>"), shape, F.lit("</area></info></alert>"),
     )
     return settled(o.select("o_orderkey", "o_orderdate", xml.alias("raw_xml")))
+
+
+def sensor_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON sensor message per line item; the line number picks the content, the keys pick faults."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("int").alias("l_linenumber"), F.col("l_partkey").cast("long").alias("l_partkey"), F.col("l_suppkey").cast("long").alias("l_suppkey"))
+    o, n, p, s = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    ulid = lambda c: quoted(F.lpad(c.cast("string"), 26, "0"))
+    node = F.format_string('"%08x-0000-4000-8000-%012x"', s, o)
+    where = F.format_string('"location":{"x":"%d.5","y":%d,"coordinateSystem":"LAT_LNG","datum":"WGS84"}', p % 180, s % 90)
+    both = F.when((n == 3) & (o % 5 == 0), F.concat(where, F.lit(',"rangeBearing":{"coordinateSystem":"A","datum":"B"}'))).when(n == 2, F.format_string('"rangeBearing":{"azimuth":%d,"coordinateSystem":"A","datum":"B"}', p % 360)).otherwise(where)
+    sure = F.when(p % 11 == 0, F.lit("1.5")).otherwise(F.format_string("0.%02d", p % 100))
+    classes = F.format_string('"classification":[{"type":"Class %d","confidence":"0.5","subClass":[{"type":"Sub","level":%s}]}]', p % 7, F.when(s % 13 == 0, F.lit('"1.5"')).otherwise("1"))
+    refs = F.concat(F.lit('"derivedDetection":[{"nodeId":'), node, F.lit(',"objectId":'), ulid(s), F.lit("}]"))
+    detection = F.concat(F.lit('"detectionReport":{"reportId":'), ulid(o), F.lit(',"objectId":'), ulid(p), F.lit(","), both, F.lit(',"detectionConfidence":'), sure, F.lit(","), classes, F.lit(","), refs, F.lit("}"))
+    mode = '{"modeName":"m","modeType":"PERMANENT","settleTime":{"units":"S","value":1},"task":{"regionDefinition":{}}}'
+    version = F.when(o % 4 == 0, "v1").otherwise("BSI Flex 335 v2.0")
+    registration = F.concat(F.lit('"registration":{"icdVersion":'), quoted(version), F.format_string(',"nodeDefinition":[{"nodeType":"RADAR"}],"capabilities":[{"category":"c","type":"t%d"}],"statusDefinition":{"statusInterval":{"units":"S","value":"5"}},', p % 9), F.lit(f'"modeDefinition":[{mode}],"configData":[{{"manufacturer":"a","model":"b"}}]}}'))
+    status = F.concat(F.lit('"statusReport":{"reportId":'), ulid(o), F.when(o % 4 == 0, ',"system":"SYSTEM_UNSPECIFIED"').otherwise(',"system":"SYSTEM_OK"'), F.lit(',"info":"INFO_NEW","mode":" default "}'))
+    reply = F.concat(F.lit('"taskAck":{"taskId":'), ulid(p), F.lit(',"taskStatus":"DONE","reason":["r"]}'))
+    body = F.when(n <= 4, detection).when(n == 5, registration).when(n == 6, status).when(o % 3 == 0, F.concat(reply, F.lit(","), status)).when(o % 3 == 1, F.lit('"alert":{}')).otherwise(reply)
+    return li.withColumn("raw_payload", F.concat(F.lit('{"timestamp":"2024-01-01T00:00:00.5Z","nodeId":'), node, F.lit(","), body, F.lit("}")))

@@ -159,3 +159,42 @@ def test_prefix_scan_and_bounds(spark):
     found = views.prefix_scan(ids, "o.p.cop.tak.track", 5).collect()
     assert len(found) == 5 and all(r.truncated for r in found)
     assert not views.prefix_scan(ids, "o.p.cop.tak.track", 7).first().truncated
+
+
+def test_sensor_messages(spark):
+    from skyquilt.operators import sapient
+
+    node, ulid = "00000000-0000-4000-8000-00000000000a", "0" * 25 + "Z"
+    head = f'{{"timestamp":"2024-01-01T00:00:00Z","nodeId":"{node}",'
+    place = '"location":{"x":"1.5","y":2,"coordinateSystem":"A","datum":"B"}'
+    detection = lambda more: head + f'"detectionReport":{{"reportId":"{ulid}","objectId":"{ulid}",{place}{more}}}}}'
+    deep = '{"type":"t","level":1}'
+    for _ in range(sapient.DEPTH):
+        deep = '{"type":"t","level":1,"subClass":[%s]}' % deep
+    cases = [
+        (None, "malformed"),
+        ("[1]", "malformed"),
+        ('{"nodeId":"x"}', "bad time"),
+        (head.replace(node, "x") + '"task":{}}', "bad node id"),
+        (head + '"other":1}', "no content"),
+        (head + '"task":{}}', "no decoder"),
+        (detection(""), None),
+        (detection(',"detectionConfidence":true'), "bad confidence"),
+        (detection(',"classification":null'), "bad class"),
+        (detection(',"classification":[{"type":"a","subClass":[{"type":"b","level":"2"}]}]'), None),
+        (detection(f',"classification":[{{"type":"a","subClass":[{deep}]}}]'), "bad class"),
+        (detection(f',"associatedDetection":[{{"nodeId":"{node}","objectId":"{ulid}","associationType":"X_UNSPECIFIED"}}]'), "bad reference"),
+        (detection(',"colour":7'), "bad text"),
+        (detection(',"enuVelocity":{}'), None),
+        (head + f'"taskAck":{{"taskId":"{ulid}","taskStatus":"OK","reason":["a"," b "]}}}}', None),
+        (head + f'"taskAck":{{"taskId":"{ulid}","taskStatus":"OK","reason":[1]}}}}', "bad text"),
+    ]
+    raw = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "n int, raw_payload string")
+    decoded = sapient.decode(raw)
+    got = {r.n: r for r in decoded.collect()}
+    assert [got[i].error for i in range(len(cases))] == [c[1] for c in cases]
+    assert (got[6].detection.x, got[6].detection.z, got[6].detection.has_enu_velocity, got[13].detection.has_enu_velocity) == (1.5, None, False, True)
+    assert got[14].task_ack.reason == ["a", "b"]
+    classes = sorted((r.n, r.path, r.type, r.level) for r in sapient.classifications(decoded, ["n"]).collect())
+    assert classes == [(9, "0", "a", None), (9, "0.0", "b", 2)]
+    assert decoded.limit(0).count() == 0 and sapient.decode(raw.limit(0)).count() == 0
