@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyquilt.functions.text import first_text, freshness_status
+from skyquilt.functions.text import entity_id, entity_token, first_text, freshness_status
 from skyquilt.operators.triples import settled
 
 _PAIR = "array<struct<valueName string, value string>>"
@@ -105,3 +105,15 @@ def hazard_label(event: Column, text: Column, instance: Column, area: Column) ->
 def hazard_kind(event: Column) -> Column:
     """V9."""
     return F.concat(F.lit("cap-"), F.replace(F.lower(F.trim(event)), F.lit(" "), F.lit("-")))
+
+
+def hazards(documents: DataFrame, now: Column, window: Column, org: str, platform: str) -> DataFrame:
+    """V5: hazards of three points or more from ``evidence`` rows, the latest by identifier."""
+    used = ("alert_status", "msg_type", "severity", "event", "advisory_text", "area_desc", "expires", "polygons", "circles")
+    last = documents.groupBy("identifier").agg(F.max("observed_at").alias("updated_at"), F.max_by(F.struct(*used), "observed_at").alias("d")).select("identifier", "updated_at", "d.*")
+    usable = F.filter("polygons", lambda p: p.isNotNull())
+    shaped = settled(last.withColumn("geometry", hazard_geometry(F.coalesce(usable, F.array()), F.coalesce("circles", F.array()))))
+    status = hazard_status(F.col("alert_status"), F.col("msg_type"), F.col("expires"), now, F.col("updated_at"), window)
+    subject = entity_id(F.lit(org), F.lit(platform), "cap", "hazard_area", entity_token(F.col("identifier")))
+    label = hazard_label(F.col("event"), F.col("advisory_text"), F.col("identifier"), F.col("area_desc"))
+    return shaped.filter(F.size("geometry") >= 3).select(subject.alias("subject"), label.alias("label"), hazard_kind(F.col("event")).alias("kind"), F.lower(F.coalesce("severity", F.lit("unknown"))).alias("severity"), status.alias("status"), "geometry", "updated_at")

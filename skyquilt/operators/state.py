@@ -93,3 +93,10 @@ def stop_at_first_error(steps: DataFrame, order: str) -> DataFrame:
 def number_in_order(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Position of each row within its key."""
     return rows.withColumn("position", F.row_number().over(W.partitionBy(key).orderBy(*order)))
+
+
+def run_summary(steps: DataFrame) -> DataFrame:
+    """``steps`` (feed, error) to inputs, completed and failed steps and the state of each feed's run."""
+    failed = F.count_if(F.col("error").isNotNull())
+    out = steps.groupBy("feed").agg(F.count("*").alias("inputs"), failed.alias("failed"))
+    return out.select("feed", "inputs", (F.col("inputs") - F.col("failed")).alias("completed"), "failed", F.when(F.col("failed") > 0, "failed").otherwise("succeeded").alias("state"))

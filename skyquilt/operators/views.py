@@ -108,3 +108,86 @@ def positions_by_window(points: DataFrame, length: str = "1 hour") -> DataFrame:
 def rank_in(rows: DataFrame, key: str, by: Column) -> DataFrame:
     """Rows with their rank within a key."""
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(by)))
+
+
+TASK_COLUMNS = {n: f"cop.task.{n}" for n in ("name", "kind", "status", "position", "description", "native_id")}
+ADVISORY_COLUMNS = {n: f"cop.advisory.{n}" for n in ("text", "kind", "status", "sender", "position", "native_id")}
+PROVENANCE_COLUMNS = {"provenance": "cop.provenance.source", "source_ref": "cop.provenance.source_ref", "provenance_confidence": "cop.provenance.confidence", "observed_at": "cop.provenance.observed_at"}
+
+
+def of_type(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows whose subject is an entity of a type."""
+    return rows.filter(F.split_part("subject", F.lit("."), F.lit(5)) == kind)
+
+
+def _common(now: Column, window: Column) -> list[Column]:
+    """Source, status with freshness and optional position of a wide entity."""
+    status = freshness_status(F.coalesce("status", F.lit("unknown")), now, F.col("updated_at"), window)
+    return [F.coalesce("provenance", source_of(F.col("subject"))).alias("source"), status.alias("status"), wkt_lon(F.col("position")).alias("lon"), wkt_lat(F.col("position")).alias("lat"), F.col("confidence"), F.col("updated_at"), F.col("source_ref")]
+
+
+def tasks(wide: DataFrame, now: Column, window: Column) -> DataFrame:
+    """V3: every task, also without a position; ``wide`` has TASK_COLUMNS and PROVENANCE_COLUMNS."""
+    label = F.coalesce("name", "native_id", F.split_part("subject", F.lit("."), F.lit(6)))
+    return of_type(wide, "task").select("subject", label.alias("label"), F.coalesce("kind", F.lit("task")).alias("kind"), F.coalesce("description", F.lit("")).alias("description"), *_common(now, window))
+
+
+def advisories(wide: DataFrame, now: Column, window: Column) -> DataFrame:
+    """V4: advisories with a text; ``wide`` has ADVISORY_COLUMNS and PROVENANCE_COLUMNS."""
+    label = F.when(F.col("sender").isNotNull(), F.concat(F.lit("GeoChat "), F.col("sender"))).otherwise(F.col("text"))
+    return of_type(wide, "advisory").filter(F.col("text").isNotNull()).select("subject", label.alias("label"), F.coalesce("kind", F.lit("advisory")).alias("kind"), "text", F.coalesce("sender", F.lit("")).alias("sender"), *_common(now, window))
+
+
+def point_layer(**layers: DataFrame) -> DataFrame:
+    """Named views (subject, label, lon, lat) as one list with their kind; filter on lon for those on the map."""
+    parts = [view.select(F.lit(kind).alias("kind"), "subject", "label", "lon", "lat") for kind, view in layers.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def polygon_layer(hazards: DataFrame) -> DataFrame:
+    """Hazards of three points or more as rings of (lon, lat)."""
+    return hazards.filter(F.size("geometry") >= 3).select("subject", "label", F.transform("geometry", lambda p: F.array(p["lon"], p["lat"])).alias("polygon"))
+
+
+def hazard_labels(hazards: DataFrame) -> DataFrame:
+    """The label of each hazard at the mean of its vertices."""
+    mean = lambda c: F.aggregate("geometry", F.lit(0.0), lambda acc, p: acc + p[c]) / F.size("geometry")
+    return hazards.filter(F.size("geometry") >= 3).select("subject", "label", mean("lon").alias("lon"), mean("lat").alias("lat"))
+
+
+def stale_track_alerts(tracks_view: DataFrame) -> DataFrame:
+    """One alert for each stale track."""
+    old = (F.col("status") == "stale") | F.startswith("status", F.lit("stale."))
+    return tracks_view.filter(old).select(F.concat(F.lit("alert.stale."), F.col("subject")).alias("id"), F.col("subject").alias("entity_id"), F.lit("warning").alias("severity"), "updated_at")
+
+
+def low_battery_alerts(state: DataFrame, below: int) -> DataFrame:
+    """One alert for each vehicle whose current battery is under a threshold."""
+    level = F.col("object").try_cast("int")
+    return state.filter((F.col("predicate") == "cop.track.battery_remaining") & (level < below)).select(F.concat(F.lit("alert.battery."), F.col("subject")).alias("id"), F.col("subject").alias("entity_id"), F.lit("warning").alias("severity"), level.alias("battery"))
+
+
+def inside(lon: Column, lat: Column, ring: Column) -> Column:
+    """Whether a point lies in a ring of (lat, lon), by the parity of the edges to its east."""
+
+    def crosses(a: Column, b: Column) -> Column:
+        slope = F.try_divide((b["lon"] - a["lon"]) * (lat - a["lat"]), b["lat"] - a["lat"])
+        return F.coalesce(((a["lat"] > lat) != (b["lat"] > lat)) & (lon < slope + a["lon"]), F.lit(False))
+
+    edges = F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), lambda a, b: crosses(a, b).cast("int"))
+    return F.aggregate(edges, F.lit(0), lambda acc, x: acc + x) % 2 == 1
+
+
+def hazard_intersections(points: DataFrame, hazards: DataFrame) -> DataFrame:
+    """(entity_id, hazard_id) of points (subject, lon, lat) in hazards, met on cells of one degree.
+
+    A hazard has one row per cell of its box, at most the 64,800 of the globe; a point has one.
+    """
+    side = lambda f, c: F.floor(f(F.transform("geometry", lambda p: p[c])))
+    cells = hazards.filter(F.size("geometry") >= 3).select(F.col("subject").alias("hazard_id"), "geometry", F.explode(F.sequence(side(F.array_min, "lon"), side(F.array_max, "lon"))).alias("x"))
+    cells = cells.select("hazard_id", "geometry", "x", F.explode(F.sequence(side(F.array_min, "lat"), side(F.array_max, "lat"))).alias("y"))
+    placed = points.filter("lon is not null and lat is not null").select(F.col("subject").alias("entity_id"), "lon", "lat", F.floor("lon").alias("x"), F.floor("lat").alias("y"))
+    return placed.join(cells, ["x", "y"]).filter(inside(F.col("lon"), F.col("lat"), F.col("geometry"))).select("entity_id", "hazard_id")

@@ -410,3 +410,114 @@ def e4(spark, sf_dir):
 def e6(spark, sf_dir):
     t = mavlink.project(mavlink.decode(lenses.frames(spark, sf_dir)), ORG, PLATFORM, SURE, KEEP).filter("predicate = 'cop.track.position'")
     return views.positions_by_window(t).select("subject", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "n")
+
+
+# -- tasks, advisories, hazards, layers and alerts -------------------------------------------------------
+
+
+def operator_view(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    columns = (views.TASK_COLUMNS if kind == "task" else views.ADVISORY_COLUMNS) | views.PROVENANCE_COLUMNS
+    current = state.current_state(views.of_type(operator_triples(spark, sf_dir), kind))
+    return (views.tasks if kind == "task" else views.advisories)(state.wide(current, columns), now(), window())
+
+
+def hazard_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap.hazards(cap.evidence(cap.decode(lenses.warnings(spark, sf_dir))), now(), window(), ORG, PLATFORM)
+
+
+_LAST = """, t AS (SELECT user_id, max(event_id) AS event_id FROM e WHERE k > 0 AND event_type = '{kind}' GROUP BY user_id), v AS (SELECT t.user_id, e.event_id, k,
+CASE WHEN TIMESTAMP '2024-01-31' - date_trunc('second', ts) > INTERVAL 6 HOUR OR k % 5 = 0 THEN 'stale.' ELSE 'active.' END || '{what}' AS status, -(e.event_id % 180)::DOUBLE AS lon, (e.event_id % 90)::DOUBLE AS lat FROM t JOIN e ON t.event_id = e.event_id) """
+_TRACKED = """, seen AS (SELECT sys, arg_max(ts, event_id) AS seen_at, max(event_id) FILTER (event_type = 'view') AS p FROM usable GROUP BY sys),
+x AS (SELECT sys, seen_at, ((p * 104729) % 2000000000 - 1000000000) / 1e7 AS lon, ((p * 7919) % 1000000000 - 500000000) / 1e7 AS lat FROM seen WHERE p IS NOT NULL) """
+_H = """, h AS (SELECT o_orderkey AS key, o_orderkey % 80 AS lat, o_orderkey % 170 AS lon, o_orderkey % 3 = 0 AS round, o_orderpriority AS priority,
+CASE WHEN o_orderkey % 10 = 0 THEN 'nonoperational.test' WHEN o_orderstatus NOT IN ('F', 'O') THEN 'cancelled' WHEN o_orderstatus = 'O' THEN 'stale.update' ELSE 'stale' END AS status FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 50 <> 1) """
+
+
+@query("v3_tasks", _E + _LAST.format(kind="click", what="marker") + "SELECT 'org.edge.cop.tak.task.u-' || user_id AS subject, 'C' || k AS label, 'marker' AS kind, status, lon, lat FROM v")
+def v3(spark, sf_dir):
+    return operator_view(spark, sf_dir, "task").select("subject", "label", "kind", "status", "lon", "lat")
+
+
+@query("v4_advisories", _E + _LAST.format(kind="signup", what="geochat") + "SELECT 'org.edge.cop.tak.advisory.u-' || user_id AS subject, 'GeoChat S-' || user_id AS label, 'hold ' || k AS text, status, lon, lat FROM v")
+def v4(spark, sf_dir):
+    return operator_view(spark, sf_dir, "advisory").select("subject", "label", "text", "status", "lon", "lat")
+
+
+@query("v5_hazards", "WITH q AS (SELECT 1)" + _H + "SELECT 'org.edge.cop.cap.hazard_area.w-' || key AS subject, 'High Wind: Zone ' || key % 7 AS label, 'cap-high-wind' AS kind, lower(substr(priority, 3)) AS severity, status, CASE WHEN round THEN 24 ELSE 3 END::INT AS n_points FROM h")
+def v5(spark, sf_dir):
+    return hazard_view(spark, sf_dir).select("subject", "label", "kind", "severity", "status", F.size("geometry").alias("n_points"))
+
+
+@query("t1_point_layer", _E + _TRACKED + """SELECT 'track' AS kind, 'org.edge.cop.mavlink.track.system-' || sys AS subject FROM x UNION ALL SELECT 'asset', 'org.edge.cop.mavlink.asset.system-' || sys FROM x
+UNION ALL SELECT DISTINCT 'task', 'org.edge.cop.tak.task.u-' || user_id FROM e WHERE k > 0 AND event_type = 'click' UNION ALL SELECT DISTINCT 'advisory', 'org.edge.cop.tak.advisory.u-' || user_id FROM e WHERE k > 0 AND event_type = 'signup'""")
+def t1(spark, sf_dir):
+    wide = state.wide(state.current_state(vehicle_triples(spark, sf_dir)))
+    tracks = views.tracks(wide, now(), window())
+    assets = views.assets(wide, tracks).withColumnRenamed("name", "label")
+    layer = views.point_layer(track=tracks, asset=assets, task=operator_view(spark, sf_dir, "task"), advisory=operator_view(spark, sf_dir, "advisory"))
+    return layer.filter("lon is not null").select("kind", "subject")
+
+
+@query("t2_polygon_layer", "WITH q AS (SELECT 1)" + _H + "SELECT 'org.edge.cop.cap.hazard_area.w-' || key AS subject, CASE WHEN round THEN 24 ELSE 3 END::INT AS n_points, CASE WHEN NOT round THEN lon::DOUBLE END AS first_lon, lat::DOUBLE AS first_lat FROM h")
+def t2(spark, sf_dir):
+    first = F.get("polygon", F.lit(0))
+    lon = F.when(F.size("polygon") == 3, F.get(first, F.lit(0)))
+    return views.polygon_layer(hazard_view(spark, sf_dir)).select("subject", F.size("polygon").alias("n_points"), lon.alias("first_lon"), F.get(first, F.lit(1)).alias("first_lat"))
+
+
+@query("t3_hazard_labels", "WITH q AS (SELECT 1)" + _H + "SELECT 'High Wind: Zone ' || key % 7 AS label, key AS key, round(lon + CASE WHEN round THEN 0 ELSE 1 / 6 END, 6) AS lon, round(lat + CASE WHEN round THEN 0 ELSE 1 / 3 END, 6) AS lat FROM h")
+def t3(spark, sf_dir):
+    return views.hazard_labels(hazard_view(spark, sf_dir)).select("label", F.regexp_extract("subject", r"w-(\d+)$", 1).cast("long").alias("key"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+@query(
+    "e1_hazard_intersections",
+    _E + _H + """, x AS (SELECT event_id, abs((event_id * 104729) % 2000000000 - 1000000000) / 1e7 AS lon, abs((event_id * 7919) % 1000000000 - 500000000) / 1e7 AS lat FROM usable WHERE event_type = 'view'),
+    c AS (SELECT event_id, key, round, x.lon - h.lon AS dx, x.lat - h.lat AS dy, (x.lon - h.lon) * cos(radians(h.lat)) * 111.32 / 7.5 AS u, (x.lat - h.lat) * 111.32 / 7.5 AS w FROM x, h WHERE abs(x.lon - h.lon) < 1 AND abs(x.lat - h.lat) < 1),
+    a AS (SELECT *, atan2(w, u) AS angle FROM c)
+    SELECT event_id::VARCHAR AS entity_id, 'org.edge.cop.cap.hazard_area.w-' || key AS hazard_id FROM a
+    WHERE CASE WHEN round THEN sqrt(u * u + w * w) * cos(angle - floor(angle / (pi() / 12)) * (pi() / 12) - pi() / 24) < cos(pi() / 24) ELSE dx > 0 AND dy < 0.5 AND dy > dx END""",
+)
+def e1(spark, sf_dir):
+    """Every reported position, mirrored into the north-east where the warnings lie."""
+    at = mavlink.decode(lenses.frames(spark, sf_dir)).filter("global_position_int.lat is not null")
+    points = at.select(F.col("event_id").cast("string").alias("subject"), (F.abs("global_position_int.lon") / 1e7).alias("lon"), (F.abs("global_position_int.lat") / 1e7).alias("lat"))
+    return views.hazard_intersections(points, hazard_view(spark, sf_dir))
+
+
+@query("e2_stale_track_alerts", _E + _TRACKED + "SELECT 'org.edge.cop.mavlink.track.system-' || sys AS entity_id, 'warning' AS severity FROM x WHERE TIMESTAMP '2024-01-31' - seen_at > INTERVAL 6 HOUR")
+def e2(spark, sf_dir):
+    return views.stale_track_alerts(track_view(spark, sf_dir)).select("entity_id", "severity")
+
+
+@query("e3_low_battery_alerts", _E + "SELECT 'org.edge.cop.mavlink.track.system-' || sys AS entity_id, b::INT AS battery FROM (SELECT sys, arg_max(k, event_id) AS b FROM usable WHERE event_type = 'purchase' GROUP BY sys) WHERE b < 20")
+def e3(spark, sf_dir):
+    current = state.current_state(mavlink.project(mavlink.decode(lenses.frames(spark, sf_dir)), ORG, PLATFORM, SURE, KEEP))
+    return views.low_battery_alerts(current, 20).select("entity_id", "battery")
+
+
+@query(
+    "x4_run_summary",
+    _E + """, s AS (SELECT floor(epoch(ts) / 600) AS slot, max(k = 99) AS bad FROM e GROUP BY slot), f AS (SELECT 'mavlink' AS feed, event_type = 'error' AS bad FROM e UNION ALL SELECT 'cot', k = 0 FROM e
+    UNION ALL SELECT 'cap', o_orderkey % 3 <> 0 AND o_orderkey % 50 = 1 FROM orders UNION ALL SELECT 'adsb', bad FROM s)
+    SELECT feed, count(*)::BIGINT AS inputs, count(*) FILTER (NOT bad)::BIGINT AS completed, count(*) FILTER (bad)::BIGINT AS failed, CASE WHEN bool_or(bad) THEN 'failed' ELSE 'succeeded' END AS state FROM f GROUP BY feed""",
+)
+def x4(spark, sf_dir):
+    """Steps of all four feeds; a snapshot is one step, whatever the number of its states."""
+    snapshots = adsb.decode(lenses.snapshots(spark, sf_dir), "slot").groupBy("slot").agg(F.min("error").alias("error"))
+    feeds = {"mavlink": mavlink.decode(lenses.frames(spark, sf_dir)), "cot": cot.decode(lenses.cot_events(spark, sf_dir)), "cap": cap.decode(lenses.warnings(spark, sf_dir)), "adsb": snapshots}
+    steps = None
+    for feed, decoded in feeds.items():
+        part = decoded.select(F.lit(feed).alias("feed"), "error")
+        steps = part if steps is None else steps.unionByName(part)
+    return state.run_summary(steps)
+
+
+@query("q1_prefix_scan", _E + ", s AS (SELECT DISTINCT 'org.edge.cop.mavlink.track.system-' || sys AS subject FROM usable) SELECT subject, (SELECT count(*) > 100 FROM s) AS truncated FROM s ORDER BY subject LIMIT 100")
+def q1(spark, sf_dir):
+    return views.prefix_scan(state.entities(vehicle_triples(spark, sf_dir)), f"{ORG}.{PLATFORM}.cop.mavlink.track", 100)
+
+
+@query("r1_assign_refs", _E + "SELECT event_id, 'mavlink://raw/uav-' || user_id % 4 || '/' || lpad((row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id))::VARCHAR, 8, '0') AS ref FROM e")
+def r1(spark, sf_dir):
+    return lenses.frames(spark, sf_dir).select("event_id", "ref")

@@ -198,3 +198,19 @@ def test_sensor_messages(spark):
     classes = sorted((r.n, r.path, r.type, r.level) for r in sapient.classifications(decoded, ["n"]).collect())
     assert classes == [(9, "0", "a", None), (9, "0.0", "b", 2)]
     assert decoded.limit(0).count() == 0 and sapient.decode(raw.limit(0)).count() == 0
+
+
+def test_hazards_meet_points(spark):
+    square = [(0.0, 0.0), (0.0, 2.5), (2.5, 2.5), (2.5, 0.0)]
+    notch = [(-1.0, -1.0), (-1.0, -5.0), (-3.0, -3.0), (-5.0, -5.0), (-5.0, -1.0)]
+    hazards = spark.createDataFrame([("sq", "a", square), ("no", "b", notch), ("line", "c", square[:2])], "subject string, label string, geometry array<struct<lat double, lon double>>")
+    points = spark.createDataFrame([("in", 1.2, 2.3), ("out", 2.6, 1.0), ("in2", -1.5, -3.0), ("gap", -4.5, -3.0), ("none", None, 1.0), ("in", 1.2, 2.3)], "subject string, lon double, lat double")
+    got = sorted((r.entity_id, r.hazard_id) for r in views.hazard_intersections(points, hazards).collect())
+    assert got == [("in", "sq"), ("in", "sq"), ("in2", "no")]
+    layer = {r.subject: r.polygon for r in views.polygon_layer(hazards).collect()}
+    assert set(layer) == {"sq", "no"} and layer["sq"][1] == [2.5, 0.0]
+    label = {r.subject: (r.lon, r.lat) for r in views.hazard_labels(hazards).collect()}
+    assert label["sq"] == (1.25, 1.25)
+    assert views.hazard_intersections(points.limit(0), hazards).count() == 0
+    steps = spark.createDataFrame([("a", None), ("a", "x"), ("b", None)], "feed string, error string")
+    assert sorted(tuple(r) for r in state.run_summary(steps).collect()) == [("a", 2, 1, 1, "failed"), ("b", 1, 1, 0, "succeeded")]
