@@ -217,14 +217,33 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
     return hashed.join(every, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _row_keys(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, hash of the text (column text_hash) and fp of every row."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = pa.array([simhash(t, shingle) for t in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), fps], ["doc_id", "text_hash", "fp"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    text = F.coalesce("text", F.lit(""))
+    return documents.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(hashed, f"doc_id {kind}, text_hash long, fp long")
+
+
 def one_of_each(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents without near-duplicates: of each component the one whose doc_id names it.
+    """The documents without near-duplicates: one row of each component.
 
-    Of rows that share that doc_id one stays.
+    It is the one with the least doc_id, then the least hash of its text; null doc_ids come last. Components are
+    told apart by their root, so those that share a doc_id, or have none, each keep a row.
     """
-    found = near_duplicates(documents, radius).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__stays")).distinct()
-    kept = documents.join(found, F.col("doc_id").eqNullSafe(F.col("__stays")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    least = cut(_row_keys(documents).groupBy("fp").agg(F.min(key).alias("least")))
+    member = components(links(least, radius))
+    rooted = least.join(member, least["fp"] == member["node"], "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    stays = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("__doc"), F.col("least.text_hash").alias("__stays"))
+    hashed = documents.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = hashed.join(stays, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__stays")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__hash"]).drop("__hash")
 
 
 def query(spark, sf_dir):

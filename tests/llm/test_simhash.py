@@ -91,3 +91,11 @@ def test_large_collisions_join_like_all_pairs():
         x, y = simhash._close_pairs(fps, 3)
         assert (np.bitwise_count(fps[x] ^ fps[y]) <= 3).all()
         assert (simhash._roots(len(fps), x, y) == want).all()
+
+
+def test_each_component_keeps_one_row_whatever_its_doc_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (7, text(2)), (7, text(3)), (7, text(3)), (8, text(3)), (9, text(0)), ((1 << 60) + 1, text(4)), (5, "A b"), (5, "a B")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((str(r.doc_id), r.text.lower()) for r in kept)
+    assert got == sorted([("9", text(0)), ("None", text(1)), ("7", text(2)), ("7", text(3)), (str((1 << 60) + 1), text(4)), ("5", "a b")])
