@@ -13,6 +13,8 @@ Windows of three words are compared by a 64-bit hash of their words' hashes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,15 @@ BOILERPLATE_WORDS = 20
 NAVIGATION = r"([»›→].*){2}"
 NAVIGATION_WORDS = 15
 SHOUT_WORDS = 5
+# Only for kept_documents: what stands between the entries of a menu, and site furniture in the other languages.
+SEPARATORS = ("|", "·", "•", ">", "/", "»", "›", "→")
+LEAST_SEPARATORS = 3
+SEPARATOR_PERCENT = 30
+BOILERPLATE_ELSEWHERE = (
+    r"(?i)(^|[^\p{L}])(alle cookies akzeptieren|cookie-?(richtlinie|einstellungen)|datenschutzerklärung|nutzungsbedingungen|alle rechte vorbehalten|hier klicken|weiterlesen"
+    r"|(accepter|gérer) (tous )?les cookies|politique de confidentialité|conditions d'utilisation|tous droits réservés|cliquez ici|lire la suite|mentions légales"
+    r"|aceptar (todas )?las cookies|política de (privacidad|cookies)|términos de uso|todos los derechos reservados|haga clic aquí|iniciar sesión|leer más)([^\p{L}]|$)"
+)
 
 
 def _chars(text: Column) -> Column:
@@ -51,6 +62,22 @@ def line_fails(line: Column) -> Column:
     return bind(F.size(words(line)), judged)
 
 
+def is_menu(line: Column) -> Column:
+    """Whether a line of any length consists of entries between separators that stand as words of their own."""
+
+    def judged(w: Column) -> Column:
+        n = F.size(F.filter(w, lambda x: x.isin(*SEPARATORS)))
+        return (n >= LEAST_SEPARATORS) & (100 * n >= SEPARATOR_PERCENT * F.size(w))
+
+    return F.when(line.rlike("[" + "".join(SEPARATORS) + "]"), bind(words(line), judged)).otherwise(F.lit(False))
+
+
+def line_fails_stage(line: Column) -> Column:
+    """What kept_documents removes: also menus by their separators, and short furniture in the other languages."""
+    elsewhere = F.when(line.rlike(BOILERPLATE_ELSEWHERE), F.size(words(line)) <= BOILERPLATE_WORDS).otherwise(F.lit(False))
+    return line_fails(line) | is_menu(line) | elsewhere
+
+
 def repeated_words(tokens: Column) -> Column:
     """Words that lie in a window of three words found twice or more in the text."""
 
@@ -72,12 +99,15 @@ def repeated_words(tokens: Column) -> Column:
     return bind(F.transform(tokens, lambda w: F.xxhash64(w)), windows).cast("long")
 
 
-def judge(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` with a struct ``__quality``: counts, verdicts and the cleaned text."""
+def judge(documents: DataFrame, fails: Callable[[Column], Column] = line_fails) -> DataFrame:
+    """The rows of ``documents`` with a struct ``__quality``: counts, verdicts and the cleaned text.
+
+    ``fails`` says whether a line is to be removed; the SQL of op8 fixes it for the query.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     split = documents.withColumn("__q", F.struct(text.alias("text"), words(text).alias("words"), F.split(text, "\n").alias("lines")))
     full = F.filter("__q.lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    failed = F.filter("__q.lines", line_fails)
+    failed = F.filter("__q.lines", fails)
     counted = split.withColumn(
         "__n",
         F.struct(
@@ -91,7 +121,7 @@ def judge(documents: DataFrame) -> DataFrame:
     )
     base_failed = (F.col("__n.n_words") < LEAST_WORDS) | (100 * F.col("__n.n_repeat_words") > REPEATED_PERCENT * F.col("__n.n_words"))
     lost_much = 100 * F.col("__n.failed.chars") > LOST_PERCENT * F.col("__n.word_chars")
-    cleaned = F.when(F.col("__n.failed.n") == 0, F.col("__q.text")).otherwise(F.array_join(F.filter("__q.lines", lambda x: ~line_fails(x)), "\n"))
+    cleaned = F.when(F.col("__n.failed.n") == 0, F.col("__q.text")).otherwise(F.array_join(F.filter("__q.lines", lambda x: ~fails(x)), "\n"))
     out = F.struct(
         *[F.col(f"__n.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         base_failed.alias("base_failed"),
@@ -110,7 +140,7 @@ def quality(documents: DataFrame) -> DataFrame:
 
 def kept_documents(documents: DataFrame) -> DataFrame:
     """The documents that pass, without their failing lines; n_chars follows the text."""
-    judged = judge(documents).filter("__quality.kept").withColumn("text", F.col("__quality.cleaned"))
+    judged = judge(documents, line_fails_stage).filter("__quality.kept").withColumn("text", F.col("__quality.cleaned"))
     if "n_chars" in documents.columns:
         judged = judged.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return judged.select(*documents.columns)

@@ -30,6 +30,16 @@ def test_quality_of_odd_rows(spark):
     assert quality.quality(docs.limit(0)).count() == 0
 
 
+def test_stage_removes_menus_of_any_length_and_furniture_of_all_languages(spark):
+    good = "\n".join(" ".join(f"w{i}x{k}" for k in range(8)) + "." for i in range(12))
+    menu = " | ".join(f"entry{k}" for k in range(60))
+    paths = "see a/b or either / or, 3 > 2 | maybe not in this one sentence of prose"
+    texts = [menu, good + "\n" + " · ".join("abcdef"), good + "\nAlle Cookies akzeptieren", good + "\nTous droits réservés", good + "\nIniciar sesión", good + "\n" + paths, good + "\nHome | About", good]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in quality.kept_documents(docs).collect()}
+    assert got == {1: good, 2: good, 3: good, 4: good, 5: texts[5], 6: texts[6], 7: good}
+
+
 @pytest.mark.parametrize("words", ["a a a a", "a b c d a b c", "a b c x b c a b c", "a b", ""])
 def test_repeated_words(spark, words):
     from pyspark.sql import functions as F
