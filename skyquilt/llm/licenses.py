@@ -2,11 +2,11 @@
 
 Paragraphs are lines. Features are word bigrams that occur in the licence templates below (their number is
 fixed by the templates). A multinomial logistic regression is fitted over the licence families, "unknown"
-(licence-like text of no family) and "none" on windows of the templates and, for "none", on a sample of at most
-NEGATIVES lines of the input that name no licence. Its threshold is calibrated on windows held out of the fit.
+(licence-like text of no family) and "none" on windows of the templates and, for "none", on at most NEGATIVES
+different lines of the input that name no licence and share less than NEAR of any template's bigrams. Its threshold is calibrated on windows held out of the fit.
 A prediction is confirmed by comparison with the family's templates: CONTAINED of a template's bigrams stand in
 the paragraph, or of the paragraph's bigrams in a template. A family that is predicted but too unsure or
-unconfirmed becomes "unknown".
+unconfirmed becomes "unknown", if the line names a licence or half of CONTAINED is reached, however unsure it is.
 
 Every line of every document is scored: its bigrams meet the broadcast vocabulary, and only those found in it
 go on. A line without any has no evidence and is "none".
@@ -22,13 +22,17 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import bind, cut, table
 
 NEGATIVES = 2000
 WINDOWS = (6, 9, 14)
 HELD_OUT = 5
 CONTAINED = 0.6
 PRECISION = 0.99
+#: A line with this part of a template's bigrams, or NEAR_GRAMS of one that are this part of its own, is no example of "none".
+NEAR = 0.3
+NEAR_GRAMS = 4
+NAMED = r"licen[cs]|copyright|rights reserved|public domain"
 # Notices as the licences word them.
 TEMPLATES = (
     ("mit", "Released under the MIT License."),
@@ -79,6 +83,21 @@ def vocabulary(spark: SparkSession) -> DataFrame:
     return held.join(F.broadcast(index), "gram")
 
 
+def near_template(line: Column, held: list[list[int]]) -> Column:
+    """Whether a line has NEAR of the bigrams of a template, or is made of them by that part. held: bigrams by template."""
+    array = lambda grams: F.array(*[F.lit(g) for g in grams])
+    every = array(sorted({g for grams in held for g in grams}))
+
+    def judged(both: Column) -> Column:
+        def one(grams: list[int]) -> Column:
+            t = F.size(F.array_intersect(both["common"], array(grams)))
+            return (t >= NEAR * len(grams)) | (t >= NEAR_GRAMS) & (t >= NEAR * both["n"])
+
+        return F.when(F.size(both["common"]) > 0, F.greatest(*[one(grams) for grams in held if grams])).otherwise(F.lit(False))
+
+    return bind(bind(bigrams(line), lambda g: F.struct(F.array_intersect(g, every).alias("common"), F.size(g).alias("n"))), judged)
+
+
 def examples(lines: DataFrame) -> DataFrame:
     """Labelled (family, line): templates, their windows, and lines that name no licence."""
     known = templates(lines.sparkSession)
@@ -87,8 +106,11 @@ def examples(lines: DataFrame) -> DataFrame:
     positive = known.select("family", "line")
     for w in windows:
         positive = positive.unionByName(w)
-    plain = lines.filter(~F.lower("line").rlike("licen[cs]|copyright|rights reserved|public domain") & (F.length("line") > 0))
-    negative = plain.orderBy(F.xxhash64("line"), "line").limit(NEGATIVES).select(F.lit("none").alias("family"), "line")
+    plain = lines.select("line", F.xxhash64("line").alias("h")).filter((F.length("line") > 0) & ~F.lower("line").rlike(NAMED))
+    held = [r.grams for r in known.orderBy("template").select(bigrams(F.col("line")).alias("grams")).collect()]  # as many as the templates have
+    far = ~near_template(F.col("line"), held)
+    last = plain.filter(far).select("h").distinct().orderBy("h").limit(NEGATIVES).agg(F.max("h")).first()[0]
+    negative = plain.filter((F.col("h") <= F.lit(last).cast("long")) & far).select(F.lit("none").alias("family"), "line").distinct()
     return positive.distinct().unionByName(negative)
 
 
@@ -125,24 +147,24 @@ def paragraphs(documents: DataFrame) -> DataFrame:
     lines = _lines(documents)
     words, intercepts, threshold = classifier(lines)
     sizes = [r.n for r in templates(lines.sparkSession).select(F.size(bigrams(F.col("line"))).alias("n"), "template").orderBy("template").collect()]
-    grams = lines.withColumn("grams", bigrams(F.col("line"))).select("__doc", "__hash", "at", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    grams = lines.withColumn("grams", bigrams(F.col("line"))).select("__doc", "__hash", "at", F.size("grams").alias("n"), F.lower("line").rlike(NAMED).alias("named"), F.explode("grams").alias("gram"))
     hits = grams.join(F.broadcast(words), "gram")
-    by_line = hits.groupBy("__doc", "__hash", "at", "n").agg(
+    by_line = hits.groupBy("__doc", "__hash", "at", "n", "named").agg(
         *[F.sum(F.get("weights", F.lit(k))).alias(f"w{k}") for k in range(len(CLASSES))], *[F.count_if(F.array_contains("templates", F.lit(t))).alias(f"t{t}") for t in range(len(TEMPLATES))]
     )
     logits = F.array(*[F.col(f"w{k}") + intercepts[k] for k in range(len(CLASSES))])
     shared = [F.greatest(F.col(f"t{t}") / max(1, sizes[t]), F.col(f"t{t}") / F.col("n")) for t in range(len(TEMPLATES))]
     likest = [F.greatest(F.lit(0.0), *[shared[t] for t, (f, _) in enumerate(TEMPLATES) if f == family]) for family in FAMILIES]
-    scored = by_line.select("__doc", "__hash", "at", logits.alias("z"), F.array(*likest, F.lit(0.0)).alias("likest"))
+    scored = by_line.select("__doc", "__hash", "at", "named", logits.alias("z"), F.array(*likest, F.lit(0.0)).alias("likest"))
     top = scored.withColumn("m", F.array_max("z")).withColumn("k", (F.array_position("z", F.col("m")) - 1).cast("int"))
     p = 1 / F.aggregate("z", F.lit(0.0), lambda acc, z: acc + F.exp(z - F.col("m")))
     names = F.array(*[F.lit(c) for c in CLASSES])
     named = top.withColumn("p", p).withColumn("c", F.get(names, F.col("k"))).filter("c <> 'none'")
     sure = (F.col("p") >= threshold) & (F.get("likest", F.col("k")) >= CONTAINED)
     doubt = F.col("c").eqNullSafe("unknown") | ~sure
-    # What is neither sure nor half like any template is prose that shares a few words with one.
+    # What names no licence and is not half like any template is prose that shares a few words with one.
     out = named.withColumn("family", F.when(doubt, F.lit("unknown")).otherwise(F.col("c")))
-    return out.filter((F.col("family") != "unknown") | (F.array_max("likest") >= CONTAINED / 2) & (F.col("p") >= threshold)).select("__doc", "__hash", "at", "family", "p")
+    return out.filter((F.col("family") != "unknown") | F.col("named") | (F.array_max("likest") >= CONTAINED / 2)).select("__doc", "__hash", "at", "family", "p")
 
 
 def scan(documents: DataFrame) -> DataFrame:

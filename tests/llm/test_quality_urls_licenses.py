@@ -90,3 +90,21 @@ def test_license_scan(spark):
     docs = spark.createDataFrame([(i, t, "c") for i, t in rows * 2], "doc_id long, text string, families string")
     got = licenses.scan(docs).collect()
     assert len(got) == 10 and {r.doc_id: r.families for r in got} == {1: "", 2: "", 3: "", 4: "apache", 5: "mit"}
+
+
+def test_license_examples_of_none_are_different_lines_far_from_the_templates(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "NEGATIVES", 20)
+    notice = next(t for f, t in licenses.TEMPLATES if f == "bsd" and "Redistribution" in t)
+    prose = [f"plain line {i} of the same kind and in the form of a file" for i in range(15)]
+    lines = spark.createDataFrame([(t,) for t in [*prose * 40, notice, notice[:90], "", "a licence"]], "line string")
+    got = sorted(r.line for r in licenses.examples(lines).filter("family = 'none'").collect())
+    assert got == sorted(prose)
+
+
+def test_unsure_licence_lines_are_unknown(spark, monkeypatch):
+    lines = ["This file is distributed under the Foo Public License, version 9, of its makers.", "The sun is out and it is warm.", "All you can eat in the garden."]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    model = licenses.classifier
+    monkeypatch.setattr(licenses, "classifier", lambda lines: (*model(lines)[:2], 2.0))
+    got = {r.doc_id: (r.families, r.n_licence, r.n_unknown) for r in licenses.scan(docs).collect()}
+    assert got == {0: ("", 0, 1), 1: ("", 0, 0), 2: ("", 0, 0)}
