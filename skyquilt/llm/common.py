@@ -28,15 +28,36 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names; in local mode, where none is set, a folder of our own."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that the cluster names.
+    """Cut the lineage with a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
-    A folder of our own is set only where spark.checkpoint.dir is unset, as in local tests.
+
+def join_spread(rows: DataFrame, values: DataFrame, key: str, hot: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``values`` (one row a key), inner, without one task for a key that many rows share.
+
+    Keys with more than 1/``hot`` of all rows, fewer than ``hot`` of them at any size of the data, are joined by
+    broadcast; all others by shuffle. ``rows`` should be cut: they are read three times.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    total = rows.count()
+    often = rows.groupBy(key).count().filter(F.col("count") * hot > total).select(key)
+    few = cut(values.join(F.broadcast(often), key, "left_semi"))
+    by_broadcast = rows.join(F.broadcast(few), key)
+    return rows.join(F.broadcast(few.select(key)), key, "left_anti").join(values, key).unionByName(by_broadcast)
 
 
 def count_of(text: Column, char_class: str) -> Column:

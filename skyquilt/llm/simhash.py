@@ -19,12 +19,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, join_spread, table
 
 SHINGLE = 3
 RADIUS = 3
@@ -32,6 +31,7 @@ BLOCKS = 4
 BITS = 64
 PAIRS_AT_ONCE = 512
 HASHES_AT_ONCE = 1 << 16
+ROWS_PER_PART = 500_000
 _ONE = np.uint64(1)
 
 
@@ -54,14 +54,15 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (signed long) of every row."""
+    """doc_id, as it was given, and fp (signed long) of every row."""
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.fromiter((simhash(t, shingle) for t in batch["text"]), np.int64, len(batch))})
+            fps = pa.array([simhash(t.as_py(), shingle) for t in batch.column("text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], ["doc_id", "fp"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(hashed, f"doc_id {kind}, fp long")
+    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(hashed, f"doc_id {kind}, fp long")
 
 
 def _masks(blocks: int) -> list[np.uint64]:
@@ -187,10 +188,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds: the number of rounds grows with the logarithm of the longest chain, and
     no node gathers its neighbours; each round is a minimum by node, then a join. Ends when nothing moves.
+    Links never grow in number, so each round is written in parts of about ROWS_PER_PART links.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    mark = F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    before = edges.agg(*mark).first()
     while True:
-        before = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         for large in (True, False):
             around = edges.select("a", "b") if not large else edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
             low = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -200,13 +203,18 @@ def components(edges: DataFrame) -> DataFrame:
             else:
                 moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
             edges = moved.filter("a <> b").distinct()
-        edges = cut(edges)
-        if edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == before:
+        edges = cut(edges.coalesce(1 + before[0] // ROWS_PER_PART))
+        after = edges.agg(*mark).first()
+        if after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        before = after
 
 
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every document."""
+    """doc_id, fingerprint (16 hex digits) and component_id of every document.
+
+    Copies of one fingerprint may be a third of all rows; ``join_spread`` keeps them out of one task.
+    """
     hashed = cut(fingerprints(documents, shingle))
     least = cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")))
     member = components(links(least, radius, blocks))
@@ -214,36 +222,7 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = named.join(lowest, "root").select("fp", "component_id")
     every = least.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return hashed.join(every, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def _row_keys(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, hash of the text (column text_hash) and fp of every row."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = pa.array([simhash(t, shingle) for t in batch.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), fps], ["doc_id", "text_hash", "fp"])
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    text = F.coalesce("text", F.lit(""))
-    return documents.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(hashed, f"doc_id {kind}, text_hash long, fp long")
-
-
-def one_of_each(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents without near-duplicates: one row of each component.
-
-    It is the one with the least doc_id, then the least hash of its text; null doc_ids come last. Components are
-    told apart by their root, so those that share a doc_id, or have none, each keep a row.
-    """
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    least = cut(_row_keys(documents).groupBy("fp").agg(F.min(key).alias("least")))
-    member = components(links(least, radius))
-    rooted = least.join(member, least["fp"] == member["node"], "left").select(F.coalesce("root", "fp").alias("root"), "least")
-    stays = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("__doc"), F.col("least.text_hash").alias("__stays"))
-    hashed = documents.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = hashed.join(stays, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__stays")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    return join_spread(hashed, every, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def query(spark, sf_dir):

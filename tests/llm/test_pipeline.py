@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline
 
-from skyquilt.llm import mixing, packing, personal, quality, simhash
+from skyquilt.llm import mixing, packing, personal, quality, similar
 
 DIR = "/root/testdata/sf0.001"
 
@@ -20,24 +20,7 @@ DIR = "/root/testdata/sf0.001"
 def test_pipeline_whole(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     kept = quality.kept_documents(docs).collect()
-    groups = {}
-    for r in sorted(kept, key=lambda r: r.doc_id):
-        fp = simhash.simhash(r.text) % 2**64
-        groups[r.doc_id] = fp
-    parent = {d: d for d in groups}
-
-    def root(d):
-        while parent[d] != d:
-            d = parent[d]
-        return d
-
-    ids = sorted(groups)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            if (groups[a] ^ groups[b]).bit_count() <= 3:
-                x, y = sorted((root(a), root(b)))
-                parent[y] = x
-    single = [r for r in kept if root(r.doc_id) == r.doc_id]
+    single = similar.one_of_each(spark.createDataFrame(kept, docs.schema)).collect()  # held to brute force in test_similar.py
     masked = personal.masked_documents(spark.createDataFrame(single, docs.schema))
     mixed = mixing.mixed_documents(masked).collect()
     vocabulary = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
@@ -49,3 +32,16 @@ def test_pipeline_whole(spark):
     assert {k: n * k[1] for k, n in want.items()} == dict(words)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "personal_data", "source_mix", "packed_sequences"]
     assert zlib.crc32(np.array([1], "<u4").tobytes()) > 0
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows and an empty table; what is dropped is dropped for a rule, and nothing else goes."""
+    plain = lambda k: " ".join(f"Sentence {k} word{i} {k * i}." for i in range(40))
+    rows = [(1, plain(1), "en", "a", 5), (1, plain(1), "en", "a", 5), (None, plain(2), None, None, None), (3, None, "en", "b", 0), (4, "", "en", "b", 0), (2, plain(3), "en", None, 1), (2, plain(4), "en", None, 1)]
+    for name, part in (("rows", rows), ("none", [])):
+        spark.createDataFrame(part, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/rows/documents.parquet")
+    assert sorted((str(r.doc_id), r.text) for r in similar.one_of_each(quality.kept_documents(docs)).collect()) == [("1", plain(1)), ("2", plain(3)), ("2", plain(4)), ("None", plain(2))]
+    pieces = corpus_pipeline.run(spark, f"{tmp_path}/rows").collect()
+    assert {r.doc_id for r in pieces} <= {1, 2, None} and len({r.doc_tokens for r in pieces}) > 1
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
