@@ -28,6 +28,11 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def doc_key(name: str = "__doc") -> Column:
+    """doc_id as text that is never null; a null id is unlike every other."""
+    return F.when(F.col("doc_id").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("doc_id").cast("string"))).alias(name)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the cluster names; in local mode, where none is set, a folder of our own."""
     context = spark.sparkContext

@@ -1,14 +1,15 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch keeps every hash of a five-word shingle below a fixed fraction (1 / SCALE) of the hash range;
-sketches of any two texts are comparable and merge by union. A text with at most WHOLE distinct shingles
-keeps them all, as a fraction of a few shingles says little; where such a sketch meets a scaled one, both
-are cut to the common fraction.
+A sketch keeps every hash of a five-word shingle below a fixed fraction (1 / SCALE) of the hash range, and the text's
+least hash, which alone speaks for a text that has none below. The rule is the same for texts of every length.
+Sketches of any two texts are comparable, however unequal, and merge: the sketch of two texts together follows from
+their sketches.
 
 Defined results: null and empty texts, and texts of white space alone, have an empty sketch, and two empty
-sketches have likeness 1; a text of fewer than five words is one shingle; two sketches of which nothing
-lies below the common fraction have likeness 0; equal texts have equal sketches. Documents are ordered by
-doc_id, null first, ties by text, repeated rows next to each other; a lone document is its own next.
+sketches have likeness 1; a text of fewer than five words is one shingle; equal texts have equal sketches. Documents
+are ordered by doc_id, null first, ties by text, repeated rows next to each other; a lone document is its own next;
+doc_id must be a whole number, other kinds raise TypeError; an empty table gives an empty result; only doc_id and
+text are read.
 """
 
 from __future__ import annotations
@@ -18,65 +19,73 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import bind, table, words
 
 SHINGLE = 5
-SCALE_BITS = 3
-WHOLE = 64
+SCALE_BITS = 2
 ROWS_PER_RANGE = 2000
 MOST_RANGES = 65536
 _NO_ID = -(2**63)
 
 
-def below(hashes: Column) -> Column:
-    """The hashes below 1 / 2**SCALE_BITS of the unsigned range."""
-    return F.filter(hashes, lambda h: (h >= 0) & (h < 2 ** (64 - SCALE_BITS)))
+def unsigned(h: Column) -> Column:
+    """Orders hashes as unsigned numbers."""
+    return h.bitwiseXOR(F.lit(-(2**63)))
+
+
+def pruned(hashes: Column) -> Column:
+    """Of distinct hashes those below 1 / 2**SCALE_BITS of the unsigned range, and the least one; ascending as unsigned."""
+
+    def kept(ordered: Column) -> Column:
+        low = F.filter(ordered, lambda x: x < -(2**63) + 2 ** (64 - SCALE_BITS))
+        return F.transform(F.when(F.size(low) > 0, low).otherwise(F.slice(ordered, 1, 1)), unsigned)
+
+    return bind(F.sort_array(F.transform(hashes, unsigned)), kept)
 
 
 def sketch(text: Column) -> Column:
-    """struct(whole boolean, hashes array<long> ascending) of a text."""
+    """The kept hashes of a text's shingles, array<long>."""
 
     def shingled(h: Column) -> Column:
         every = F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(SHINGLE)]))
         one = F.array(F.aggregate(h, F.lit(42).cast("long"), lambda acc, x: F.xxhash64(acc, x)))
         return F.when(F.size(h) >= SHINGLE, every).when(F.size(h) > 0, one).otherwise(F.array().cast("array<bigint>"))
 
-    def kept(distinct: Column) -> Column:
-        whole = F.size(distinct) <= WHOLE
-        return F.struct(whole.alias("whole"), F.sort_array(F.when(whole, distinct).otherwise(below(distinct))).alias("hashes"))
-
     hashed = F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))
-    return bind(F.array_distinct(bind(hashed, shingled)), kept)
+    return bind(F.array_distinct(bind(hashed, shingled)), pruned)
 
 
-def printed(sk: Column) -> Column:
-    """A sketch as text: its scale, then its hashes in hex."""
-    hexes = F.array_join(F.transform(sk["hashes"], lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), ",")
-    return F.concat(F.when(sk["whole"], F.lit("1:")).otherwise(F.lit(f"{2**SCALE_BITS}:")), hexes)
+def merged(a: Column, b: Column) -> Column:
+    """The sketch of two texts together, from their sketches: what is below the fraction in either, else the least hash."""
+    return bind(F.array_union(a, b), pruned)
+
 
+def merged_sketches(sketches: DataFrame, key: str, column: str) -> DataFrame:
+    """One sketch for each value of ``key``: that of all its texts together. Hashes are made distinct before they are gathered."""
+    distinct = sketches.select(key, F.explode(column).alias("__h")).distinct()
+    return distinct.groupBy(key).agg(pruned(F.collect_list("__h")).alias(column))
 
-def _common(a: Column, b: Column) -> tuple[Column, Column]:
-    both = a["whole"] & b["whole"]
-    return F.when(both, a["hashes"]).otherwise(below(a["hashes"])), F.when(both, b["hashes"]).otherwise(below(b["hashes"]))
+
+def printed(sk: Column) -> Column:
+    """A sketch as text: its hashes in hex."""
+    return F.array_join(F.transform(sk, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated resemblance (shared over all shingles) of two sketches, 0 to 1."""
-    x, y = _common(a, b)
+    """Estimated resemblance (shared over all shingles) of two sketches, 0 to 1: that of what their union keeps."""
 
-    def of(shared: Column) -> Column:
-        every = F.size(x) + F.size(y) - shared
-        empty = (F.size(a["hashes"]) == 0) & (F.size(b["hashes"]) == 0)
-        return F.when(every > 0, shared / every).otherwise(F.when(empty, 1.0).otherwise(0.0))
+    def of(union: Column) -> Column:
+        shared = F.size(F.array_intersect(F.array_intersect(a, b), union))
+        return F.when(F.size(union) > 0, shared / F.size(union)).otherwise(F.lit(1.0))
 
-    return bind(F.size(F.array_intersect(x, y)), of)
+    return bind(merged(a, b), of)
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the first sketch's shingles that the second has too; null where nothing can be said."""
-    x, y = _common(a, b)
-    return F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x))
+    """Estimated share of the first sketch's shingles that the second has too; null where the first is empty."""
+    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a))
 
 
 def id_ranges(ids: DataFrame, rows: int = ROWS_PER_RANGE) -> list[int]:
@@ -106,6 +115,8 @@ def with_next(documents: DataFrame, columns: dict[str, Column]) -> DataFrame:
     One shuffle by range of doc_id. The first document of each range, at most MOST_RANGES in all, is sent to
     the range before it too, so that every document finds its next one in its own range.
     """
+    if not isinstance(documents.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("documents are ordered by doc_id, which must be a whole number")
     keyed = documents.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
     bounds = id_ranges(keyed.select("__id"))
     ranged = keyed.withColumn("__range", range_of(F.col("__id"), bounds))

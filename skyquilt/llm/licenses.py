@@ -2,8 +2,9 @@
 
 Paragraphs are lines. Features are word bigrams that occur in the licence templates below (their number is
 fixed by the templates). A multinomial logistic regression is fitted over the licence families, "unknown"
-(licence-like text of no family) and "none" on windows of the templates and, for "none", on at most NEGATIVES
-different lines of the input that name no licence and share less than NEAR of any template's bigrams. Its threshold is calibrated on windows held out of the fit.
+(licence-like text of no family) and "none" on windows of the templates and, for "none", on PROSE and about NEGATIVES
+different lines of the input that name no licence and share less than NEAR of any template's bigrams (those with the
+lowest hashes, by their share of the hash range). Its threshold is calibrated on windows held out of the fit.
 A prediction is confirmed by comparison with the family's templates: CONTAINED of a template's bigrams stand in
 the paragraph, or of the paragraph's bigrams in a template. A family that is predicted but too unsure or
 unconfirmed becomes "unknown", if the line names a licence or half of CONTAINED is reached, however unsure it is.
@@ -12,7 +13,8 @@ Every line of every document is scored: its bigrams meet the broadcast vocabular
 go on. A line without any has no evidence and is "none".
 
 Defined results: null and empty texts have no licence; one-word lines have no bigram; equal rows have equal
-results; an empty table gives an empty result.
+results, as a line counts once however often its row is repeated; ties of classes go to the first of CLASSES; an
+empty table gives an empty result. Names of the input cannot clash, as only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bind, cut, table
+from .common import bind, cut, doc_key, table
 
 NEGATIVES = 2000
 WINDOWS = (6, 9, 14)
@@ -58,6 +60,8 @@ TEMPLATES = (
     ("unknown", "Licensed under the terms of the accompanying license."),
     ("unknown", "Released under a license of its own."),
 )
+#: Examples of "none" that are there whatever the input is, so that every class can be fitted.
+PROSE = ("It rained all night and the river rose.", "She put the letters back and closed the drawer.", "Prices went up again in the spring.")
 FAMILIES = tuple(dict.fromkeys(f for f, _ in TEMPLATES))
 CLASSES = (*FAMILIES, "none")
 
@@ -109,8 +113,11 @@ def examples(lines: DataFrame) -> DataFrame:
     plain = lines.select("line", F.xxhash64("line").alias("h")).filter((F.length("line") > 0) & ~F.lower("line").rlike(NAMED))
     held = [r.grams for r in known.orderBy("template").select(bigrams(F.col("line")).alias("grams")).collect()]  # as many as the templates have
     far = ~near_template(F.col("line"), held)
-    last = plain.filter(far).select("h").distinct().orderBy("h").limit(NEGATIVES).agg(F.max("h")).first()[0]
-    negative = plain.filter((F.col("h") <= F.lit(last).cast("long")) & far).select(F.lit("none").alias("family"), "line").distinct()
+    different = plain.agg(F.approx_count_distinct("h")).first()[0]
+    share = min(1.0, NEGATIVES / max(1, different))
+    low = F.shiftrightunsigned("h", 1) <= F.lit(min(2**63 - 1, int(share * 2**62) * 2))
+    negative = plain.filter(low).filter(far).select(F.lit("none").alias("family"), "line").distinct()
+    negative = negative.unionByName(lines.sparkSession.createDataFrame([("none", t) for t in PROSE], "family string, line string"))
     return positive.distinct().unionByName(negative)
 
 
@@ -138,7 +145,7 @@ def classifier(lines: DataFrame) -> tuple[DataFrame, list[float], float]:
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    keyed = documents.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__doc"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = documents.select(doc_key(), F.coalesce("text", F.lit("")).alias("text"))
     return keyed.select("__doc", F.xxhash64("text").alias("__hash"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
 
 
@@ -148,7 +155,8 @@ def paragraphs(documents: DataFrame) -> DataFrame:
     words, intercepts, threshold = classifier(lines)
     sizes = [r.n for r in templates(lines.sparkSession).select(F.size(bigrams(F.col("line"))).alias("n"), "template").orderBy("template").collect()]
     grams = lines.withColumn("grams", bigrams(F.col("line"))).select("__doc", "__hash", "at", F.size("grams").alias("n"), F.lower("line").rlike(NAMED).alias("named"), F.explode("grams").alias("gram"))
-    hits = grams.join(F.broadcast(words), "gram")
+    once = grams.join(F.broadcast(words.select("gram")), "gram").dropDuplicates(["__doc", "__hash", "at", "gram"])
+    hits = once.join(F.broadcast(words), "gram")
     by_line = hits.groupBy("__doc", "__hash", "at", "n", "named").agg(
         *[F.sum(F.get("weights", F.lit(k))).alias(f"w{k}") for k in range(len(CLASSES))], *[F.count_if(F.array_contains("templates", F.lit(t))).alias(f"t{t}") for t in range(len(TEMPLATES))]
     )
@@ -172,7 +180,7 @@ def scan(documents: DataFrame) -> DataFrame:
     found = paragraphs(documents).groupBy("__doc", "__hash").agg(
         F.array_join(F.array_remove(F.sort_array(F.collect_set("family")), "unknown"), ",").alias("families"), F.count_if(F.col("family") != "unknown").alias("n_licence"), F.count_if(F.col("family") == "unknown").alias("n_unknown")
     )
-    keyed = documents.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__hash"))
+    keyed = documents.select("doc_id", doc_key(), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__hash"))
     joined = keyed.join(found, ["__doc", "__hash"], "left")
     return joined.select("doc_id", F.coalesce("families", F.lit("")).alias("families"), F.coalesce("n_licence", F.lit(0)).cast("long").alias("n_licence"), F.coalesce("n_unknown", F.lit(0)).cast("long").alias("n_unknown"))
 

@@ -10,7 +10,7 @@ Each task packs the rows of its own partition, so nothing is shuffled and memory
 windows. Sequence ids carry the partition in their high bits.
 
 Defined results: null and empty texts are one id long (the end mark); repeated rows are packed each by
-itself; an empty table gives no pieces.
+itself; ids pass as they are, null ones too; an empty table gives no pieces; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -223,21 +224,32 @@ def pack(documents: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDO
     schema = SCHEMA.format(kind=kind)
     columns = [c.split()[0] for c in schema.split(", ")]
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         encode = encoder(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)).encode
         packer = Packer(window, TaskContext.get().partitionId() << 40)
+        id_type = None
+
+        def done() -> pa.RecordBatch:
+            rows = packer.take()
+            kinds = [id_type, *[pa.int64()] * (len(columns) - 1)]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], columns)
+
         for batch in batches:
-            lengths = batch["text"].str.len().cumsum()
-            for _, chunk in batch.groupby(lengths // CHUNK_CHARS):
-                for doc, ids in zip(chunk["doc_id"], encode(chunk["text"].tolist())):
-                    packer.add(None if doc != doc else doc, ids)
-                yield pd.DataFrame(packer.take(), columns=columns)
+            id_type = batch.column("doc_id").type
+            ids, lengths = batch.column("doc_id").to_pylist(), pc.utf8_length(batch.column("text")).to_numpy()
+            chunks = np.cumsum(lengths, dtype=np.int64) // CHUNK_CHARS
+            bounds = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(ids)]
+            for at, end in zip(bounds, bounds[1:]):
+                for doc, tokens in zip(ids[at:end], encode(batch.column("text").slice(at, end - at).to_pylist())):
+                    packer.add(doc, tokens)
+                yield done()
         packer.close()
-        yield pd.DataFrame(packer.take(), columns=columns)
+        if id_type is not None:
+            yield done()
 
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(packed, schema)
+    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(packed, schema)
 
 
 def query(spark, sf_dir):

@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, doc_key
 from .simhash import components
 
 SHINGLE = 5
@@ -165,10 +165,6 @@ def candidates(classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
-def _doc_key() -> Column:
-    return F.when(F.col("doc_id").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("doc_id").cast("string")))
-
-
 def row_keys(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, fp (long) and blocks (binary) of every row."""
 
@@ -220,8 +216,8 @@ def groups(documents: DataFrame, similar: float = SIMILAR, shingle: int = SHINGL
     within = distinct.select("fp", "text_hash").join(named, "fp").filter("text_hash <> of").select(F.col("text_hash").alias("a"), F.col("of").alias("b"))
     links = cut(between.union(within))
     nodes = links.select(F.col("a").alias("text_hash")).union(links.select(F.col("b").alias("text_hash"))).distinct()
-    least = distinct.join(nodes, "text_hash", "left_semi").select(F.col("text_hash"), F.col("least.doc_id").alias("doc_id")).select("text_hash", _doc_key().alias("doc"))
-    keys = documents.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), _doc_key().alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    least = distinct.join(nodes, "text_hash", "left_semi").select(F.col("text_hash"), F.col("least.doc_id").alias("doc_id")).select("text_hash", doc_key("doc"))
+    keys = documents.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), doc_key("doc"), F.coalesce("text", F.lit("")).alias("text"))
     texts = keys.join(least, ["text_hash", "doc"], "left_semi").select("text_hash", "text").dropDuplicates(["text_hash"])
     return distinct, components(verified(links, texts, similar, shingle))
 
@@ -230,6 +226,6 @@ def one_of_each(documents: DataFrame, similar: float = SIMILAR, shingle: int = S
     """The documents without near-duplicates: one row of each group."""
     distinct, roots = groups(documents, similar, shingle)
     rooted = distinct.join(roots, F.col("text_hash") == F.col("node"), "left").select(F.coalesce("root", "text_hash").alias("root"), "least")
-    stays = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("doc_id"), F.col("least.text_hash").alias("__hash")).select(_doc_key().alias("__doc"), "__hash")
-    keyed = documents.withColumns({"__doc": _doc_key(), "__hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    stays = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("doc_id"), F.col("least.text_hash").alias("__hash")).select(doc_key(), "__hash")
+    keyed = documents.withColumns({"__doc": doc_key(), "__hash": F.xxhash64(F.coalesce("text", F.lit("")))})
     return keyed.join(stays, ["__doc", "__hash"], "left_semi").dropDuplicates(["__doc", "__hash"]).select(*documents.columns)

@@ -6,8 +6,8 @@ interpolation (each order weighs by its own evidence). A URL that no rule fits i
 difference of the two log-likelihoods per character; the threshold is calibrated so that on URLs held out of
 the counts both kinds of error are equally frequent.
 
-The alphabet is folded to 40 symbols, so a model has at most 40 + 40**2 + 40**3 entries at any size of the
-input; that bound is what makes it fit for broadcasting.
+The alphabet is folded to 40 symbols, so a model has 40**3 = 64,000 entries at any size of the input, one for every
+gram that a URL can hold, seen or not; that bound is what makes it fit for broadcasting.
 
 Defined results: a null URL, and one without ``://``, has empty host and path and no rule and is judged by the
 method on its text (null: empty); an empty URL is allowed; without any labelled URL everything is allowed;
@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, join_spread, table
 
 #: (verdict, host and path)
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -31,6 +31,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz0./-_?=&:#%^$~"
 PRIOR = 4.0
 HELD_OUT = 5
 BINS = 400
+SIDES = ("allow", "block")
 
 
 def host_of(url: Column) -> Column:
@@ -68,30 +69,31 @@ def grams(urls: DataFrame, *keys: str) -> DataFrame:
 
 
 def model(labelled: DataFrame) -> DataFrame:
-    """For every gram seen: its log-probability ratio, accepted over rejected; at most len(ALPHABET)**ORDER rows.
+    """For every gram over ALPHABET, seen or not, its log-probability ratio, accepted over rejected.
 
-    An order's estimate is (count + PRIOR * the next shorter order's estimate) / (count of context + PRIOR).
+    An order's estimate is (count + PRIOR * the next shorter order's estimate) / (count of context + PRIOR), so a gram
+    whose context was never seen has the estimate of the longest suffix that was.
     """
-    n = F.count_if(F.col("rule_verdict") == "allow").cast("double").alias("n_allow"), F.count_if(F.col("rule_verdict") == "block").cast("double").alias("n_block")
-    counts = cut(grams(labelled, "rule_verdict").groupBy("gram").agg(*n))
-    side = ("allow", "block")
-    out = counts.select("gram")
+    size = len(ALPHABET)
+    counted = [F.count_if(F.col("rule_verdict") == s).cast("double").alias(f"n_{s}") for s in SIDES]
+    counts = cut(grams(labelled, "rule_verdict").groupBy("gram").agg(*counted))
+    letter = lambda place: F.substring(F.lit(ALPHABET), (F.floor(F.col("id") / size**place) % size + 1).cast("int"), F.lit(1))
+    out = labelled.sparkSession.range(size**ORDER, numPartitions=4).select(F.concat(*[letter(k) for k in range(ORDER)]).alias("gram"))
     for order in range(1, ORDER + 1):
-        suffix, context = F.expr(f"right(gram, {order})"), F.expr(f"left(right(gram, {order}), {order - 1})")
-        seen = counts.select(suffix.alias("s"), context.alias("c"), "n_allow", "n_block").groupBy("s", "c").agg(*[F.sum(f"n_{s}").alias(f"g_{s}") for s in side])
-        around = seen.groupBy("c").agg(*[F.sum(f"g_{s}").alias(f"c_{s}") for s in side])
-        both = seen.join(F.broadcast(around), "c").select("s", *[F.col(f"{x}_{s}").alias(f"{x}{order}_{s}") for x in "gc" for s in side])
-        out = out.join(F.broadcast(both), suffix == F.col("s")).drop("s")
-    for s in side:
-        p = reduce(lambda lower, k: (F.col(f"g{k}_{s}") + PRIOR * lower) / (F.col(f"c{k}_{s}") + PRIOR), range(1, ORDER + 1), F.lit(1.0 / len(ALPHABET)))
+        seen = counts.groupBy(F.expr(f"right(gram, {order})").alias("s")).agg(*[F.sum(f"n_{s}").alias(f"g{order}_{s}") for s in SIDES])
+        around = counts.groupBy(F.expr(f"left(right(gram, {order}), {order - 1})").alias("c")).agg(*[F.sum(f"n_{s}").alias(f"c{order}_{s}") for s in SIDES])
+        out = out.join(F.broadcast(seen), F.expr(f"right(gram, {order})") == F.col("s"), "left").drop("s")
+        out = out.join(F.broadcast(around), F.expr(f"left(right(gram, {order}), {order - 1})") == F.col("c"), "left").drop("c")
+    out = out.fillna(0.0)
+    for s in SIDES:
+        p = reduce(lambda lower, k: (F.col(f"g{k}_{s}") + PRIOR * lower) / (F.col(f"c{k}_{s}") + PRIOR), range(1, ORDER + 1), F.lit(1.0 / size))
         out = out.withColumn(f"p_{s}", p)
     return out.select("gram", F.log(F.col("p_allow") / F.col("p_block")).alias("ratio"))
 
 
 def scored(urls: DataFrame, ratios: DataFrame) -> DataFrame:
-    """Adds score, the mean ratio over the characters of a URL; a gram never seen says nothing."""
-    by_gram = grams(urls, "url").join(F.broadcast(ratios), "gram", "left")
-    return by_gram.groupBy("url").agg(F.avg(F.coalesce("ratio", F.lit(0.0))).alias("score"))
+    """url and score, the mean ratio over its characters."""
+    return grams(urls, "url").join(F.broadcast(ratios), "gram").groupBy("url").agg(F.avg("ratio").alias("score"))
 
 
 def threshold(scores: DataFrame) -> float:
@@ -119,20 +121,17 @@ def threshold(scores: DataFrame) -> float:
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and, where the method decided, its score."""
-    known = ruled(pages.select("page_id", "url"), rules)
-    urls = known.select(F.coalesce("url", F.lit("")).alias("url"), "rule_verdict").distinct()
+    known = ruled(pages.select("page_id", "url"), rules).withColumn("__url", F.coalesce("url", F.lit("")))
+    urls = known.select(F.col("__url").alias("url"), "rule_verdict").distinct()
     labelled = urls.filter("rule_verdict is not null")
     held = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
     trial = cut(model(labelled.filter(~held)))
     limit = threshold(scored(labelled.filter(held), trial).join(labelled, "url"))
-    final = cut(model(labelled))
-    open_urls = urls.filter("rule_verdict is null")
-    scores = scored(open_urls, final).withColumnRenamed("url", "__url")
-    joined = known.join(scores, F.when(F.col("rule").isNull(), F.coalesce("url", F.lit(""))) == F.col("__url"), "left")
-    by_method = F.when(F.coalesce("score", F.lit(0.0)) >= limit, "allow").otherwise("block")
-    empty = F.coalesce("url", F.lit("")) == ""
-    verdict = F.coalesce("rule_verdict", F.when(empty, "allow").otherwise(by_method))
-    return joined.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+    scores = scored(urls.filter("rule_verdict is null"), cut(model(labelled))).withColumnRenamed("url", "__url")
+    by_method = F.when((F.col("score") >= limit) | (F.col("__url") == ""), "allow").otherwise("block")
+    out = lambda df, verdict, score: df.select("page_id", "host", "path", "rule", verdict.alias("verdict"), score.alias("score"))
+    by_rule = out(known.filter("rule is not null"), F.col("rule_verdict"), F.lit(None).cast("double"))
+    return by_rule.unionByName(out(join_spread(known.filter("rule is null"), scores, "__url"), by_method, F.col("score")))
 
 
 def query(spark, sf_dir):

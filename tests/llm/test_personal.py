@@ -1,6 +1,7 @@
 """Personal data against a plain reading of the rules."""
 
 import hashlib
+import random
 import re
 
 from skyquilt.llm import personal
@@ -72,6 +73,41 @@ def test_context_finds_what_the_base_patterns_miss(spark):
     assert rows[41].spans == "" and all(rows[i].n_found == 0 for i in range(40))
 
 
+def test_planted_identifiers_are_found_and_others_left_alone(spark):
+    """Recall and precision of what the base patterns miss: worded phones, short secrets; hex strings elsewhere stay."""
+    rng = random.Random(6)
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    filler = [f"{w} und so" for w in "alpha beta gamma delta omega kappa sigma theta".split()]
+    texts, want = [], {}
+    for i in range(60):
+        texts.append(f'{rng.choice(filler)} token = "{hexed(39)}a" {rng.choice(filler)}')
+        texts.append(f"{rng.choice(filler)} ring me on +1 ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)} {rng.choice(filler)}")
+    for i in range(20):
+        secret, phone = f"pass-{rng.randrange(10**6)}", f"(0{rng.randrange(100, 999)}) 555 {rng.randrange(1000, 9999)}"
+        texts.append(f'{rng.choice(filler)} token = "{secret}" {rng.choice(filler)}')
+        want[len(texts) - 1] = ("secret", secret)
+        texts.append(f"{rng.choice(filler)} ring me on {phone} {rng.choice(filler)}")
+        want[len(texts) - 1] = ("phone", phone)
+    clean = [f"commit {hexed(39)}a {rng.choice(filler)} room {i} of {i * 7} in 2024" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts + clean)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in personal.personal_spans(docs).collect()}
+    found = 0
+    for d, (kind, value) in want.items():
+        at = texts[d].index(value)
+        found += f"{kind}:{at}:{at + len(value)}" in rows[d].spans.split(",")
+    assert found >= 0.9 * len(want)
+    assert all(rows[d].n_found == 1 for d in range(0, 120, 2))  # the long secrets themselves
+    assert all(rows[len(texts) + i].spans == "" for i in range(len(clean)))
+
+
+def test_secrets_of_the_table(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    held = {d: m for d, t in texts.items() if (m := re.search(r'token = "([0-9a-f]{40})"', t or ""))}
+    rows = {r.doc_id: r for r in personal.query(spark, "/root/testdata/sf0.01").collect()}
+    assert held and all(f"secret:{m.start(1)}:{m.end(1)}" in rows[d].spans for d, m in held.items())
+    assert sum(r.n_found for d, r in rows.items() if d not in held) == 0
+
+
 def test_masking(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string, n_chars long")
     out = personal.masked_documents(docs)

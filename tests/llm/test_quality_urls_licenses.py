@@ -1,5 +1,8 @@
 """Quality rules, URL filter and licence scan."""
 
+import math
+from collections import Counter
+
 import duckdb
 import pytest
 
@@ -97,7 +100,7 @@ def test_license_examples_of_none_are_different_lines_far_from_the_templates(spa
     notice = next(t for f, t in licenses.TEMPLATES if f == "bsd" and "Redistribution" in t)
     prose = [f"plain line {i} of the same kind and in the form of a file" for i in range(15)]
     lines = spark.createDataFrame([(t,) for t in [*prose * 40, notice, notice[:90], "", "a licence"]], "line string")
-    got = sorted(r.line for r in licenses.examples(lines).filter("family = 'none'").collect())
+    got = sorted(r.line for r in licenses.examples(lines).filter("family = 'none'").collect() if r.line not in licenses.PROSE)
     assert got == sorted(prose)
 
 
@@ -108,3 +111,44 @@ def test_unsure_licence_lines_are_unknown(spark, monkeypatch):
     monkeypatch.setattr(licenses, "classifier", lambda lines: (*model(lines)[:2], 2.0))
     got = {r.doc_id: (r.families, r.n_licence, r.n_unknown) for r in licenses.scan(docs).collect()}
     assert got == {0: ("", 0, 1), 1: ("", 0, 0), 2: ("", 0, 0)}
+
+
+def test_url_model_against_its_definition(spark):
+    """Every estimate, of grams seen and unseen, recomputed; then the scores."""
+    held = [("http://good.org/fr/a", "allow"), ("http://good.org/fr/bb", "allow"), ("http://x.net/zz?q", "block")]
+    labelled = spark.createDataFrame(held, "url string, rule_verdict string")
+    fold = lambda u: "^^" + u.lower() + "$"
+    counts = {"allow": Counter(), "block": Counter()}
+    for u, side in held:
+        counts[side].update(fold(u)[i : i + 3] for i in range(len(fold(u)) - 2))
+
+    def p(gram, side):
+        out = 1 / len(urls.ALPHABET)
+        for k in (1, 2, 3):
+            n = sum(v for g, v in counts[side].items() if g[3 - k :] == gram[3 - k :])
+            around = sum(v for g, v in counts[side].items() if g[3 - k : 2] == gram[3 - k : 2])
+            out = (n + urls.PRIOR * out) / (around + urls.PRIOR)
+        return out
+
+    ratios = {r.gram: r.ratio for r in urls.model(labelled).collect()}
+    assert len(ratios) == len(urls.ALPHABET) ** 3
+    want = lambda g: math.log(p(g, "allow") / p(g, "block"))
+    for g in [*counts["allow"], *counts["block"], "q~q", "/fz", "zzz", "org", "^^x", ".nx"]:
+        assert abs(ratios[g] - want(g)) < 1e-9, g
+    fresh = ["http://new.org/fr/q", "", "ftp://é"]
+    scores = {r.url: r.score for r in urls.scored(spark.createDataFrame([(u,) for u in fresh], "url string"), urls.model(labelled)).collect()}
+    for u in fresh:
+        text = fold(u).replace("é", "~")
+        grams = [text[i : i + 3] for i in range(len(text) - 2)]
+        assert abs(scores[u] - sum(map(want, grams)) / len(grams)) < 1e-9
+
+
+def test_license_scan_of_repeated_rows_and_empty_tables(spark):
+    body = [t for f, t in licenses.TEMPLATES if f in ("mit", "bsd") and len(t) > 80]
+    rows = [(i, t) for i, t in enumerate([*body, "See the LICENSE page for all other terms of our house that may well apply here", "Licensed under the MIT license.\n" + "x " * 300_000])]
+    schema = "doc_id long, text string"
+    once = {tuple(r) for r in licenses.scan(spark.createDataFrame(rows, schema)).collect()}
+    thrice = licenses.scan(spark.createDataFrame(rows * 3, schema)).collect()
+    assert len(thrice) == 3 * len(rows) and {tuple(r) for r in thrice} == once
+    assert {r[0]: r[1] for r in once} == {0: "mit", 1: "bsd", 2: "", 3: "mit"}
+    assert licenses.scan(spark.createDataFrame([], schema)).count() == 0
