@@ -1,18 +1,25 @@
-"""Main text of HTML pages, with a host suffix array.
+"""Main text of HTML pages, by the substrings that the pages of a host share.
 
-The pages of a host, in shards of at most PAGES, are read into blocks; the token streams of a shard's
-pages are concatenated and their suffixes sorted by the first RUN tokens, which finds every substring of
-RUN or more tokens that stands on two distinct pages. A block that such substrings cover is boilerplate,
-unless it stands in the page's article: there a run must stand in most of the shard's different articles.
-Blocks in menus, headers, footers, sidebars, notices, adverts, forms and comment sections are boilerplate by
-their markup; scripts, styles and markup comments are no blocks at all.
+Pages are read into blocks. Menus, headers, footers, sidebars, notices, adverts, forms and comment sections are left
+out by their markup; scripts, styles and markup comments are no blocks at all. What remains of a page is two token
+streams, its article and the text outside of it. The suffixes of all streams of a host are dealt out by the hash of
+host and first RUN tokens, which brings equal heads together as sorting a suffix array would, for a host of any size;
+each head is counted by the distinct pages that hold it. A run of tokens under heads that stand on enough pages is
+boilerplate: outside an article two pages and OUTSIDE_SHARE of the host's pages, inside an article more than
+ARTICLE_SHARE of the host's different articles (ARTICLE_PAGES at least), so that copied articles survive. A block of
+which COVERED is such a run is left out; unique runs are kept.
 
-Rows are dealt out by ranges of host and a hash of the page, so a host of any size is spread over many
-tasks, and a task holds one shard at a time.
+Outside of articles all suffixes are counted; of an article's those at both ends of a block, and those with the least
+hash among SPACING neighbours, which lie at the same places in equal text. Between two neighbouring counted suffixes
+that are both common, all tokens are.
+
+The heads that are boilerplate are at most 1 / share times the suffixes of a page, for each host. They are joined to
+the pages by broadcast where all hosts have at most BROADCAST_HEADS together, else by a shuffle.
 
 Defined results: null and empty html, and pages without a block, give empty text; a null url counts as an
-empty host; markup that breaks off ends the page; repeated rows give repeated rows and count as one page; an
-empty table gives an empty result.
+empty host; markup that breaks off ends the page; repeated rows give repeated rows and count as one page; the result
+does not depend on how rows are dealt to tasks; ids pass as they are; an empty table gives an empty result; only
+page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -22,17 +29,21 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
+from .similar import WordHashes, mixed
 
-PAGES = 300
 RUN = 8
+SPACING = 16
+HOST_BITS = 44
 COVERED = 0.8
 ARTICLE_PAGES = 10
 ARTICLE_SHARE = 0.5
+OUTSIDE_SHARE = 0.01
+BROADCAST_HEADS = 500_000
 # Elements without main text, elements that do not break a line of text, and words in class or id.
 DROPPED = frozenset("nav footer aside form script style noscript template iframe button select svg menu dialog object canvas textarea head title".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -97,91 +108,120 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def repeated(streams: list[list[int]], run: int) -> tuple[np.ndarray, np.ndarray]:
-    """(covered, pages): for each token of the concatenated streams whether a substring of ``run`` tokens that
-    also stands in another stream covers it, and in how many streams the widest spread of them stands."""
-    sizes = np.array([len(s) for s in streams])
-    owner = np.repeat(np.arange(len(streams)), sizes + 1)
-    tokens = np.concatenate([np.array([*s, -i - 1], np.int64) for i, s in enumerate(streams)])
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    n, width = len(rank), 1
-    while width < run:  # suffixes by twice as many tokens; the ends of streams are all different
-        step = min(width, run - width)
-        after = np.concatenate([rank[step:] + 1, np.zeros(step, np.int64)])
-        rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1]
-        width += step
-    pairs = np.unique(rank * len(streams) + owner)
-    spread = np.bincount(pairs // len(streams), minlength=int(rank.max()) + 1)[rank]
-    inside = np.concatenate([tokens[run - 1 :] >= 0, np.zeros(run - 1, bool)])[:n] if n >= run else np.zeros(n, bool)
-    ends = np.cumsum(sizes + 1)[owner] - 1  # a window must end before its stream does
-    spread = np.where(inside & (np.arange(n) + run <= ends), spread, 0)
-    pages = spread.copy()
-    for k in range(1, run):
-        pages[k:] = np.maximum(pages[k:], spread[: n - k])
-    keep = tokens >= 0
-    return pages[keep] > 1, pages[keep]
-
-
-def shard_texts(pages: list[str]) -> list[str]:
-    """Main text of each page of one shard of a host."""
-    parsed = [blocks(p) for p in pages]
-    first = {}
-    for i, b in enumerate(parsed):
-        first.setdefault(tuple(b), i)
-    distinct = sorted(first.values())
-    number: dict[str, int] = {}
-    streams = [[number.setdefault(w, len(number)) for text, _, _ in parsed[i] for w in text.split()] for i in distinct]
-    articles = len({tuple(t for t, _, main in parsed[i] if main) for i in distinct})
-    covered, spread = repeated(streams, RUN) if len(distinct) > 1 else (np.zeros(sum(map(len, streams)), bool), np.zeros(sum(map(len, streams)), np.int64))
-    texts, at = {}, 0
-    for i in distinct:
-        kept = []
-        has_main = any(main and not furniture for _, furniture, main in parsed[i])
-        for text, furniture, main in parsed[i]:
-            size = text.count(" ") + 1
-            here = slice(at, at + size)
-            at += size
-            if main:
-                common = articles >= ARTICLE_PAGES and (spread[here] > ARTICLE_SHARE * articles).mean() >= COVERED
-            else:
-                common = has_main or covered[here].mean() >= COVERED
-            if not furniture and not common:
+def heads(words: list[str], host: int, hashes: WordHashes) -> np.ndarray:
+    """A hash of the host and the first RUN tokens of each suffix that has so many."""
+    n = len(words) - RUN + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    w = np.fromiter((hashes[t.encode("utf-8", "surrogatepass")] for t in words), np.uint64, len(words))
+    h = np.full(n, host, np.uint64)
+    for i in range(RUN):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n]
+    return mixed(h)
+
+
+def spaced(h: np.ndarray) -> np.ndarray:
+    """Positions of the least hash of every SPACING neighbours."""
+    if len(h) <= SPACING:
+        return np.array([h.argmin()] if len(h) else [], np.int64)
+    window = np.lib.stride_tricks.sliding_window_view(h, SPACING)
+    return np.unique(window.argmin(axis=1) + np.arange(len(window)))
+
+
+class Page:
+    """The blocks of a page that are no furniture, in two streams: inside (True) and outside (False) the article."""
+
+    def __init__(self, html: str, host: int, hashes: WordHashes):
+        self.blocks = [(text, text.count(" ") + 1, main) for text, furniture, main in blocks(html) if not furniture]
+        self.size, self.heads, self.places = {}, {}, {}
+        for main in (True, False):
+            words = [w for text, _, m in self.blocks if m == main for w in text.split(" ")]
+            h = heads(words, host + main, hashes)
+            ends = np.cumsum([n for _, n, m in self.blocks if m == main] or [0])
+            anchors = np.concatenate([[0], ends[:-1], ends - RUN])
+            self.size[main], self.heads[main] = len(words), h
+            self.places[main] = np.unique(np.concatenate([spaced(h), anchors[(anchors >= 0) & (anchors < len(h))]])) if main else np.arange(len(h))
+
+    def counted(self, main: bool) -> np.ndarray:
+        return self.heads[main][self.places[main]]
+
+    def stream(self, main: bool) -> int:
+        """A hash of a whole stream, of 32 bits."""
+        h = self.heads[main]
+        factors = 2 * np.arange(len(h), dtype=np.uint64) + np.uint64(1)
+        return int(mixed(np.array([self.size[main]], np.uint64) + (h * factors).sum(dtype=np.uint64))[0]) & 0x7FFFFFFF
+
+    def text(self, common: np.ndarray) -> str:
+        """The blocks that common heads do not cover."""
+        covered = {}
+        for main in (True, False):
+            places, here = self.places[main], np.zeros(self.size[main] + 1, np.int64)
+            hit = np.isin(self.counted(main), common)
+            stop = places + RUN
+            stop[:-1][hit[:-1] & hit[1:]] = np.maximum(stop[:-1], places[1:])[hit[:-1] & hit[1:]]
+            np.add.at(here, places[hit], 1)
+            np.add.at(here, stop[hit], -1)
+            covered[main] = np.cumsum(here)[:-1] > 0
+        at, kept = {True: 0, False: 0}, []
+        for text, size, main in self.blocks:
+            if covered[main][at[main] : at[main] + size].mean() < COVERED:
                 kept.append(text)
-        texts[tuple(parsed[i])] = " ".join(kept)
-    return [texts[tuple(b)] for b in parsed]
+            at[main] += size
+        return " ".join(kept)
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+def _with_host(pages: DataFrame) -> DataFrame:
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1))
+    number = F.shiftrightunsigned(F.xxhash64(host), 64 - HOST_BITS).bitwiseAND(F.lit((1 << HOST_BITS) - 2))
+    return pages.select("page_id", "url", number.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
-    def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
 
-        def done() -> pd.DataFrame:
-            texts = shard_texts([h for _, _, h in held])
-            out = pd.DataFrame({"page_id": pd.Series([p for p, _, _ in held], dtype=object), "url": [u for _, u, _ in held], "text": texts})
-            out["n_chars"] = out["text"].str.len()
-            held.clear()
-            return out
+def common_heads(pages: DataFrame) -> DataFrame:
+    """(host, heads array<long>): the boilerplate heads of each host that has any. pages: host (long) and html."""
 
-        host = None
+    def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            ready = []
-            for new, page_id, url, text in zip(batch["host"], batch["page_id"], batch["url"], batch["html"]):
-                if held and (new != host or len(held) >= PAGES):
-                    ready.append(done())
-                host = new
-                held.append((None if page_id != page_id else page_id, url, text))
-            if ready:
-                yield pd.concat(ready)
-        if held:
-            yield done()
+            columns: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+            for host, html in zip(batch.column("host").to_pylist(), batch.column("html")):
+                page = Page(html.as_py(), host, hashes)
+                for main in (True, False):
+                    if page.size[main]:
+                        found = np.concatenate([np.zeros(1, np.uint64), np.unique(page.counted(main))])  # zero stands for the stream itself
+                        for column, values in zip(columns, (np.full(len(found), host + main, np.int64), found.view(np.int64), np.full(len(found), page.stream(main), np.int64))):
+                            column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["stream_of", "head", "stream"])
+
+    rows = pages.select("host", "html").mapInArrow(emitted, "stream_of long, head long, stream long")
+    counted = cut(rows.groupBy("stream_of", "head").agg(F.countDistinct("stream").alias("n")).filter("n >= 2"))
+    sizes = counted.filter("head = 0").select("stream_of", F.col("n").alias("every"))
+    article = F.col("stream_of") % 2 == 1
+    enough = F.when(article, (F.col("every") >= ARTICLE_PAGES) & (F.col("n") > ARTICLE_SHARE * F.col("every"))).otherwise(F.col("n") >= OUTSIDE_SHARE * F.col("every"))
+    found = counted.filter("head <> 0").join(sizes, "stream_of").filter(enough)
+    return found.groupBy((F.col("stream_of") - F.col("stream_of") % 2).alias("host")).agg(F.collect_list("head").alias("heads"))
+
 
+def main_text(pages: DataFrame) -> DataFrame:
+    """page_id, url, text and n_chars of every page."""
+
+    def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            texts = []
+            for host, html, common in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("heads")):
+                if common.is_valid:
+                    texts.append(Page(html.as_py(), host, hashes).text(common.values.to_numpy().view(np.uint64)))
+                else:
+                    texts.append(" ".join(text for text, furniture, _ in blocks(html.as_py()) if not furniture))
+            columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
+
+    dealt = _with_host(pages)
+    found = cut(common_heads(dealt))
+    total = found.agg(F.sum(F.size("heads"))).first()[0] or 0
+    numbered = dealt.join(F.broadcast(found) if total <= BROADCAST_HEADS else found, "host", "left")
     kind = pages.schema["page_id"].dataType.simpleString()
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1))
-    dealt = pages.select(host.alias("host"), "page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    spread = dealt.repartitionByRange("host", F.xxhash64("page_id", "url")).sortWithinPartitions("host", F.xxhash64("page_id", "url"))
-    return spread.mapInPandas(extracted, f"page_id {kind}, url string, text string, n_chars long")
+    return numbered.select("page_id", "url", "host", "html", "heads").mapInArrow(extracted, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir):

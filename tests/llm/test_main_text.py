@@ -1,11 +1,10 @@
 """Main text of pages."""
 
 import html
+import random
 import re
 from collections import defaultdict
 
-import numpy as np
-
 from skyquilt.llm import main_text
 
 
@@ -20,23 +19,46 @@ def test_generated_pages(spark):
         assert got[p.page_id].text == want and got[p.page_id].n_chars == len(want) and got[p.page_id].url == p.url
 
 
-def test_repeated_against_brute_force():
-    rng = np.random.default_rng(4)
-    streams = [list(map(int, rng.integers(0, 3, rng.integers(0, 40)))) for _ in range(9)]
-    for run in (1, 2, 5, 8):
-        where = defaultdict(set)
-        for i, s in enumerate(streams):
-            for k in range(len(s) - run + 1):
-                where[tuple(s[k : k + run])].add(i)
-        want = []
-        for s in streams:
-            most = [0] * len(s)
-            for k in range(len(s) - run + 1):
-                for j in range(k, k + run):
-                    most[j] = max(most[j], len(where[tuple(s[k : k + run])]))
-            want += most
-        covered, pages = main_text.repeated(streams, run)
-        assert pages.tolist() == want and covered.tolist() == [n > 1 for n in want]
+def brute(rows):
+    """Text of each page by the rules, from token tuples: runs outside articles, where all suffixes count."""
+    run, parsed = main_text.RUN, {i: [t for t, furniture, _ in main_text.blocks(h) if not furniture] for i, _, h in rows}
+    where, streams = defaultdict(set), defaultdict(set)
+    for i, url, _ in rows:
+        tokens, host = [w for t in parsed[i] for w in t.split()], url.split("/")[2]
+        streams[host].add(tuple(tokens))
+        for k in range(len(tokens) - run + 1):
+            where[(host, *tokens[k : k + run])].add(tuple(tokens))
+    out = {}
+    for i, url, _ in rows:
+        tokens, host = [w for t in parsed[i] for w in t.split()], url.split("/")[2]
+        covered = [False] * len(tokens)
+        for k in range(len(tokens) - run + 1):
+            n = len(where[(host, *tokens[k : k + run])])
+            if n >= 2 and n >= main_text.OUTSIDE_SHARE * len(streams[host]):
+                covered[k : k + run] = [True] * run
+        at, kept = 0, []
+        for t in parsed[i]:
+            n = len(t.split())
+            if sum(covered[at : at + n]) < main_text.COVERED * n:
+                kept.append(t)
+            at += n
+        out[i] = " ".join(kept)
+    return out
+
+
+def test_whole_texts_against_brute_force_however_rows_are_dealt(spark):
+    rng = random.Random(8)
+    shared = [" ".join(f"s{k}w{j}" for j in range(rng.randrange(4, 30))) for k in range(12)]
+    rows = []
+    for i in range(150):
+        blocks = [rng.choice(shared) if rng.random() < 0.5 else " ".join(f"p{rng.randrange(40)}" for _ in range(rng.randrange(1, 25))) for _ in range(rng.randrange(1, 8))]
+        rows.append((i, f"http://h{i % 3}.org/{i}", "<body>" + "".join(f"<p>{b}</p>" for b in blocks) + "</body>"))
+    rows += [(200 + i, rows[i][1], rows[i][2]) for i in range(40)]
+    want = brute(rows)
+    assert sum(want[i] != " ".join(t for t, f, _ in main_text.blocks(h) if not f) for i, _, h in rows) > 100
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 7):
+        assert {r.page_id: r.text for r in main_text.main_text(pages.repartition(parts)).collect()} == want
 
 
 def test_pages_without_an_article_lose_what_their_host_repeats(spark):
@@ -50,10 +72,17 @@ def test_pages_without_an_article_lose_what_their_host_repeats(spark):
     assert main_text.main_text(pages.limit(0)).count() == 0
 
 
-def test_articles_keep_copies_and_lose_what_most_of_them_repeat():
+def test_articles_keep_copies_and_lose_what_most_of_them_repeat(spark, monkeypatch):
     advert = "<p>Please send us your own news by post or bring it to our desk</p>"
-    pages = [f"<article><h1>t{i}</h1>{advert}<p>{' '.join(f'w{i}x{k}' for k in range(20))}</p></article>" for i in range(20)]
+    long = f"<p>{' '.join(f'notice{k}' for k in range(90))}</p>"
+    pages = [f"<article><h1>t{i}</h1>{advert}<p>{' '.join(f'w{i}x{k}' for k in range(20))}</p>{long}</article>" for i in range(20)]
     copy = "<article><p>one two three four five six seven eight nine ten</p></article>"
-    texts = main_text.shard_texts([*pages, copy, copy.replace("<article>", "<article><h2>again</h2>")])
-    assert all("news by post" not in t and t.startswith(f"t{i} w{i}x0") for i, t in enumerate(texts[:20]))
-    assert texts[20].endswith("nine ten") and texts[21].startswith("again one two")
+    rows = [(i, "http://a.b/x", p) for i, p in enumerate([*pages, copy, copy, copy.replace("<article>", "<article><h2>again</h2>")])]
+    rows += [((1 << 53) + 1, "http://a.b/y", copy), (None, "http://a.b/y", f"<article><p>{'long ' * 400_000}</p></article>")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, host string")
+    for most in (main_text.BROADCAST_HEADS, 0):
+        monkeypatch.setattr(main_text, "BROADCAST_HEADS", most)
+        texts = {r.page_id: r.text for r in main_text.main_text(df).collect()}
+        assert all(texts[i] == f"t{i} " + " ".join(f"w{i}x{k}" for k in range(20)) for i in range(20))
+        assert texts[20] == texts[21] == texts[(1 << 53) + 1] == "one two three four five six seven eight nine ten" and texts[22].startswith("again one two")
+        assert len(texts[None]) == 400_000 * 5 - 1
