@@ -168,9 +168,10 @@ def discovered(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for _ in range(rounds):
         weight = spread.join(belief, "value").groupBy("pattern", "k").agg(F.sum("conf").alias("w"))
         good = weight.filter(F.col("w") >= SUPPORT).join(sizes, "pattern").select("pattern", "k", (F.col("w") / (F.col("n") + 1)).alias("score"))
-        good = cut(good.filter("score >= 0.5"))
+        good = good.filter("score >= 0.5")
         reached = spread.join(good, "pattern").groupBy("value", "k").agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("conf"))
         belief = cut(reached.unionByName(seeds).groupBy("value", "k").agg(F.max("conf").alias("conf")))
+    good = cut(good)
     sure = good.filter(F.col("score") >= CONFIDENT).select("pattern", "k")
     known = belief.filter(F.col("conf") >= CONFIDENT).select("value", "k")
     fresh = instance.filter(f"k is null or k >= {BASE}").select("__doc", "__hash", "s", "e", "value", F.explode("patterns").alias("pattern"))

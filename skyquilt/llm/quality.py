@@ -6,7 +6,7 @@ word characters is rejected. So is one that fails the document rules (too few wo
 
 Defined results: null and empty texts have no words and fail; a line without a word is never judged; equal
 lines are compared exactly; repeated rows give repeated rows; an empty table gives an empty result. The
-operator adds its columns in one struct, so names of the input cannot clash.
+input's columns are carried in one struct, so their names cannot clash with the operator's.
 
 Windows of three words are compared by a 64-bit hash of their words' hashes.
 """
@@ -49,15 +49,16 @@ def _chars(text: Column) -> Column:
     return F.length(F.regexp_replace(text, SPACE, ""))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line is to be removed."""
+def line_fails(line: Column, more: Callable[[Column, Column], Column] | None = None) -> Column:
+    """Whether a line is to be removed; ``more`` adds rules on a line and its number of words."""
 
     def judged(n: Column) -> Column:
         symbols = 100 * count_of(line, SYMBOLS) > SYMBOL_PERCENT * _chars(line)
         shouting = (n >= SHOUT_WORDS) & (2 * count_of(line, "!") > n)
         navigation = (n <= NAVIGATION_WORDS) & line.rlike(NAVIGATION)
         boilerplate = (n <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
-        return (n > 0) & (symbols | shouting | navigation | boilerplate)
+        any_rule = symbols | shouting | navigation | boilerplate
+        return (n > 0) & (any_rule if more is None else any_rule | more(line, n))
 
     return bind(F.size(words(line)), judged)
 
@@ -74,8 +75,7 @@ def is_menu(line: Column) -> Column:
 
 def line_fails_stage(line: Column) -> Column:
     """What kept_documents removes: also menus by their separators, and short furniture in the other languages."""
-    elsewhere = F.when(line.rlike(BOILERPLATE_ELSEWHERE), F.size(words(line)) <= BOILERPLATE_WORDS).otherwise(F.lit(False))
-    return line_fails(line) | is_menu(line) | elsewhere
+    return line_fails(line, lambda x, n: is_menu(x) | (n <= BOILERPLATE_WORDS) & x.rlike(BOILERPLATE_ELSEWHERE))
 
 
 def repeated_words(tokens: Column) -> Column:
@@ -105,9 +105,9 @@ def judge(documents: DataFrame, fails: Callable[[Column], Column] = line_fails)
     ``fails`` says whether a line is to be removed; the SQL of op8 fixes it for the query.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = documents.withColumn("__q", F.struct(text.alias("text"), words(text).alias("words"), F.split(text, "\n").alias("lines")))
-    full = F.filter("__q.lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    failed = F.filter("__q.lines", fails)
+    split = documents.withColumn("__q", F.struct(text.alias("text"), words(text).alias("words"), F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), fails(x).alias("bad"))).alias("lines")))
+    full = F.transform(F.filter("__q.lines", lambda x: x["line"].rlike(r"[^\x20\x09-\x0D]")), lambda x: x["line"])
+    failed = F.transform(F.filter("__q.lines", lambda x: x["bad"]), lambda x: x["line"])
     counted = split.withColumn(
         "__n",
         F.struct(
@@ -121,7 +121,7 @@ def judge(documents: DataFrame, fails: Callable[[Column], Column] = line_fails)
     )
     base_failed = (F.col("__n.n_words") < LEAST_WORDS) | (100 * F.col("__n.n_repeat_words") > REPEATED_PERCENT * F.col("__n.n_words"))
     lost_much = 100 * F.col("__n.failed.chars") > LOST_PERCENT * F.col("__n.word_chars")
-    cleaned = F.when(F.col("__n.failed.n") == 0, F.col("__q.text")).otherwise(F.array_join(F.filter("__q.lines", lambda x: ~fails(x)), "\n"))
+    cleaned = F.when(F.col("__n.failed.n") == 0, F.col("__q.text")).otherwise(F.array_join(F.transform(F.filter("__q.lines", lambda x: ~x["bad"]), lambda x: x["line"]), "\n"))
     out = F.struct(
         *[F.col(f"__n.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         base_failed.alias("base_failed"),
@@ -140,10 +140,12 @@ def quality(documents: DataFrame) -> DataFrame:
 
 def kept_documents(documents: DataFrame) -> DataFrame:
     """The documents that pass, without their failing lines; n_chars follows the text."""
-    judged = judge(documents, line_fails_stage).filter("__quality.kept").withColumn("text", F.col("__quality.cleaned"))
+    carried = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "text")
+    judged = judge(carried, line_fails_stage).filter("__quality.kept")
+    values = {"text": F.col("__quality.cleaned")}
     if "n_chars" in documents.columns:
-        judged = judged.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return judged.select(*documents.columns)
+        values["n_chars"] = F.length("__quality.cleaned").cast(documents.schema["n_chars"].dataType)
+    return judged.select(*[values.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns])
 
 
 def query(spark, sf_dir):

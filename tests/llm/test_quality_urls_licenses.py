@@ -152,3 +152,12 @@ def test_license_scan_of_repeated_rows_and_empty_tables(spark):
     assert len(thrice) == 3 * len(rows) and {tuple(r) for r in thrice} == once
     assert {r[0]: r[1] for r in once} == {0: "mit", 1: "bsd", 2: "", 3: "mit"}
     assert licenses.scan(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_kept_documents_of_clashing_names(spark):
+    names = ["doc_id", "__q", "__n", "__quality", "row", "text", "n_chars"]
+    text = " ".join(f"word{i}" for i in range(60)) + "\nclick here\nend of it."
+    docs = spark.createDataFrame([(1, "a", "b", "c", "d", text, 3), (None, "a", "b", "c", "d", text, None), (2, "a", "b", "c", "d", None, 0)], "doc_id long, __q string, __n string, __quality string, row string, text string, n_chars long")
+    kept = quality.kept_documents(docs)
+    clean = text.replace("click here\n", "")
+    assert kept.columns == names and [tuple(r) for r in kept.collect()] == [(1, "a", "b", "c", "d", clean, len(clean)), (None, "a", "b", "c", "d", clean, len(clean))]
