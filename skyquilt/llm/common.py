@@ -46,10 +46,14 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder."""
+def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """Cut the lineage with a checkpoint in the shared folder.
+
+    ``narrow``: for short rows; they are written in no more parts than the cluster has cores, so that small results
+    do not become many small files.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return (df.coalesce(df.sparkSession.sparkContext.defaultParallelism) if narrow else df).checkpoint()
 
 
 def join_spread(rows: DataFrame, values: DataFrame, key: str, hot: int = 1000) -> DataFrame:

@@ -38,6 +38,7 @@ ROUNDS = 3
 SUPPORT = 3.0
 CONFIDENT = 0.9
 CONTEXT_CHARS = 64
+BROADCAST_SPANS = 300_000
 _SPAN = "array<struct<s:int,k:int,e:int>>"
 _FOUND = "array<struct<s:int,e:int,m:string,before:string,after:string>>"
 
@@ -160,18 +161,17 @@ def scan(documents: DataFrame) -> DataFrame:
 def discovered(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(__doc, __hash, more): the spans that the context adds, for documents that have any."""
     instance = scanned.select("__doc", "__hash", F.explode("tokens").alias("t")).select("__doc", "__hash", "t.*").filter("size(patterns) > 0 and value <> ''")
-    links = cut(instance.select("value", "k", F.explode("patterns").alias("pattern")).distinct())
+    links = cut(instance.select("value", "k", F.explode("patterns").alias("pattern")).distinct(), narrow=True)
     seeds = links.filter("k is not null").groupBy("value", "k").agg(F.lit(1.0).alias("conf"))
     spread = links.select("pattern", "value").distinct()
     sizes = spread.groupBy("pattern").agg(F.count("*").alias("n"))
     belief, good = seeds, None
-    for _ in range(rounds):
+    for left in reversed(range(rounds)):
         weight = spread.join(belief, "value").groupBy("pattern", "k").agg(F.sum("conf").alias("w"))
-        good = weight.filter(F.col("w") >= SUPPORT).join(sizes, "pattern").select("pattern", "k", (F.col("w") / (F.col("n") + 1)).alias("score"))
-        good = good.filter("score >= 0.5")
+        good = weight.filter(F.col("w") >= SUPPORT).join(sizes, "pattern").select("pattern", "k", (F.col("w") / (F.col("n") + 1)).alias("score")).filter("score >= 0.5")
+        good = good if left else cut(good, narrow=True)
         reached = spread.join(good, "pattern").groupBy("value", "k").agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("conf"))
-        belief = cut(reached.unionByName(seeds).groupBy("value", "k").agg(F.max("conf").alias("conf")))
-    good = cut(good)
+        belief = reached.unionByName(seeds).groupBy("value", "k").agg(F.max("conf").alias("conf"))
     sure = good.filter(F.col("score") >= CONFIDENT).select("pattern", "k")
     known = belief.filter(F.col("conf") >= CONFIDENT).select("value", "k")
     fresh = instance.filter(f"k is null or k >= {BASE}").select("__doc", "__hash", "s", "e", "value", F.explode("patterns").alias("pattern"))
@@ -212,16 +212,18 @@ def masked(text: Column, spans: Column) -> Column:
 
 def masked_documents(documents: DataFrame) -> DataFrame:
     """The documents with personal data masked; n_chars follows the text, a null text stays null."""
-    found = discovered(cut(scan(documents)))
-    carried = documents.select(*_keys(), F.struct(*documents.columns).alias("__row"))
-    joined = carried.join(found, ["__doc", "__hash"], "left")
+    found = cut(discovered(cut(scan(documents))), narrow=True)
+    carried = documents.select(*_keys(), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row"))
+    # Few documents have a span beyond the base; where they are few enough to send to every task, no text is shuffled.
+    few = found.agg(F.sum(F.size("more"))).first()[0] or 0
+    joined = carried.join(F.broadcast(found) if few <= BROADCAST_SPANS else found, ["__doc", "__hash"], "left")
     text = F.coalesce("__row.text", F.lit(""))
     spans = joined.withColumn("__spans", F.sort_array(F.concat(spans_of(base_matches(text)), F.coalesce("more", F.array().cast(_SPAN)))))
     new = spans.withColumn("__text", F.when(F.col("__row.text").isNotNull(), bind(F.col("__spans"), lambda s: masked(text, s))))
     values = {"text": F.col("__text")}
     if "n_chars" in documents.columns:
         values["n_chars"] = F.length("__text").cast(documents.schema["n_chars"].dataType)
-    return new.select(*[values.get(c, F.col(f"__row.{c}")).alias(c) for c in documents.columns])
+    return new.select(*[values.get(c, F.col("__row").getField(c)).alias(c) for c in documents.columns])
 
 
 def query(spark, sf_dir):

@@ -190,7 +190,7 @@ def components(edges: DataFrame) -> DataFrame:
     no node gathers its neighbours; each round is a minimum by node, then a join. Ends when nothing moves.
     Links never grow in number, so each round is written in parts of about ROWS_PER_PART links.
     """
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), narrow=True)
     mark = F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
     before = edges.agg(*mark).first()
     while True:

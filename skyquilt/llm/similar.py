@@ -200,32 +200,46 @@ def verified(links: DataFrame, texts: DataFrame, similar: float = SIMILAR, shing
                 stays.append(both >= similar * every)
             yield batch.select(["a", "b"]).filter(pa.array(stays, pa.bool_()))
 
-    first = links.join(texts.select(F.col("text_hash").alias("a"), F.col("text").alias("text_a")), "a")
-    return first.join(texts.select(F.col("text_hash").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInArrow(compared, "a long, b long")
+    # The links are the smaller side by far: hashed, so that no text is sorted.
+    first = texts.select(F.col("text_hash").alias("a"), F.col("text").alias("text_a")).join(links.hint("shuffle_hash"), "a")
+    second = texts.select(F.col("text_hash").alias("b"), F.col("text").alias("text_b")).join(first.hint("shuffle_hash"), "b")
+    return second.select("a", "b", "text_a", "text_b").mapInArrow(compared, "a long, b long")
 
 
-def groups(documents: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(distinct texts with text_hash and their least row, roots of those in groups of several texts: node, root)."""
+def _once(rows: DataFrame, keys: list[str], repeated: bool) -> DataFrame:
+    """One row of each key; where no row of the input is repeated there is nothing to do."""
+    return rows.dropDuplicates(keys) if repeated else rows
+
+
+def _with_keys(documents: DataFrame) -> DataFrame:
+    """The documents in a struct ``row`` with what tells different ones apart."""
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    return documents.select(row, doc_key(), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+
+
+def groups(documents: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, bool]:
+    """(distinct texts with text_hash and their least row, roots of those in groups of several texts: node, root, whether rows are repeated)."""
     keyed = row_keys(documents, shingle)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    distinct = cut(keyed.groupBy("text_hash").agg(F.min(row).alias("least"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks")))
+    by_row = keyed.groupBy("text_hash", "doc_id").agg(F.count("*").alias("rows"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks"))
+    distinct = cut(by_row.groupBy("text_hash").agg(F.min(row).alias("least"), F.max("rows").alias("rows"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks")))
+    repeated = bool((distinct.agg(F.max("rows")).first()[0] or 0) > 1)
     classes = distinct.groupBy("fp").agg(F.min(F.struct("text_hash", "blocks")).alias("of")).select("fp", F.col("of.text_hash").alias("text_hash"), F.col("of.blocks").alias("blocks"))
     named = classes.select("fp", F.col("text_hash").alias("of"))
     met = candidates(classes.select("fp", "blocks"))
     between = met.join(named.select(F.col("fp").alias("a"), F.col("of").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("of").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     within = distinct.select("fp", "text_hash").join(named, "fp").filter("text_hash <> of").select(F.col("text_hash").alias("a"), F.col("of").alias("b"))
-    links = cut(between.union(within))
+    links = cut(between.union(within).distinct(), narrow=True)
     nodes = links.select(F.col("a").alias("text_hash")).union(links.select(F.col("b").alias("text_hash"))).distinct()
-    least = distinct.join(nodes, "text_hash", "left_semi").select(F.col("text_hash"), F.col("least.doc_id").alias("doc_id")).select("text_hash", doc_key("doc"))
-    keys = documents.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), doc_key("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = keys.join(least, ["text_hash", "doc"], "left_semi").select("text_hash", "text").dropDuplicates(["text_hash"])
-    return distinct, components(verified(links, texts, similar, shingle))
+    least = distinct.join(nodes, "text_hash", "left_semi").select("text_hash", F.col("least.doc_id").alias("doc_id")).select("text_hash", doc_key())
+    texts = _with_keys(documents).join(least.hint("shuffle_hash"), ["text_hash", "__doc"], "left_semi").select("text_hash", F.coalesce("row.text", F.lit("")).alias("text"))
+    return distinct, components(verified(links, _once(texts, ["text_hash"], repeated), similar, shingle)), repeated
 
 
 def one_of_each(documents: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
     """The documents without near-duplicates: one row of each group."""
-    distinct, roots = groups(documents, similar, shingle)
+    distinct, roots, repeated = groups(documents, similar, shingle)
     rooted = distinct.join(roots, F.col("text_hash") == F.col("node"), "left").select(F.coalesce("root", "text_hash").alias("root"), "least")
-    stays = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("doc_id"), F.col("least.text_hash").alias("__hash")).select(doc_key(), "__hash")
-    keyed = documents.withColumns({"__doc": doc_key(), "__hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(stays, ["__doc", "__hash"], "left_semi").dropDuplicates(["__doc", "__hash"]).select(*documents.columns)
+    stays = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("doc_id"), F.col("least.text_hash").alias("text_hash")).select(doc_key(), "text_hash")
+    kept = _once(_with_keys(documents).join(stays.hint("shuffle_hash"), ["text_hash", "__doc"], "left_semi"), ["text_hash", "__doc"], repeated)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])
