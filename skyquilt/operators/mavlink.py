@@ -1,14 +1,21 @@
-"""Drone telemetry frames: decoding, checks, statistics and projection, in expressions on the hex text of a frame."""
+"""Drone telemetry frames: decoding, checks, statistics and projection.
+
+Bytes are read in Arrow batches, a whole batch at a time with NumPy; everything after that is expressions.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from skyquilt.functions.text import entity_id, wkt_point
-from skyquilt.operators.triples import provenance, settled, time_text, to_triples
+from skyquilt.operators.triples import provenance, time_text, to_triples, to_triples_of
 
 # Message id -> (name, extra byte of the checksum, fields as (name, type, offset)).
 MESSAGES = {
@@ -24,69 +31,136 @@ RESULTS = {0: "accepted", 1: "temporarily_rejected", 2: "denied", 3: "unsupporte
 MODES = {0: "STABILIZE", 1: "ACRO", 2: "ALT_HOLD", 3: "AUTO", 4: "GUIDED", 5: "LOITER", 6: "RTL", 7: "CIRCLE", 9: "LAND", 11: "DRIFT", 13: "SPORT", 14: "FLIP", 15: "AUTOTUNE", 16: "POSHOLD", 17: "BRAKE", 18: "THROW", 19: "AVOID_ADSB", 20: "GUIDED_NOGPS", 21: "SMART_RTL", 22: "FLOWHOLD", 23: "FOLLOW", 24: "ZIGZAG", 25: "SYSTEMID", 26: "AUTOROTATE"}
 
 
-def unsigned(text: Column, at: Column | int, size: int) -> Column:
-    """A little-endian unsigned number in hex text, from byte ``at``."""
-    at = F.lit(at) if isinstance(at, int) else at
-    swapped = F.concat(*[F.substring(text, (at + i) * 2 + 1, F.lit(2)) for i in reversed(range(size))])
-    return F.conv(swapped, 16, 10).cast("long")
-
+def _checksum_table() -> np.ndarray:
+    """The X.25 checksum of each byte: eight steps of the reflected polynomial."""
+    table = np.arange(256, dtype=np.uint16)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ 0x8408, table >> 1).astype(np.uint16)
+    return table
+
+
+CHECKSUMS = _checksum_table()
+
+
+class Bytes:
+    """A column of byte strings, read by place in all rows at once."""
+
+    def __init__(self, column: pa.Array):
+        column = column.cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        self.data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        self.data = self.data if len(self.data) else np.zeros(1, np.uint8)
+        self.start, self.size = offsets[:-1], np.diff(offsets)
+
+    def at(self, rows: np.ndarray, place: np.ndarray | int) -> np.ndarray:
+        """The byte at a place of each of some rows; zero past the end."""
+        inside = place < self.size[rows]
+        return np.where(inside, self.data[np.where(inside, self.start[rows] + place, 0)], 0).astype(np.int64)
+
+    def number(self, rows: np.ndarray, place: np.ndarray | int, size: int) -> np.ndarray:
+        """A little-endian unsigned number."""
+        return sum(self.at(rows, place + i) << (8 * i) for i in range(size))
+
+    def checksum(self, rows: np.ndarray, start: int, stop: np.ndarray, extra: np.ndarray) -> np.ndarray:
+        """The X.25 checksum of bytes start to stop, then the extra byte where it is not negative."""
+        acc = np.full(len(rows), 0xFFFF, np.uint16)
+        for i in range(start, int(stop.max(initial=start))):
+            here = i < stop
+            acc[here] = CHECKSUMS[(acc[here] ^ self.at(rows[here], i)) & 0xFF] ^ (acc[here] >> 8)
+        here = extra >= 0
+        acc[here] = CHECKSUMS[(acc[here] ^ extra[here]) & 0xFF] ^ (acc[here] >> 8)
+        return acc.astype(np.int64)
+
+
+def _field(frames: Bytes, rows: np.ndarray, head: np.ndarray, kind: str, offset: int, most: int) -> pa.Array:
+    """One field of the rows of a message; null past the end of the payload, and for singles that are no number."""
+    size = int(kind[1])
+    raw = frames.number(rows, head + offset, size)
+    short = offset + size > most
+    if kind[0] == "f":
+        value = raw.astype(np.uint32).view(np.float32).astype(np.float64)
+        return pa.array(value, mask=short | ~np.isfinite(value))
+    return pa.array(np.where((kind[0] == "i") & (raw >= 1 << (8 * size - 1)), raw - (1 << (8 * size)), raw), mask=short)
+
+
+def _decoded(column: pa.Array) -> list[pa.Array]:
+    """The columns of DECODED for a column of frames."""
+    frames, n = Bytes(column.fill_null(b"")), len(column)
+    rows = np.arange(n)
+    first = frames.at(rows, 0)
+    one, two = first == 0xFE, first == 0xFD
+    known = (one | two) & (frames.size > 0)
+    head, length = np.where(one, 6, 10), frames.at(rows, 1)
+    message = np.where(one, frames.at(rows, 5), frames.number(rows, 7, 3))
+    signature = np.where(two & (frames.at(rows, 2) & 1 == 1), 13, 0)
+    whole = known & (frames.size == head + length + 2 + signature)
+    checksum = frames.number(rows, head + length, 2)
+    extra = np.full(n, -1, np.int64)
+    for k, (_, byte, _) in MESSAGES.items():
+        extra[message == k] = byte
+    good = np.zeros(n, bool)
+    at = rows[whole]
+    good[at] = frames.checksum(at, 1, (head + length)[at], extra[at]) == checksum[at]
+    error = np.full(n, None, object)
+    error[~good] = "bad checksum"
+    error[~whole] = "wrong length"
+    error[~known] = "no start byte"
+    error[frames.size == 0] = "empty frame"
+    begin = frames.start + head
+    payload = [frames.data[b : b + m].tobytes().hex().upper() if w else None for b, m, w in zip(begin, length, whole)]
+    reject = ~whole
+    numbers = (np.where(one, 1, 2).astype(np.int32), np.where(one, frames.at(rows, 2), frames.at(rows, 4)), np.where(one, frames.at(rows, 3), frames.at(rows, 5)), np.where(one, frames.at(rows, 4), frames.at(rows, 6)), message)
+    out = [pa.array(numbers[0], mask=~known), *[pa.array(v, mask=reject) for v in numbers[1:]], pa.array(payload, pa.string()), pa.array(checksum, mask=reject), pa.array(error, pa.string())]
+    for k, (_, _, fields) in MESSAGES.items():
+        here = np.flatnonzero(good & (message == k))
+        made = [_field(frames, here, head[here], t, o, length[here]) for _, t, o in fields]
+        take = np.zeros(n, np.int64)
+        take[here] = np.arange(len(here))
+        absent = np.ones(n, bool)
+        absent[here] = False
+        spread = [m.take(pa.array(take, mask=absent)) for m in made]
+        out.append(pa.StructArray.from_arrays(spread, [f[0] for f in fields], mask=pa.array(absent)))
+    return out
+
+
+DECODED = [
+    StructField("version", IntegerType()),
+    *[StructField(c, LongType()) for c in ("sequence", "system_id", "component_id", "message_id")],
+    StructField("payload_hex", StringType()),
+    StructField("checksum", LongType()),
+    StructField("error", StringType()),
+    *[StructField(name.lower(), StructType([StructField(f, DoubleType() if t[0] == "f" else LongType()) for f, t, _ in fields])) for name, _, fields in MESSAGES.values()],
+]
 
-def signed(text: Column, at: int, size: int) -> Column:
-    n = unsigned(text, at, size)
-    return F.when(n >= 1 << (8 * size - 1), n - (1 << (8 * size))).otherwise(n)
 
+def decode(raw: DataFrame, frame: str = "frame") -> DataFrame:
+    """The input with version, sequence, ids, payload_hex, checksum, decoded (a field struct by message) and error.
 
-def float32(text: Column, at: int) -> Column:
-    """An IEEE single as a double; null for infinities and not-a-number."""
-    bits = unsigned(text, at, 4)
-    exponent, fraction = F.shiftright(bits, 23).bitwiseAND(255), bits.bitwiseAND((1 << 23) - 1)
-    size = F.when(exponent == 0, fraction * F.pow(F.lit(2.0), F.lit(-149.0))).otherwise((1 + fraction / float(1 << 23)) * F.pow(F.lit(2.0), exponent - 127.0))
-    return F.when(exponent < 255, F.when(F.shiftright(bits, 31) == 1, -size).otherwise(size))
+    One datagram is one frame; anything else is a reject, whose numbers are null. A field past the end of the payload
+    is null. An Arrow batch is decoded at once, and only the fields of messages that it holds are read.
+    """
+    place = raw.columns.index(frame)
 
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_decoded(batch.column(place))], [*batch.schema.names, *[f.name for f in DECODED]])
 
-def crc(text: Column, extra: Column) -> Column:
-    """X.25 checksum over bytes in hex text, then the extra byte where there is one."""
-    data = F.transform(F.sequence(F.lit(0), (F.length(text) / 2 - 1).cast("int")), lambda i: F.conv(F.substring(text, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-    every = F.when(extra.isNotNull(), F.concat(data, F.array(extra))).otherwise(data)
+    return raw.mapInArrow(decoded, StructType([*raw.schema.fields, *DECODED]))
 
-    def step(acc: Column, byte: Column) -> Column:
-        low = byte.bitwiseXOR(acc.bitwiseAND(255))
-        t = low.bitwiseXOR(F.shiftleft(low, 4)).bitwiseAND(255)
-        return F.shiftright(acc, 8).bitwiseXOR(F.shiftleft(t, 8)).bitwiseXOR(F.shiftleft(t, 3)).bitwiseXOR(F.shiftright(t, 4)).bitwiseAND(65535)
 
-    return F.aggregate(every, F.lit(65535), step)
+def sealed(bodies: DataFrame, body: str, extra: str, off: str, frame: str) -> DataFrame:
+    """Adds ``frame``: version 2 frames of bodies without start and checksum. off is added to the checksum: faults, for tests."""
+    places = [bodies.columns.index(c) for c in (body, extra, off)]
 
+    def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, more, wrong = (batch.column(i) for i in places)
+            read = Bytes(column)
+            check = (read.checksum(np.arange(len(column)), 0, read.size, more.to_numpy().astype(np.int64)) + wrong.to_numpy()) & 0xFFFF
+            made = [b"\xfd" + b.as_py() + int(c).to_bytes(2, "little") for b, c in zip(column, check)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, frame])
 
-def decode(raw: DataFrame, frame: str = "frame") -> DataFrame:
-    """The input with version, sequence, ids, payload_hex, checksum, decoded (a field struct by message) and error.
-
-    One datagram is one frame; anything else is a reject. A field past the end of the payload is null.
-    """
-    h, size = F.col("__h"), F.col("__n")
-    df = settled(raw.withColumn("__h", F.hex(frame)).withColumn("__n", F.length(frame)))
-    start = F.substring(h, 1, 2)
-    version = F.when(start == "FE", 1).when(start == "FD", 2)
-    df = df.withColumn("version", version).withColumn("__len", unsigned(h, 1, 1)).withColumn("__head", F.when(version == 1, 6).otherwise(10))
-    one, two = F.col("version") == 1, F.col("version") == 2
-    df = df.withColumn("sequence", F.when(one, unsigned(h, 2, 1)).when(two, unsigned(h, 4, 1)))
-    df = df.withColumn("system_id", F.when(one, unsigned(h, 3, 1)).when(two, unsigned(h, 5, 1)))
-    df = df.withColumn("component_id", F.when(one, unsigned(h, 4, 1)).when(two, unsigned(h, 6, 1)))
-    df = df.withColumn("message_id", F.when(one, unsigned(h, 5, 1)).when(two, unsigned(h, 7, 3)))
-    signature = F.when(two & (unsigned(h, 2, 1).bitwiseAND(1) == 1), 13).otherwise(0)
-    df = df.withColumn("__want", F.col("__head") + F.col("__len") + 2 + signature)
-    df = df.withColumn("payload_hex", F.substring(h, F.col("__head") * 2 + 1, (F.col("__len") * 2).cast("int")))
-    df = df.withColumn("checksum", unsigned(h, (F.col("__head") + F.col("__len")).cast("int"), 2))
-    extra = reduce(lambda c, k: F.when(F.col("message_id") == k, MESSAGES[k][1]).otherwise(c), MESSAGES, F.lit(None).cast("int"))
-    df = settled(df)
-    whole = F.col("version").isNotNull() & (size == F.col("__want"))
-    body = F.substring(h, F.lit(3), ((F.col("__head") + F.col("__len") - 1) * 2).cast("int"))
-    df = settled(df.withColumn("__crc", F.when(whole, crc(body, extra))))
-    error = F.when(size.isNull() | (size == 0), "empty frame").when(F.col("version").isNull(), "no start byte").when(~whole | whole.isNull(), "wrong length").when(F.col("__crc") != F.col("checksum"), "bad checksum")
-    df = settled(df.withColumn("error", error))
-    for k, (name, _, fields) in MESSAGES.items():
-        made = [F.when(F.lit(o + int(t[1])) <= F.col("__len"), {"u": unsigned, "i": signed}[t[0]](F.col("payload_hex"), o, int(t[1])) if t[0] != "f" else float32(F.col("payload_hex"), o)).alias(n) for n, t, o in fields]
-        df = df.withColumn(name.lower(), F.when((F.col("message_id") == k) & F.col("error").isNull(), F.struct(*made)))
-    return settled(df.drop("__h", "__n", "__len", "__head", "__want", "__crc"))
+    return bodies.mapInArrow(closed, StructType([*bodies.schema.fields, StructField(frame, BinaryType())]))
 
 
 def parse_stats(decoded: DataFrame, by: str = "source") -> DataFrame:
@@ -107,37 +181,64 @@ def heartbeat_status(status: Column, base_mode: Column) -> Column:
     return F.when(status.isNotNull(), F.when(base_mode.bitwiseAND(128) != 0, F.concat(name, F.lit(".armed"))).otherwise(name))
 
 
-def project(decoded: DataFrame, org: str, platform: str, confidence: float, keep: list[str]) -> DataFrame:
-    """Triples of vehicle tracks. Rows that are rejects, unknown, or without a usable field give none."""
+def _track_pairs() -> tuple[Column, list, Column]:
+    """Subject and pairs of a vehicle's track, and whether a row has any usable field."""
     fields = {"h": "heartbeat", "p": "global_position_int", "a": "attitude", "b": "battery_status"}
     h, p, a, b = (lambda f, r=r: F.col(f"{r}.{f}") for r in fields.values())
-    status = heartbeat_status(h("system_status"), h("base_mode"))
-    position = wkt_point(p("lon") / 1e7, p("lat") / 1e7)
-    position = F.when(p("lat").isNotNull() & p("lon").isNotNull(), position)
+    position = F.when(p("lat").isNotNull() & p("lon").isNotNull(), wkt_point(p("lon") / 1e7, p("lat") / 1e7))
     velocity = F.when(p("vx").isNotNull() & p("vy").isNotNull() & p("vz").isNotNull(), F.format_string("NED_CMPS(%d %d %d)", p("vx"), p("vy"), p("vz")))
     specific = [
-        ("cop.track.status", "string", status),
+        ("cop.track.status", "string", heartbeat_status(h("system_status"), h("base_mode"))),
         ("cop.track.position", "string", position),
         ("cop.track.velocity", "string", velocity),
         *[(f"cop.track.{n}", "double", F.round(a(n) * 100) / 100) for n in ("roll", "pitch", "yaw")],
         ("cop.track.battery_remaining", "long", b("battery_remaining")),
     ]
-    usable = reduce(lambda x, y: x | y, [o.isNotNull() for _, _, o in specific])
-    rows = decoded.filter(F.col("error").isNull() & usable)
+    parts = [h("system_status"), p("lat"), p("vx"), a("roll"), a("pitch"), a("yaw"), b("battery_remaining")]
+    return specific, F.col("error").isNull() & reduce(lambda x, y: x | y, [o.isNotNull() for o in parts])
+
+
+def _named_track(confidence: float) -> list:
     native = F.format_string("mavlink.system.%d.component.%d", "system_id", "component_id")
-    base = [("cop.track.native_id", "string", native), ("cop.track.observed_at", "time", time_text(F.col("received_at"))), *provenance("mavlink", F.col("received_at"), F.lit(confidence), F.col("ref"))]
-    subject = entity_id(F.lit(org), F.lit(platform), "mavlink", "track", F.format_string("system-%d", "system_id"))
-    return to_triples(rows, subject, base + specific, keep, F.col("received_at"), F.lit("mavlink"), F.lit(confidence))
+    return [("cop.track.native_id", "string", native), ("cop.track.observed_at", "time", time_text(F.col("received_at"))), *provenance("mavlink", F.col("received_at"), F.lit(confidence), F.col("ref"))]
 
 
-def project_assets(births: DataFrame, org: str, platform: str, confidence: float, keep: list[str]) -> DataFrame:
-    """P5: triples of the source asset of each vehicle, from the rows that first show it."""
-    pairs = [
+def _asset_pairs(confidence: float) -> list:
+    return [
         ("cop.asset.name", "string", F.format_string("MAVLink system %d", "system_id")),
         ("cop.asset.kind", "string", F.lit("mavlink-system")),
         ("cop.asset.source", "string", F.lit("mavlink")),
         ("cop.asset.native_id", "string", F.format_string("mavlink.system.%d", "system_id")),
         *provenance("mavlink", F.col("received_at"), F.lit(confidence), F.col("ref")),
     ]
-    subject = entity_id(F.lit(org), F.lit(platform), "mavlink", "asset", F.format_string("system-%d", "system_id"))
-    return to_triples(births, subject, pairs, keep, F.col("received_at"), F.lit("mavlink"), F.lit(confidence))
+
+
+def subject_of(org: str, platform: str, kind: str) -> Column:
+    return entity_id(F.lit(org), F.lit(platform), "mavlink", kind, F.format_string("system-%d", "system_id"))
+
+
+def usable(decoded: DataFrame) -> DataFrame:
+    """Frames that say something of a vehicle: no rejects, no unknown messages, none without a usable field."""
+    return decoded.filter(_track_pairs()[1])
+
+
+def project(decoded: DataFrame, org: str, platform: str, confidence: float, keep: list[str]) -> DataFrame:
+    """Triples of vehicle tracks. Rows that are rejects, unknown, or without a usable field give none."""
+    return to_triples(usable(decoded), subject_of(org, platform, "track"), _named_track(confidence) + _track_pairs()[0], keep, F.col("received_at"), F.lit("mavlink"), F.lit(confidence))
+
+
+def project_assets(births: DataFrame, org: str, platform: str, confidence: float, keep: list[str]) -> DataFrame:
+    """P5: triples of the source asset of each vehicle, from the rows that first show it."""
+    return to_triples(births, subject_of(org, platform, "asset"), _asset_pairs(confidence), keep, F.col("received_at"), F.lit("mavlink"), F.lit(confidence))
+
+
+def project_planned(planned: DataFrame, org: str, platform: str, confidence: float, keep: list[str]) -> DataFrame:
+    """P1-P5 in one pass over usable frames with their ``kind``: tracks, and on a create the asset and the edge to it."""
+    track, asset = subject_of(org, platform, "track"), subject_of(org, platform, "asset")
+    created = F.col("kind") == "create"
+    parts = [
+        (track, _named_track(confidence) + _track_pairs()[0], None),
+        (asset, _asset_pairs(confidence), created),
+        (track, [("cop.track.source", "entity", asset)], created),
+    ]
+    return to_triples_of(planned, parts, keep, F.col("received_at"), F.lit("mavlink"), F.lit(confidence))

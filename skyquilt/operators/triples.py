@@ -31,6 +31,19 @@ def to_triples(rows: DataFrame, subject: Column, pairs: Sequence[tuple[str, str,
     return base.select(*keep, "subject", "t.predicate", "t.object", "t.object_type", "source", "timestamp", "confidence", "idx")
 
 
+def to_triples_of(rows: DataFrame, parts: Sequence[tuple[Column, Sequence[tuple[str, str, Column]], Column | None]], keep: Sequence[str], at: Column, source: Column, confidence: Column) -> DataFrame:
+    """As ``to_triples`` for several subjects of one row: parts are (subject, pairs, condition or None)."""
+    made, idx = [], 0
+    for subject, pairs, condition in parts:
+        for predicate, kind, value in pairs:
+            value = value.cast("string") if condition is None else F.when(condition, value.cast("string"))
+            made.append(F.struct(subject.alias("subject"), F.lit(predicate).alias("predicate"), value.alias("object"), F.lit(kind).alias("object_type"), F.lit(idx).alias("idx")))
+            idx += 1
+    full = F.filter(F.array(*made), lambda x: x["object"].isNotNull())
+    base = rows.select(*keep, source.alias("source"), at.alias("timestamp"), confidence.alias("confidence"), F.explode(full).alias("t"))
+    return base.select(*keep, "t.subject", "t.predicate", "t.object", "t.object_type", "source", "timestamp", "confidence", "t.idx")
+
+
 def provenance(source: str, observed: Column, confidence: Column, ref: Column) -> list[tuple[str, str, Column]]:
     return [
         ("cop.provenance.source", "string", F.lit(source)),

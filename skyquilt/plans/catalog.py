@@ -48,15 +48,8 @@ usable AS (SELECT * FROM e WHERE event_type IN ('view', 'click', 'purchase', 'si
 
 def vehicle_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples of vehicle tracks and assets, with the source edge on the create."""
-    decoded = mavlink.decode(lenses.frames(spark, sf_dir))
-    tracks = mavlink.project(decoded, ORG, PLATFORM, SURE, KEEP)
-    usable = decoded.filter("error is null and (heartbeat is not null or global_position_int is not null or attitude is not null or battery_status is not null)")
-    subject = tx.entity_id(F.lit(ORG), F.lit(PLATFORM), "mavlink", "track", F.format_string("system-%d", "system_id"))
-    births = state.plan_births(usable.withColumn("subject", subject)).filter("kind = 'create'")
-    assets = mavlink.project_assets(births, ORG, PLATFORM, SURE, KEEP)
-    target = F.regexp_replace("subject", r"\.track\.", ".asset.")
-    edges = births.select(*KEEP, "subject", F.lit("cop.track.source").alias("predicate"), target.alias("object"), F.lit("entity").alias("object_type"), F.lit("mavlink").alias("source"), F.col("received_at").alias("timestamp"), F.lit(SURE).alias("confidence"), F.lit(99).alias("idx"))
-    return tracks.unionByName(assets).unionByName(edges)
+    seen = mavlink.usable(mavlink.decode(lenses.frames(spark, sf_dir))).withColumn("subject", mavlink.subject_of(ORG, PLATFORM, "track"))
+    return mavlink.project_planned(state.plan_births(seen), ORG, PLATFORM, SURE, KEEP)
 
 
 def operator_triples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyquilt.operators.lane import assign_refs
-from skyquilt.operators.mavlink import MESSAGES, crc
+from skyquilt.operators.mavlink import MESSAGES, sealed
 from skyquilt.operators.triples import settled
 
 ROLLS = ("0000003f", "0000803f", "000000c0", "0000803e")  # 0.5, 1, -2 and 0.25 as singles
@@ -40,9 +40,10 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(little(F.length("__payload") / 2, 1), little(zero, 1), little(zero, 1), little(e % 256, 1), little(F.col("user_id") % 150 + 1, 1), little(F.lit(1), 1), little(F.col("__number"), 3), F.col("__payload"))
     df = settled(df.withColumn("__body", body))
     extra = F.when(F.col("__number") == 33, MESSAGES[33][1]).when(F.col("__number") == 147, MESSAGES[147][1]).when(F.col("__number") == 30, MESSAGES[30][1]).otherwise(MESSAGES[0][1])
-    check = crc(F.col("__body"), extra) + F.when(kind == "error", 1).otherwise(0)
-    made = df.withColumn("frame", F.unhex(F.concat(F.lit("FD"), F.col("__body"), little(check, 2)))).withColumn("source", F.concat(F.lit("uav-"), (F.col("user_id") % 4).cast("string")))
-    return assign_refs(settled(made).drop("__number", "__payload", "__body"), "mavlink", F.col("frame"), ["event_id"]).withColumn("batch", F.lit(0)).withColumn("arrival", F.col("event_id"))
+    made = settled(df.withColumn("__extra", extra).withColumn("__off", F.when(kind == "error", 1).otherwise(0)).withColumn("__body", F.unhex("__body")))
+    made = sealed(made.drop("__number", "__payload"), "__body", "__extra", "__off", "frame").drop("__body", "__extra", "__off")
+    made = made.withColumn("source", F.concat(F.lit("uav-"), (F.col("user_id") % 4).cast("string")))
+    return assign_refs(made, "mavlink", F.col("frame"), ["event_id"]).withColumn("batch", F.lit(0)).withColumn("arrival", F.col("event_id"))
 
 
 def cot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
