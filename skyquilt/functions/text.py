@@ -96,6 +96,17 @@ def track_label(entity: Column, native_id: Column) -> Column:
     system, instance = F.split_part(entity, F.lit("."), F.lit(4)), F.split_part(entity, F.lit("."), F.lit(6))
     call = F.regexp_extract(native_id, r"\.callsign\.(.+?)\.source\.", 1)
     icao = F.regexp_extract(native_id, r"^adsb\.icao24\.([^.]+)", 1)
-    aircraft = first_text(F.upper(call), icao, instance)
+    aircraft = first_text(F.upper(call), F.upper(icao), instance)
     uid = F.regexp_extract(native_id, r"^cot\.uid\.(.+)$", 1)
-    return F.when(system == "mavlink", F.concat(F.lit("UAS "), F.regexp_replace(instance, "^system-", ""))).when(system == "adsb", aircraft).when(system == "tak", first_text(uid, instance)).otherwise(instance)
+    vehicle = F.concat(F.lit("UAS "), F.regexp_replace(instance, "^system-", ""))
+    return F.when(system == "mavlink", vehicle).when(system == "adsb", aircraft).when(system == "tak", first_text(uid, instance)).when(instance.startswith("system-"), vehicle).otherwise(instance)
+
+
+def cap_ref(source: Column, identifier: Column, received_at: Column) -> Column:
+    """The reference of a warning."""
+    return F.concat_ws("/", F.lit("cap://raw"), ref_segment(source), ref_segment(identifier), (F.unix_micros(received_at) * 1000).cast("string"))
+
+
+def owner_of(source: Column) -> Column:
+    """The owner of what a source says."""
+    return F.when(source == "mavlink", "feed.mavlink").when(source == "tak-cot", "feed.tak").when(source == "cap", "feed.cap").when(source == "adsb", "feed.adsb").otherwise("fusion.structural")

@@ -108,9 +108,9 @@ def hazard_kind(event: Column) -> Column:
 
 
 def hazards(documents: DataFrame, now: Column, window: Column, org: str, platform: str) -> DataFrame:
-    """V5: hazards of three points or more from ``evidence`` rows, the latest by identifier."""
+    """V5: hazards of three points or more from ``evidence`` rows, the latest by identifier; of equal times the later arrival."""
     used = ("alert_status", "msg_type", "severity", "event", "advisory_text", "area_desc", "expires", "polygons", "circles")
-    last = documents.groupBy("identifier").agg(F.max("observed_at").alias("updated_at"), F.max_by(F.struct(*used), "observed_at").alias("d")).select("identifier", "updated_at", "d.*")
+    last = documents.groupBy("identifier").agg(F.max("observed_at").alias("updated_at"), F.max_by(F.struct(*used), F.struct("observed_at", *[c for c in ("batch", "arrival") if c in documents.columns])).alias("d")).select("identifier", "updated_at", "d.*")
     usable = F.filter("polygons", lambda p: p.isNotNull())
     shaped = settled(last.withColumn("geometry", hazard_geometry(F.coalesce(usable, F.array()), F.coalesce("circles", F.array()))))
     status = hazard_status(F.col("alert_status"), F.col("msg_type"), F.col("expires"), now, F.col("updated_at"), window)

@@ -17,13 +17,16 @@ CONTRACTS = (
     ("cap-evidence", "feed.cap", "cap", "hazard_area", "content", "append", [f"cop.hazard.{x}" for x in ("advisory_text", "evidence", "source")] + _PROV),
     ("fusion-alert", "fusion.structural", "fusion", "alert", "control", "replace", [f"cop.alert.{x}" for x in ("severity", "status", "reason", "affected_entity", "source")] + _PROV),
 )
+# The source names that each owner writes under.
+SOURCES = {"feed.asset": ["mavlink", "tak-cot", "adsb"], "feed.mavlink": ["mavlink"], "feed.tak": ["tak-cot"], "feed.cap": ["cap"], "feed.adsb": ["adsb"], "fusion.structural": ["fusion"]}
 ADSB = ("adsb-track", "feed.adsb", "adsb", "track", "signal", "replace", _T("position", "velocity", "status", "observed_at", "native_id") + _PROV)
 
 
 def contracts(spark: SparkSession, adsb: bool = True) -> DataFrame:
     """G1: one row per contract."""
     rows = [*CONTRACTS, *([ADSB] if adsb else [])]
-    return spark.createDataFrame(rows, "contract string, owner string, system string, entity_type string, profile string, mode string, predicates array<string>")
+    rows = [(*r, SOURCES[r[1]]) for r in rows]
+    return spark.createDataFrame(rows, "contract string, owner string, system string, entity_type string, profile string, mode string, predicates array<string>, sources array<string>")
 
 
 def _part(n: int) -> Column:
@@ -32,15 +35,20 @@ def _part(n: int) -> Column:
 
 def match_contract(triples: DataFrame, rules: DataFrame) -> DataFrame:
     """Triples with the contract of their entity; null where there is none. The rules are a fixed small table."""
-    narrow = rules.select("contract", "owner", "profile", "mode", "predicates", F.col("system").alias("__system"), F.col("entity_type").alias("__type"))
+    narrow = rules.select("contract", "owner", "profile", "mode", "predicates", "sources", F.col("system").alias("__system"), F.col("entity_type").alias("__type"))
     fits = (_part(5) == F.col("__type")) & ((F.col("__system") == "*") | (_part(4) == F.col("__system")))
     return triples.join(F.broadcast(narrow), fits, "left").drop("__system", "__type")
 
 
+def _fault() -> Column:
+    uncovered = F.col("contract").isNull() | ~F.array_contains("predicates", F.col("predicate"))
+    return F.when(uncovered, "unowned").when(~F.array_contains("sources", F.col("source")), "owner mismatch")
+
+
 def find_unowned(triples: DataFrame, rules: DataFrame) -> DataFrame:
-    """Writes that no contract covers."""
+    """Writes that no contract covers, or whose source is not the owner's, with the reason."""
     matched = match_contract(triples, rules)
-    return matched.filter(F.col("contract").isNull() | ~F.array_contains("predicates", F.col("predicate")))
+    return matched.withColumn("reason", _fault()).filter("reason is not null")
 
 
 def find_overlaps(rules: DataFrame) -> DataFrame:
@@ -52,7 +60,7 @@ def find_overlaps(rules: DataFrame) -> DataFrame:
 
 
 def find_dangling_edges(triples: DataFrame, entities: DataFrame) -> DataFrame:
-    """Source edges whose target is no known asset."""
+    """Source edges whose target is no asset by its id, or no known entity."""
     edges = triples.filter(F.col("predicate") == "cop.track.source").select("subject", F.col("object").alias("target"))
     known = entities.filter(_part(5) == "asset").select(F.col("subject").alias("target")).distinct()
     return edges.join(known, "target", "left_anti")
@@ -64,7 +72,8 @@ def route_by_profile(triples: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def violation_counters(triples: DataFrame, entities: DataFrame, rules: DataFrame) -> DataFrame:
-    """Counts that stay 0 on good data."""
-    unowned = find_unowned(triples, rules).agg(F.count("*").alias("n_unowned"))
+    """Counts that stay 0 on good data: unowned writes, writes under another owner's source, edges without a target, writes without a profile."""
+    matched = match_contract(triples, rules).withColumn("reason", _fault())
+    counts = matched.agg(F.count_if(F.col("reason") == "unowned").alias("n_unowned"), F.count_if(F.col("reason") == "owner mismatch").alias("n_mismatched"), F.count_if(F.col("profile").isNull()).alias("n_unprofiled"))
     dangling = find_dangling_edges(triples, entities).agg(F.count("*").alias("n_dangling"))
-    return unowned.join(dangling, F.lit(True))
+    return counts.join(dangling, F.lit(True))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyquilt.functions.text import entity_id, entity_token, first_text, wkt_point
-from skyquilt.operators.triples import provenance, settled, time_text, to_triples
+from skyquilt.operators.triples import provenance, settled, time_text, to_triples_of
 
 SHAPE = """_uid string, _type string, _how string, _time string, _start string, _stale string,
 point struct<_lat string, _lon string, _hae string, _ce string, _le string>,
@@ -59,38 +61,52 @@ def event_status(kind: Column) -> Column:
     return F.concat_ws(".", state, kind)
 
 
-def project(decoded: DataFrame, org: str, platform: str, confidence: float, keep: list[str]) -> DataFrame:
-    """Triples of tracks, tasks and advisories, by route."""
-    seen = F.coalesce("time", "received_at")
+def _texts() -> tuple[Column, Column, Column]:
+    """Name, text and sender of an event."""
+    return first_text(F.col("callsign"), F.col("uid")), first_text(F.col("chat_text"), F.col("remarks")), first_text(F.col("sender_uid"), F.col("callsign"))
+
+
+def sightings(decoded: DataFrame, org: str, platform: str) -> DataFrame:
+    """The good events that give an entity, with route and subject: tracks and tasks that say something, advisories with a text."""
+    usable = {
+        "track": F.col("point").isNotNull() | F.col("has_track"),
+        "task": F.col("point").isNotNull() | F.col("callsign").isNotNull() | F.col("remarks").isNotNull(),
+        "advisory": _texts()[1].isNotNull(),
+    }
     good = route(decoded.filter(F.col("error").isNull()))
-    native = F.concat(F.lit("cot.uid."), entity_token(F.col("uid")))
+    some = reduce(lambda x, y: x | y, [(F.col("route") == kind) & said for kind, said in usable.items()])
+    return good.filter(some).withColumn("subject", entity_id(F.lit(org), F.lit(platform), F.lit("tak"), F.col("route"), entity_token(F.col("uid"))))
+
+
+def _seen() -> Column:
+    return F.coalesce("time", "received_at")
+
+
+def _pairs(confidence: float) -> dict[str, list]:
+    native = F.concat(F.lit("cot.uid."), F.trim("uid"))
     position = F.when(F.col("point.lat").isNotNull() & F.col("point.lon").isNotNull(), wkt_point(F.col("point.lon"), F.col("point.lat")))
-    base = provenance("tak-cot", seen, F.lit(confidence), F.col("ref"))
     motion = F.when(F.col("has_track"), F.format_string("COURSE_SPEED_MPS(%.2f %.2f)", F.round(F.coalesce("course", F.lit(0.0)) * 100) / 100, F.round(F.coalesce("speed", F.lit(0.0)) * 100) / 100))
     air = classify(F.col("type")) == "air"
-    name, text, sender = first_text(F.col("callsign"), F.col("uid")), first_text(F.col("chat_text"), F.col("remarks")), first_text(F.col("sender_uid"), F.col("callsign"))
+    name, text, sender = _texts()
     made = {
-        "track": (F.col("point").isNotNull() | F.col("has_track"), [("native_id", "string", native), ("observed_at", "time", time_text(seen)), ("status", "string", event_status(F.when(air, "air-track").otherwise("operator"))), ("position", "string", position), ("velocity", "string", motion)]),
-        "task": (F.col("point").isNotNull() | F.col("callsign").isNotNull() | F.col("remarks").isNotNull(), [("native_id", "string", native), ("name", "string", name), ("kind", "string", F.lit("marker")), ("status", "string", event_status(F.lit("marker"))), ("position", "string", position), ("description", "string", F.col("remarks"))]),
-        "advisory": (text.isNotNull(), [("native_id", "string", native), ("text", "string", text), ("kind", "string", F.lit("geochat")), ("status", "string", event_status(F.lit("geochat"))), ("sender", "string", sender), ("position", "string", position)]),
+        "track": [("native_id", "string", native), ("observed_at", "time", time_text(_seen())), ("status", "string", event_status(F.when(air, "air-track").otherwise("operator"))), ("position", "string", position), ("velocity", "string", motion)],
+        "task": [("native_id", "string", native), ("name", "string", name), ("kind", "string", F.lit("marker")), ("status", "string", event_status(F.lit("marker"))), ("position", "string", position), ("description", "string", F.col("remarks"))],
+        "advisory": [("native_id", "string", native), ("text", "string", text), ("kind", "string", F.lit("geochat")), ("status", "string", event_status(F.lit("geochat"))), ("sender", "string", sender), ("position", "string", position)],
     }
-    out = None
-    for kind, (usable, pairs) in made.items():
-        rows = good.filter((F.col("route") == kind) & usable)
-        named = [(f"cop.{kind}.{n}", t, o) for n, t, o in pairs]
-        part = to_triples(rows, entity_id(F.lit(org), F.lit(platform), "tak", kind, entity_token(F.col("uid"))), base + named, keep, seen, F.lit("tak-cot"), F.lit(confidence))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def project_assets(births: DataFrame, org: str, platform: str, confidence: float, keep: list[str]) -> DataFrame:
-    """Triples of the source asset of each track, from the rows that first show it."""
-    seen = F.coalesce("time", "received_at")
-    pairs = [
-        ("cop.asset.name", "string", first_text(F.col("callsign"), F.col("uid"))),
-        ("cop.asset.kind", "string", F.lit("tak-cot-source")),
-        ("cop.asset.source", "string", F.lit("tak-cot")),
-        ("cop.asset.native_id", "string", F.concat(F.lit("cot.uid."), entity_token(F.col("uid")))),
-        *provenance("tak-cot", seen, F.lit(confidence), F.col("ref")),
+    said = {kind: [(f"cop.{kind}.{n}", t, o) for n, t, o in pairs] for kind, pairs in made.items()}
+    said["asset"] = [("cop.asset.name", "string", name), ("cop.asset.kind", "string", F.lit("tak-cot-source")), ("cop.asset.source", "string", F.lit("tak-cot")), ("cop.asset.native_id", "string", native)]
+    return said
+
+
+def project_planned(planned: DataFrame, org: str, platform: str, confidence: float, keep: list[str]) -> DataFrame:
+    """P7-P10 in one pass over ``sightings`` with their ``kind``: tracks, tasks and advisories by route, and on the create of a track its source asset and the edge to it."""
+    said, provenance_ = _pairs(confidence), provenance("tak-cot", _seen(), F.lit(confidence), F.col("ref"))
+    asset = entity_id(F.lit(org), F.lit(platform), "tak", "asset", entity_token(F.col("uid")))
+    created = (F.col("route") == "track") & (F.col("kind") == "create")
+    parts = [
+        (F.col("subject"), provenance_, None),
+        *[(F.col("subject"), said[kind], F.col("route") == kind) for kind in ("track", "task", "advisory")],
+        (asset, provenance_ + said["asset"], created),
+        (F.col("subject"), [("cop.track.source", "entity", asset)], created),
     ]
-    return to_triples(births, entity_id(F.lit(org), F.lit(platform), "tak", "asset", entity_token(F.col("uid"))), pairs, keep, seen, F.lit("tak-cot"), F.lit(confidence))
+    return to_triples_of(planned, parts, keep, _seen(), F.lit("tak-cot"), F.lit(confidence))

@@ -164,9 +164,9 @@ def sealed(bodies: DataFrame, body: str, extra: str, off: str, frame: str) -> Da
 
 
 def parse_stats(decoded: DataFrame, by: str = "source") -> DataFrame:
-    """Frames by source: total, valid, invalid, with a bad checksum, with an unknown message id."""
+    """Frames by source: total (those that are valid packets), valid, invalid, with a bad checksum, with an unknown message id."""
     good = F.col("error").isNull()
-    return decoded.groupBy(by).agg(F.count("*").alias("total"), F.count_if(good).alias("valid"), F.count_if(~good).alias("invalid"), F.count_if(F.col("error") == "bad checksum").alias("checksum_errors"), F.count_if(good & ~F.col("message_id").isin(*MESSAGES)).alias("unknown_ids"))
+    return decoded.groupBy(by).agg(F.count_if(good).alias("total"), F.count_if(good).alias("valid"), F.count_if(~good).alias("invalid"), F.count_if(F.col("error") == "bad checksum").alias("checksum_errors"), F.count_if(good & ~F.col("message_id").isin(*MESSAGES)).alias("unknown_ids"))
 
 
 def named(code: Column, names: dict[int, str], unknown: str = "unknown(%d)") -> Column:

@@ -41,16 +41,23 @@ def whole_batches(items: DataFrame, batch: str, bad: str = "error") -> DataFrame
 
 
 def mutation_log(planned: DataFrame, profile: str, owner: str) -> DataFrame:
-    """One row per mutation, with its request id."""
+    """One row per mutation in order of (batch, arrival), with its message type, request id and, as trace id, the raw reference."""
     name = F.split_part("subject", F.lit("."), F.lit(5))
     request = F.concat_ws("-", "kind", name, F.split_part("subject", F.lit("."), F.lit(6)), F.col("arrival").cast("string"))
-    return planned.select("batch", "arrival", "kind", "subject", name.alias("entity_type"), F.lit(profile).alias("indexing_profile"), F.lit(owner).alias("owner"), request.alias("request_id"))
+    message = F.when(F.col("kind") == "create", "entity.create").otherwise("entity.update")
+    return planned.select("batch", "arrival", "kind", message.alias("message_type"), "subject", name.alias("entity_type"), F.lit(profile).alias("indexing_profile"), F.lit(owner).alias("owner"), F.col("ref").alias("trace_id"), request.alias("request_id"))
+
+
+def append_evidence(old: DataFrame, new: DataFrame) -> DataFrame:
+    """M2: every triple is kept, equal ones too."""
+    return old.unionByName(new)
 
 
 def current_state(triples: DataFrame, order: tuple[str, ...] = ("batch", "arrival", "idx")) -> DataFrame:
     """M1: the last written object by entity and predicate; a maximum by key, combined before the shuffle."""
     value = F.struct("object", "object_type", "timestamp", "confidence", "source")
-    return triples.groupBy("subject", "predicate").agg(F.max_by(value, F.struct(*order)).alias("v")).select("subject", "predicate", "v.*")
+    place = F.struct(*order)
+    return triples.groupBy("subject", "predicate").agg(F.max_by(value, place).alias("v"), F.max(place).alias("place")).select("subject", "predicate", "v.*", "place")
 
 
 def latest_property(evidence: DataFrame) -> DataFrame:
@@ -64,11 +71,11 @@ def entities(triples: DataFrame) -> DataFrame:
 
 
 def wide(state: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
-    """M5-M8: chosen predicates as columns; empty text counts as missing, with confidence and update time resolved."""
+    """M5-M8: chosen predicates as columns; empty text counts as missing, with confidence (the stated one, else the first above 0 in order of writing) and update time resolved."""
     columns = columns or STATE_PREDICATES
     object_ = F.nullif("object", F.lit(""))
     picked = [F.max(F.when(F.col("predicate") == p, object_)).alias(n) for n, p in columns.items()]
-    some = F.max_by(F.when(F.col("confidence") > 0, F.col("confidence")), F.when(F.col("confidence") > 0, F.col("timestamp")))
+    some = F.min_by(F.when(F.col("confidence") > 0, F.col("confidence")), F.when(F.col("confidence") > 0, F.col("place")))
     out = state.groupBy("subject").agg(*picked, F.max("timestamp").alias("__last"), some.alias("__some"))
     seen = F.coalesce(F.try_to_timestamp("observed_at"), F.col("__last")) if "observed_at" in columns else F.col("__last")
     out = out.withColumn("updated_at", seen)
@@ -90,11 +97,6 @@ def stop_at_first_error(steps: DataFrame, order: str) -> DataFrame:
     return steps.join(F.broadcast(first), F.lit(True)).filter(F.col("__stop").isNull() | (F.col(order) <= F.col("__stop"))).drop("__stop")
 
 
-def number_in_order(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Position of each row within its key."""
-    return rows.withColumn("position", F.row_number().over(W.partitionBy(key).orderBy(*order)))
-
-
 def run_summary(steps: DataFrame) -> DataFrame:
     """``steps`` (feed, error) to inputs, completed and failed steps and the state of each feed's run."""
     failed = F.count_if(F.col("error").isNotNull())

@@ -44,6 +44,32 @@ def prefix_scan(entities: DataFrame, prefix: str, limit: int = LIMIT) -> DataFra
     return first.orderBy("subject").limit(limit).join(F.broadcast(n), F.lit(True))
 
 
+def get_entities(requested: DataFrame, current: DataFrame) -> DataFrame:
+    """Q2: every requested id (column subject) with whether it is known and how many properties it has; unknown ids are no error."""
+    known = current.groupBy("subject").agg(F.count("*").alias("n_properties"), F.max("timestamp").alias("updated_at"))
+    return requested.join(known, "subject", "left").select("subject", F.col("n_properties").isNotNull().alias("found"), F.coalesce("n_properties", F.lit(0)).cast("long").alias("n_properties"), "updated_at")
+
+
+def discover(entities: DataFrame, targets: DataFrame, limit: int = LIMIT, salts: int = 64) -> DataFrame:
+    """Q4: (prefix, subject): the first ``limit`` entities of each target by id; blank ids are skipped.
+
+    First the best of each of ``salts`` parts of a prefix are taken, so that no prefix is ranked whole in one task.
+    """
+    named = entities.filter(F.trim("subject") != "").select(F.substring_index("subject", ".", 5).alias("prefix"), "subject").distinct().join(F.broadcast(targets.select("prefix")), "prefix", "left_semi")
+    part = W.partitionBy("prefix", F.pmod(F.xxhash64("subject"), F.lit(salts))).orderBy("subject")
+    best = named.withColumn("__n", F.row_number().over(part)).filter(F.col("__n") <= limit)
+    return best.withColumn("__n", F.row_number().over(W.partitionBy("prefix").orderBy("subject"))).filter(F.col("__n") <= limit).drop("__n")
+
+
+def feed_observations(tracks_view: DataFrame, tasks_view: DataFrame, advisories_view: DataFrame, hazards_view: DataFrame | None = None) -> DataFrame:
+    """H2: (feed, updated_at): tracks by their source; all tasks and advisories speak for TAK, all hazards for CAP."""
+    feed = F.when(F.col("source") == "tak-cot", "feed.tak").otherwise(F.concat(F.lit("feed."), F.col("source")))
+    out = tracks_view.select(feed.alias("feed"), "updated_at")
+    for view in (tasks_view, advisories_view):
+        out = out.unionByName(view.select(F.lit("feed.tak").alias("feed"), "updated_at"))
+    return out if hazards_view is None else out.unionByName(hazards_view.select(F.lit("feed.cap").alias("feed"), "updated_at"))
+
+
 def discovery_diagnostics(entities: DataFrame, targets: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Q4, Q5: how many entities each target finds, up to the limit, and whether there are more."""
     counts = entities.groupBy(F.substring_index("subject", ".", 5).alias("prefix")).agg(F.countDistinct("subject").alias("__n"))
@@ -76,10 +102,12 @@ def feed_health(spark: SparkSession, observations: DataFrame, now: Column, windo
     return joined.select("feed", "name", "kind", status.alias("status"), at.alias("last_event_at"))
 
 
-def summary(tracks_view: DataFrame, feeds: DataFrame) -> DataFrame:
-    """H3: how many tracks and stale feeds there are."""
-    a = tracks_view.agg(F.count("*").alias("n_tracks"), F.count_if(F.col("status").startswith("stale")).alias("n_stale_tracks"))
-    return a.join(feeds.agg(F.count_if(F.col("status") == "stale").alias("n_stale_feeds")), F.lit(True))
+def summary(views: dict[str, DataFrame], feeds: DataFrame) -> DataFrame:
+    """H3: the size of each view, stale ones included, and how many feeds are stale."""
+    out = feeds.agg(F.count_if(F.col("status") == "stale").alias("n_stale_feeds"))
+    for name, view in views.items():
+        out = out.join(view.agg(F.count("*").alias(f"n_{name}")), F.lit(True))
+    return out
 
 
 def map_bounds(points: DataFrame) -> DataFrame:
@@ -95,21 +123,11 @@ def nearest(points: DataFrame, lon: float, lat: float, k: int) -> DataFrame:
     return points.withColumn("km", 2 * 6371.0088 * F.asin(F.sqrt(a))).orderBy("km", "subject").limit(k)
 
 
-def ordered(view: DataFrame) -> DataFrame:
-    """A view by entity id."""
-    return view.orderBy("subject")
-
-
 def positions_by_window(points: DataFrame, length: str = "1 hour") -> DataFrame:
     """How many positions each object has in each time window, and the last of them."""
     return points.groupBy("subject", F.window("timestamp", length).alias("w")).agg(F.count("*").alias("n"), F.max_by("object", "timestamp").alias("last_position")).select("subject", F.col("w.start").alias("window_start"), "n", "last_position")
 
 
-def rank_in(rows: DataFrame, key: str, by: Column) -> DataFrame:
-    """Rows with their rank within a key."""
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(by)))
-
-
 TASK_COLUMNS = {n: f"cop.task.{n}" for n in ("name", "kind", "status", "position", "description", "native_id")}
 ADVISORY_COLUMNS = {n: f"cop.advisory.{n}" for n in ("text", "kind", "status", "sender", "position", "native_id")}
 PROVENANCE_COLUMNS = {"provenance": "cop.provenance.source", "source_ref": "cop.provenance.source_ref", "provenance_confidence": "cop.provenance.confidence", "observed_at": "cop.provenance.observed_at"}

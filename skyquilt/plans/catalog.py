@@ -53,7 +53,9 @@ def vehicle_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def operator_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cot.project(cot.decode(lenses.cot_events(spark, sf_dir)), ORG, PLATFORM, SURE, KEEP)
+    """Triples of operators' tracks, tasks and advisories, with the source asset of each track and the edge to it."""
+    seen = cot.sightings(cot.decode(lenses.cot_events(spark, sf_dir)), ORG, PLATFORM)
+    return cot.project_planned(state.plan_births(seen), ORG, PLATFORM, SURE, KEEP)
 
 
 def aircraft_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +182,7 @@ def d20(spark, sf_dir):
     return d.select("event_id", "system_id", "message_id", "error", "global_position_int.lat", "global_position_int.lon", "global_position_int.vx", "global_position_int.vy", "heartbeat.system_status", F.col("battery_status.battery_remaining").alias("battery"), "battery_status.current_battery", "attitude.roll")
 
 
-@query("d22_parse_stats", _E + "SELECT 'uav-' || user_id % 4 AS source, count(*)::BIGINT AS total, count(*) FILTER (event_type <> 'error')::BIGINT AS valid, count(*) FILTER (event_type = 'error')::BIGINT AS invalid, count(*) FILTER (event_type = 'error')::BIGINT AS checksum_errors, 0::BIGINT AS unknown_ids FROM e GROUP BY user_id % 4")
+@query("d22_parse_stats", _E + "SELECT 'uav-' || user_id % 4 AS source, count(*) FILTER (event_type <> 'error')::BIGINT AS total, count(*) FILTER (event_type <> 'error')::BIGINT AS valid, count(*) FILTER (event_type = 'error')::BIGINT AS invalid, count(*) FILTER (event_type = 'error')::BIGINT AS checksum_errors, 0::BIGINT AS unknown_ids FROM e GROUP BY user_id % 4")
 def d22(spark, sf_dir):
     return mavlink.parse_stats(mavlink.decode(lenses.frames(spark, sf_dir)))
 
@@ -300,16 +302,29 @@ def m1(spark, sf_dir):
     return s.filter("predicate = 'cop.track.battery_remaining'").select("subject", F.col("object").alias("battery"))
 
 
-@query("g7_violations", "SELECT 0::BIGINT AS n_unowned, 0::BIGINT AS n_dangling")
+@query(
+    "g7_violations",
+    _E + """, born AS (SELECT sys, min(event_id) AS event_id FROM usable GROUP BY sys), f AS (SELECT * FROM usable)
+    SELECT count(*) FILTER (k = 7)::BIGINT + count(*) FILTER (k = 10)::BIGINT AS n_unowned, count(*) FILTER (k = 8)::BIGINT AS n_mismatched, count(*) FILTER (k = 10)::BIGINT AS n_unprofiled, count(*) FILTER (k = 9)::BIGINT AS n_dangling FROM f""",
+)
 def g7(spark, sf_dir):
+    """Violations over all triples, with planted ones: an unowned predicate (k = 7), another source (8), an edge to nothing (9), an entity without a contract (10)."""
     t = all_triples(spark, sf_dir)
-    return contracts.violation_counters(t, state.entities(t), contracts.contracts(spark))
+    seen = mavlink.usable(mavlink.decode(lenses.frames(spark, sf_dir))).filter("k between 7 and 10")
+    track = mavlink.subject_of(ORG, PLATFORM, "track")
+    subject = F.when(F.col("k") == 10, mavlink.subject_of(ORG, PLATFORM, "gadget")).otherwise(track)
+    predicate = F.when(F.col("k") == 7, "cop.track.colour").when(F.col("k") == 9, "cop.track.source").otherwise("cop.track.status")
+    target = F.when(F.col("k") == 9, F.concat(F.lit(f"{ORG}.{PLATFORM}.cop.mavlink.asset.none-"), F.col("event_id").cast("string"))).otherwise("planted")
+    source = F.when(F.col("k") == 8, "adsb").otherwise("mavlink")
+    planted = seen.select(*KEEP, subject.alias("subject"), predicate.alias("predicate"), target.alias("object"), F.lit("string").alias("object_type"), source.alias("source"), F.col("received_at").alias("timestamp"), F.lit(SURE).alias("confidence"), F.lit(0).alias("idx"))
+    every = t.unionByName(planted)
+    return contracts.violation_counters(every, state.entities(t), contracts.contracts(spark))
 
 
 @query(
     "g6_profiles",
     _E + """, cot AS (SELECT * FROM e WHERE k > 0) SELECT profile, n FROM (SELECT 'signal' AS profile, count(DISTINCT user_id)::BIGINT AS n FROM cot WHERE event_type IN ('view', 'purchase')
-    UNION ALL SELECT 'control', count(DISTINCT user_id) FROM cot WHERE event_type = 'click' UNION ALL SELECT 'content', count(DISTINCT user_id) FROM cot WHERE event_type = 'signup')""",
+    UNION ALL SELECT 'control', (count(DISTINCT user_id) FILTER (event_type = 'click') + count(DISTINCT user_id) FILTER (event_type IN ('view', 'purchase')))::BIGINT FROM cot UNION ALL SELECT 'content', count(DISTINCT user_id) FROM cot WHERE event_type = 'signup')""",
 )
 def g6(spark, sf_dir):
     return contracts.route_by_profile(operator_triples(spark, sf_dir), contracts.contracts(spark)).select("profile", F.col("n_entities").alias("n"))
@@ -514,3 +529,140 @@ def q1(spark, sf_dir):
 @query("r1_assign_refs", _E + "SELECT event_id, 'mavlink://raw/uav-' || user_id % 4 || '/' || lpad((row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id))::VARCHAR, 8, '0') AS ref FROM e")
 def r1(spark, sf_dir):
     return lenses.frames(spark, sf_dir).select("event_id", "ref")
+
+
+# -- readback, mutations, evidence and runs ------------------------------------------------------------------
+
+_COT = _E + """, c AS (SELECT *, CASE event_type WHEN 'view' THEN 'track' WHEN 'purchase' THEN 'track' WHEN 'click' THEN 'task' WHEN 'signup' THEN 'advisory' END AS kind FROM e WHERE k > 0 AND event_type <> 'error') """
+
+
+@query(
+    "p8_operator_assets",
+    _COT + "SELECT 'org.edge.cop.tak.asset.u-' || user_id AS subject, 'C' || arg_min(k, event_id) AS name, 'cot.uid.U-' || user_id AS native_id, 'org.edge.cop.tak.track.u-' || user_id AS track FROM c WHERE kind = 'track' GROUP BY user_id",
+)
+def p8(spark, sf_dir):
+    """The source asset of every operator and aircraft track, and the track whose edge leads to it."""
+    t = state.current_state(operator_triples(spark, sf_dir))
+    asset = state.wide(t.filter(F.col("predicate").startswith("cop.asset.")), {"name": "cop.asset.name", "native_id": "cop.asset.native_id"})
+    edges = t.filter("predicate = 'cop.track.source'").select(F.col("subject").alias("track"), F.col("object").alias("subject"))
+    return asset.join(edges, "subject").select("subject", "name", "native_id", "track")
+
+
+@query(
+    "q2_get_entities",
+    _E + """, known AS (SELECT sys, count(DISTINCT event_type) AS n FROM usable GROUP BY sys), asked AS (SELECT DISTINCT user_id % 300 + 1 AS sys FROM events)
+    SELECT 'org.edge.cop.mavlink.track.system-' || a.sys AS subject, n IS NOT NULL AS found FROM asked a LEFT JOIN known USING (sys)""",
+)
+def q2(spark, sf_dir):
+    asked = lenses.events(spark, sf_dir).select(F.concat(F.lit(f"{ORG}.{PLATFORM}.cop.mavlink.track.system-"), (F.col("user_id") % 300 + 1).cast("string")).alias("subject")).distinct()
+    return views.get_entities(asked, state.current_state(vehicle_triples(spark, sf_dir))).select("subject", "found")
+
+
+@query(
+    "q4_discover",
+    _COT + """, s AS (SELECT DISTINCT 'org.edge.cop.tak.' || kind || '.u-' || user_id AS subject, 'org.edge.cop.tak.' || kind AS prefix FROM c UNION SELECT 'org.edge.cop.tak.asset.u-' || user_id, 'org.edge.cop.tak.asset' FROM c WHERE kind = 'track')
+    SELECT prefix, subject FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY subject) AS n FROM s) WHERE n <= 40""",
+)
+def q4(spark, sf_dir):
+    return views.discover(state.entities(operator_triples(spark, sf_dir)), views.discovery_targets(spark, [(ORG, PLATFORM)]), 40)
+
+
+@query(
+    "h2_feed_membership",
+    _COT + """, pos AS (SELECT sys, max(event_id) FILTER (event_type = 'view') AS p, arg_max(ts, event_id) AS seen FROM usable GROUP BY sys), last AS (SELECT arg_max(ts, event_id) AS seen FROM c GROUP BY kind, user_id)
+    SELECT 'feed.mavlink' AS feed, count(*)::BIGINT AS n, strftime(max(seen), '%Y-%m-%d %H:%M:%S') AS last_second FROM pos WHERE p IS NOT NULL UNION ALL SELECT 'feed.tak', count(*), strftime(max(date_trunc('second', seen)), '%Y-%m-%d %H:%M:%S') FROM last""",
+)
+def h2(spark, sf_dir):
+    """How many entities speak for each feed, and the last of them."""
+    operators = state.wide(state.current_state(views.of_type(operator_triples(spark, sf_dir), "track")))
+    seen = track_view(spark, sf_dir).unionByName(views.tracks(operators, now(), window()))
+    o = views.feed_observations(seen, operator_view(spark, sf_dir, "task"), operator_view(spark, sf_dir, "advisory"))
+    return o.groupBy("feed").agg(F.count("*").alias("n"), F.date_format(F.max("updated_at"), "yyyy-MM-dd HH:mm:ss").alias("last_second"))
+
+
+@query(
+    "h3_summary",
+    _COT + """SELECT (SELECT count(DISTINCT sys) FROM usable WHERE event_type = 'view')::BIGINT AS n_tracks, count(DISTINCT user_id) FILTER (kind = 'task')::BIGINT AS n_tasks, count(DISTINCT user_id) FILTER (kind = 'advisory')::BIGINT AS n_advisories FROM c""",
+)
+def h3(spark, sf_dir):
+    tracks = track_view(spark, sf_dir)
+    feeds = views.feed_health(spark, views.feed_observations(tracks, operator_view(spark, sf_dir, "task"), operator_view(spark, sf_dir, "advisory")), now(), window())
+    return views.summary({"tracks": tracks, "tasks": operator_view(spark, sf_dir, "task"), "advisories": operator_view(spark, sf_dir, "advisory")}, feeds).select("n_tracks", "n_tasks", "n_advisories")
+
+
+@query("p19_whole_batches", _E + "SELECT event_id // 20 AS lot, count(*)::BIGINT AS n FROM e WHERE event_id // 20 NOT IN (SELECT event_id // 20 FROM e WHERE k = 0) GROUP BY 1")
+def p19(spark, sf_dir):
+    d = cot.decode(lenses.cot_events(spark, sf_dir)).withColumn("lot", F.floor(F.col("event_id") / 20))
+    return state.whole_batches(d, "lot").groupBy("lot").agg(F.count("*").alias("n"))
+
+
+@query(
+    "p21_mutation_log",
+    _E + """, born AS (SELECT sys, min(event_id) AS first FROM usable GROUP BY sys)
+    SELECT event_id AS arrival, CASE WHEN event_id = first THEN 'create' ELSE 'update' END AS kind, CASE WHEN event_id = first THEN 'create' ELSE 'update' END || '-track-system-' || sys || '-' || event_id AS request_id, CASE WHEN event_id = first THEN 'entity.create' ELSE 'entity.update' END AS message_type FROM usable JOIN born USING (sys)""",
+)
+def p21(spark, sf_dir):
+    seen = mavlink.usable(mavlink.decode(lenses.frames(spark, sf_dir))).withColumn("subject", mavlink.subject_of(ORG, PLATFORM, "track"))
+    return state.mutation_log(state.plan_births(seen), "signal", "feed.mavlink").select("arrival", "kind", "request_id", "message_type")
+
+
+@query("m3_latest_property", _E + "SELECT 'org.edge.cop.mavlink.track.system-' || sys AS subject, k::VARCHAR AS battery FROM (SELECT *, row_number() OVER (PARTITION BY sys ORDER BY ts DESC, event_id DESC) AS n FROM usable WHERE event_type = 'purchase') WHERE n = 1")
+def m3(spark, sf_dir):
+    t = mavlink.project(mavlink.decode(lenses.frames(spark, sf_dir)), ORG, PLATFORM, SURE, KEEP).filter("predicate = 'cop.track.battery_remaining'")
+    half = F.col("arrival") % 2 == 0
+    return state.latest_property(state.append_evidence(t.filter(half), t.filter(~half))).select("subject", F.col("object").alias("battery"))
+
+
+@query("m9_running_state", _E + "SELECT 'org.edge.cop.mavlink.track.system-' || sys AS subject, arg_max(k, event_id)::VARCHAR AS battery FROM usable WHERE event_type = 'purchase' GROUP BY sys")
+def m9(spark, sf_dir):
+    """The state of the first half of the frames, merged with the second half, and with it again."""
+    t = mavlink.project(mavlink.decode(lenses.frames(spark, sf_dir)), ORG, PLATFORM, SURE, KEEP).filter("predicate = 'cop.track.battery_remaining'")
+    early = F.col("arrival") % 3 != 0
+    once = t.filter(early).unionByName(t.filter(~early))
+    return state.running_state(once, t.filter(~early)).select("subject", F.col("object").alias("battery"))
+
+
+@query("h6_last_seen", _E + "SELECT 'U-' || arg_max(user_id, event_id) AS uid, 'C' || arg_max(k, event_id) AS callsign, (SELECT max(event_id) FROM e WHERE k = 0) AS last_error FROM e WHERE k > 0")
+def h6(spark, sf_dir):
+    d = cot.decode(lenses.cot_events(spark, sf_dir))
+    good = F.when(F.col("error").isNull(), F.col("event_id"))
+    seen = d.agg(F.max_by(F.struct("uid", "callsign"), good).alias("s"), F.max(F.when(F.col("error").isNotNull(), F.col("event_id"))).alias("last_error"))
+    return seen.select("s.uid", "s.callsign", "last_error")
+
+
+@query("r5_warning_refs", "SELECT o_orderkey, 'cap://raw/desk-1--west/' || 'w-' || o_orderkey || '--' || lower(substr(o_orderpriority, 1, 1)) || '/' || (epoch_us(o_orderdate::TIMESTAMP) * 1000)::VARCHAR AS ref FROM orders")
+def r5(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    name = F.concat(F.lit("W-"), F.col("o_orderkey").cast("string"), F.lit(" #"), F.substring("o_orderpriority", 1, 1))
+    return o.select("o_orderkey", tx.cap_ref(F.lit("Desk 1, West"), name, F.col("o_orderdate").cast("timestamp")).alias("ref"))
+
+
+@query("v12_owners", _E + "SELECT event_id, CASE WHEN k % 5 = 0 THEN 'feed.mavlink' WHEN k % 5 = 1 THEN 'feed.tak' WHEN k % 5 = 2 THEN 'feed.cap' WHEN k % 5 = 3 THEN 'feed.adsb' ELSE 'fusion.structural' END AS owner FROM e")
+def v12(spark, sf_dir):
+    system = F.get(F.array(*[F.lit(x) for x in ("mavlink", "tak", "cap", "adsb", "fusion")]), (F.col("k") % 5).cast("int"))
+    return lenses.events(spark, sf_dir).select("event_id", tx.owner_of(tx.source_of(F.concat(F.lit("org.edge.cop."), system, F.lit(".track.x")))).alias("owner"))
+
+
+@query(
+    "x2_step_report",
+    _E + """, born AS (SELECT sys, min(event_id) AS first FROM usable GROUP BY sys)
+    SELECT 'mavlink' AS feed, event_id AS position, CASE WHEN event_type = 'error' THEN 'bad checksum' END AS error, CASE WHEN event_type = 'error' THEN 0 WHEN event_id = first THEN 2 ELSE 1 END::BIGINT AS mutations FROM e LEFT JOIN born USING (sys)
+    UNION ALL SELECT 'cot', event_id, CASE WHEN k = 0 THEN 'no uid' END, CASE WHEN k = 0 OR event_type = 'error' THEN 0 WHEN event_type IN ('view', 'purchase') AND event_id = min(event_id) FILTER (k > 0 AND event_type IN ('view', 'purchase')) OVER (PARTITION BY user_id) THEN 2 ELSE 1 END::BIGINT FROM e""",
+)
+def x2(spark, sf_dir):
+    """Vehicles, then operators, each in the order given; a create also writes the source asset."""
+    frames, events = mavlink.decode(lenses.frames(spark, sf_dir)), cot.decode(lenses.cot_events(spark, sf_dir))
+    seen = mavlink.usable(frames).withColumn("subject", mavlink.subject_of(ORG, PLATFORM, "track"))
+    writes = F.when(F.col("kind") == "create", 2).otherwise(1).cast("long").alias("mutations")
+    vehicles = state.plan_births(seen).select("event_id", writes)
+    also = F.when((F.col("kind") == "create") & (F.col("route") == "track"), 2).otherwise(1).cast("long").alias("mutations")
+    operators = state.plan_births(cot.sightings(events, ORG, PLATFORM)).select("event_id", also)
+    report = lambda feed, rank, inputs, planned: inputs.select("event_id", "error").join(planned, "event_id", "left").select(F.lit(rank).alias("rank"), F.lit(feed).alias("feed"), F.col("event_id").alias("position"), "error", F.coalesce("mutations", F.lit(0)).cast("long").alias("mutations"))
+    return report("mavlink", 0, frames, vehicles).unionByName(report("cot", 1, events, operators)).drop("rank")
+
+
+@query("x5_validate_inputs", _E + "SELECT event_id, CASE WHEN event_type = 'error' THEN 'no name' WHEN k % 10 = 0 THEN 'no ref' WHEN k % 10 = 1 THEN 'no payload' END AS error FROM e")
+def x5(spark, sf_dir):
+    e = lenses.events(spark, sf_dir)
+    given = e.select("event_id", F.when(F.col("event_type") == "error", " ").otherwise(F.col("event_type")).alias("name"), F.when(F.col("k") % 10 != 0, F.lit("r")).alias("ref"), F.when(F.col("k") % 10 != 1, F.lit("x")).otherwise("").cast("binary").alias("payload"))
+    return replay.validate_inputs(given).select("event_id", "error")

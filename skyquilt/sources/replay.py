@@ -76,3 +76,9 @@ def write_triples(triples: DataFrame, path: str) -> None:
 def split_rejects(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Decoded rows and rejects of one decode job."""
     return decoded.filter("error is null"), decoded.filter("error is not null")
+
+
+def validate_inputs(inputs: DataFrame) -> DataFrame:
+    """Adds error: inputs need a name, a reference and a payload."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    return inputs.withColumn("error", F.when(blank("name"), "no name").when(blank("ref"), "no ref").when(F.coalesce(F.octet_length("payload"), F.lit(0)) == 0, "no payload"))

@@ -128,7 +128,7 @@ def test_births_state_and_governance(spark):
     now = {(r.subject, r.predicate): r.object for r in state.current_state(triples).collect()}
     assert now["o.p.cop.mavlink.track.a", "cop.track.battery_remaining"] == "2"
     rules = contracts.contracts(spark)
-    assert tuple(contracts.violation_counters(triples, triples, rules).first()) == (1, 1)
+    assert tuple(contracts.violation_counters(triples, triples, rules).first()) == (1, 0, 0, 1)
     assert contracts.find_overlaps(rules).count() == 0
     assert contracts.find_overlaps(rules.unionByName(rules.filter("contract = 'tak-task'").withColumn("contract", F.lit("zz")))).count() == 10
 
