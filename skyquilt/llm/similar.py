@@ -36,7 +36,6 @@ SIMILAR = 0.8
 BLOCKS = 10
 BLOCK_BITS = 28
 LIKELY = 18
-ALIKE = 6
 CHUNK = 8192
 KNOWN_WORDS = 200_000
 ROWS_AT_ONCE = 4096
@@ -96,18 +95,18 @@ def ball(blocks: np.ndarray) -> np.ndarray:
 def forest(fps: np.ndarray, limit: int = LIKELY) -> tuple[list[int], list[int]]:
     """Links (positions) of the least spanning forest of distinct fingerprints, over differences of at most ``limit`` bits.
 
-    Differences up to ALIKE bits count as equal, and among equal ones the class that joined first is taken, the least
-    fingerprint before all, so that the trees of the many buckets of one group share their links.
+    Equal differences are told apart by a hash of the pair, so that the trees of the many buckets of one group agree.
     """
     left = np.arange(1, len(fps))
-    near, owner = np.full(len(left), 255, np.uint8), np.zeros(len(left), np.int64)
+    near, owner = np.full(len(left), 2**64 - 1, np.uint64), np.zeros(len(left), np.int64)
     a, b, here = [], [], 0
     while len(left):
-        d = np.maximum(np.bitwise_count(fps[left] ^ fps[here]), ALIKE)
+        differ = fps[left] ^ fps[here]
+        d = (np.bitwise_count(differ).astype(np.uint64) << np.uint64(56)) | (mixed(differ) >> np.uint64(8))
         closer = d < near
         near[closer], owner[closer] = d[closer], here
         at = int(near.argmin())
-        if near[at] <= limit:
+        if int(near[at]) >> 56 <= limit:
             a.append(int(left[at]))
             b.append(int(owner[at]))
         here = int(left[at])
