@@ -141,10 +141,11 @@ def quality(documents: DataFrame) -> DataFrame:
 def kept_documents(documents: DataFrame) -> DataFrame:
     """The documents that pass, without their failing lines; n_chars follows the text."""
     carried = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "text")
-    judged = judge(carried, line_fails_stage).filter("__quality.kept")
-    values = {"text": F.col("__quality.cleaned")}
+    # The verdict goes through a generator: a filter on it would otherwise move below and repeat all its work.
+    judged = judge(carried, line_fails_stage).select("row", F.inline(F.array(F.struct("__quality.kept", "__quality.cleaned")))).filter("kept")
+    values = {"text": F.col("cleaned")}
     if "n_chars" in documents.columns:
-        values["n_chars"] = F.length("__quality.cleaned").cast(documents.schema["n_chars"].dataType)
+        values["n_chars"] = F.length("cleaned").cast(documents.schema["n_chars"].dataType)
     return judged.select(*[values.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns])
 
 
