@@ -666,3 +666,34 @@ def x5(spark, sf_dir):
     e = lenses.events(spark, sf_dir)
     given = e.select("event_id", F.when(F.col("event_type") == "error", " ").otherwise(F.col("event_type")).alias("name"), F.when(F.col("k") % 10 != 0, F.lit("r")).alias("ref"), F.when(F.col("k") % 10 != 1, F.lit("x")).otherwise("").cast("binary").alias("payload"))
     return replay.validate_inputs(given).select("event_id", "error")
+
+
+@query("r6_lane_headlines", _E + """SELECT 'cot://raw/tak-main/' || lpad((row_number() OVER (ORDER BY event_id))::VARCHAR, 8, '0') AS ref, CASE WHEN k > 0 THEN 'U-' || user_id END AS uid,
+    CASE WHEN k > 0 THEN CASE event_type WHEN 'view' THEN 'a-f-G-U-C' WHEN 'click' THEN 'u-d-p' WHEN 'signup' THEN 'b-t-f' WHEN 'purchase' THEN 'a-f-A-M' ELSE 'b-a-o' END END AS type,
+    CASE WHEN k > 0 THEN 'C' || k END AS callsign, CASE WHEN k > 0 THEN strftime(date_trunc('second', ts) + CASE WHEN k % 5 = 0 THEN INTERVAL (-60) SECOND ELSE INTERVAL 300 SECOND END, '%Y-%m-%d %H:%M:%S') END AS stale FROM e""")
+def r6(spark, sf_dir):
+    h = lane.headlines(cot.decode(lenses.cot_events(spark, sf_dir)), "cot")
+    return h.withColumn("stale", F.date_format("stale", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("e5_association", _E + """, good AS (SELECT *, floor(epoch(ts) / 600)::BIGINT AS slot FROM e), a AS (SELECT user_id, max(slot) * 600 + 600 AS at FROM good WHERE k % 3 <> 0 AND slot NOT IN (SELECT slot FROM good WHERE k = 99) GROUP BY user_id),
+    o AS (SELECT user_id, floor(epoch(max(ts)))::BIGINT AS at FROM e WHERE k > 0 AND event_type IN ('view', 'purchase') GROUP BY user_id)
+    SELECT 'org.edge.cop.tak.track.u-' || user_id AS subject, 'org.edge.cop.adsb.track.' || lower(lpad(to_hex(user_id), 6, '0')) AS object FROM o JOIN a USING (user_id) WHERE abs(o.at - a.at) <= 6 * 3600""")
+def e5(spark, sf_dir):
+    """Operators and aircraft that bear one call sign, last seen within six hours of each other."""
+    seen = cot.sightings(cot.decode(lenses.cot_events(spark, sf_dir)), ORG, PLATFORM).filter("route = 'track'")
+    operators = seen.groupBy("subject", F.regexp_replace("uid", "^U-", "call ").alias("stable_id")).agg(F.max("time").alias("at"))
+    aircraft = adsb.decode(lenses.snapshots(spark, sf_dir), "slot").filter("error is null and callsign is not null")
+    subject = tx.entity_id(F.lit(ORG), F.lit(PLATFORM), "adsb", "track", tx.entity_token(F.col("icao24")))
+    flying = aircraft.groupBy(subject.alias("subject"), F.col("callsign").alias("stable_id")).agg(F.max("received_at").alias("at"))
+    return views.associate(operators, flying, "6 hours").select("subject", "object")
+
+
+@query("q7_snapshot_fallback", "SELECT 'live' AS shown, 'track' AS view, count(*)::BIGINT AS n FROM (SELECT DISTINCT user_id % 150 FROM events WHERE event_type = 'view') UNION ALL SELECT 'fixture', 'track', count(*) FROM customer")
+def q7(spark, sf_dir):
+    """The track view beside a stored one (customers as ids), and the same with every view empty."""
+    tracks = track_view(spark, sf_dir).select("subject")
+    stored = {"track": spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_name").alias("subject"))}
+    live = views.snapshot_fallback({"track": tracks}, stored)["track"].select(F.lit("live").alias("shown"))
+    blank = views.snapshot_fallback({"track": tracks.filter("subject = ''")}, stored)["track"].select(F.lit("fixture").alias("shown"))
+    return live.unionByName(blank).groupBy("shown", F.lit("track").alias("view")).agg(F.count("*").alias("n"))
