@@ -214,3 +214,44 @@ def test_hazards_meet_points(spark):
     assert views.hazard_intersections(points.limit(0), hazards).count() == 0
     steps = spark.createDataFrame([("a", None), ("a", "x"), ("b", None)], "feed string, error string")
     assert sorted(tuple(r) for r in state.run_summary(steps).collect()) == [("a", 2, 1, 1, "failed"), ("b", 1, 1, 0, "succeeded")]
+
+
+def test_lane_by_ranges_equals_one_window(spark):
+    """A hot source, a null source, null and equal order values, an empty table: numbers run from 1 and eviction is exact."""
+    rows = [("hot" if i % 3 else None if i % 2 else "cold", None if i < 2 else i // 4, i, bytearray(1 + i % 5)) for i in range(400)]
+    schema = "source string, at int, tie int, payload binary"
+    refs = lane.assign_refs(spark.createDataFrame(rows, schema), "cot", F.col("payload"), ["at", "tie"], ranges=7)
+    want = {}
+    for source, at, tie, _ in sorted(rows, key=lambda r: (-1 if r[1] is None else r[1], r[2])):
+        want[tie] = sum(1 for s, n in want.values() if s == source) + 1
+        want[tie] = (source, want[tie])
+    assert {r.tie: (r.source, r.number) for r in refs.collect()} == want
+    for most, room in ((50, 10**6), (10**6, 90), (1, 1), (10**6, 10**6)):
+        kept = {r.tie for r in lane.retain(refs, F.octet_length("payload"), ["number"], most, room, ranges=7).collect()}
+        expected = set()
+        for source in ("hot", "cold", None):
+            n = size = 0
+            for tie in sorted((t for t, v in want.items() if v[0] == source), key=lambda t: -want[t][1]):
+                n, size = n + 1, size + 1 + tie % 5
+                if n > most or size > room:
+                    break
+                expected.add(tie)
+        assert kept == expected
+    none = lane.assign_refs(spark.createDataFrame([], schema), "cot", F.col("payload"), ["at"])
+    assert none.count() == 0 and lane.retain(none, F.octet_length("payload"), ["number"]).count() == 0
+
+
+def test_headlines_association_fallback(spark):
+    decoded = spark.createDataFrame([("r1", None, 7, 1, 33), ("r2", "bad checksum", 8, 1, 0)], "ref string, error string, system_id int, component_id int, message_id int")
+    assert [tuple(r) for r in lane.headlines(decoded, "mavlink").orderBy("ref").collect()] == [("r1", 7, 1, 33), ("r2", None, None, None)]
+    side = "subject string, stable_id string, at string"
+    left = spark.createDataFrame([("a", "ab-12", "2024-01-01 00:00:00"), ("b", None, "2024-01-01 00:00:00"), ("c", "--", "2024-01-01 00:00:00"), ("x", "AB12", "2024-01-01 00:00:00")], side)
+    right = spark.createDataFrame([("x", "AB 12", "2024-01-01 00:30:00"), ("y", "ab12", "2024-01-01 02:00:00"), ("z", "", "2024-01-01 00:00:00")], side)
+    got = views.associate(left.withColumn("at", F.col("at").cast("timestamp")), right.withColumn("at", F.col("at").cast("timestamp")))
+    assert [(r.subject, r.object, r.owner) for r in got.collect()] == [("a", "x", "fusion.structural")]
+    some, none = left.select("subject"), left.select("subject").limit(0)
+    stored = {"track": right.select("subject"), "task": none}
+    shown = views.snapshot_fallback({"track": none, "task": none}, stored)
+    assert shown["track"].count() == 3 and shown["task"].count() == 0
+    shown = views.snapshot_fallback({"track": none, "task": some}, stored)
+    assert shown["track"].count() == 0 and shown["task"].count() == 4
