@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, licenses, main_text, mixing, packing, personal, quality, simhash, token_counts, urls
+from . import fingerprints, licenses, main_text, mixing, packing, personal, quality, simhash, token_counts, urls, whitening
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.query,
     "op9_license_scan": licenses.query,
     "op10_main_text": main_text.query,
+    "op11_whitening": whitening.query,
 }
 
 ORACLES = {
