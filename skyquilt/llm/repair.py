@@ -317,12 +317,8 @@ def long_conversations(rows: DataFrame, conv: str, kind: str, ranges: int) -> Da
     return pieces.groupBy("__key", "part").cogroup(plans.groupBy("__key", "part")).applyInArrow(finished, f"__key string, __conv {kind}, part int, parts int, {counts}, audit string, repaired string")
 
 
-def repair(rows: DataFrame, conv: str = "conv_id", long_bytes: int = LONG_BYTES) -> DataFrame:
-    """Conversations (conv, turn, role, text and, if there, ``copies``: how often a row stands, 0 for a row that is gone) with counts, audit and repaired text.
-
-    One row a conversation; one for each of its ``parts``, in order of ``part``, where it is longer than ``long_bytes``:
-    its audit and its text are those of the parts in order, texts that are not empty joined by a newline.
-    """
+def repaired_parts(rows: DataFrame, conv: str = "conv_id", long_bytes: int = LONG_BYTES) -> tuple[DataFrame, DataFrame | None]:
+    """Repaired conversations in one part, and the parts of longer ones, if there are any; see ``repair``."""
     kind = rows.schema[conv].dataType.simpleString()
     space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c)
     key = F.when(F.col(conv).isNull(), "").otherwise(F.concat(F.lit("="), F.col(conv).cast("string"))).alias("__key")
@@ -331,20 +327,31 @@ def repair(rows: DataFrame, conv: str = "conv_id", long_bytes: int = LONG_BYTES)
     size = F.sum(F.col("copies") * (64 + F.octet_length("role") + F.octet_length("text")))
     long = cut(plain.groupBy("__key").agg(size.alias("size")).filter(F.col("size") > long_bytes), narrow=True)
     total = long.agg(F.sum("size")).first()[0]
+    named = lambda df: df.select(F.col("__conv").alias(conv), "part", "parts", *COUNTS, "audit", "repaired", "__key")
     if total is None:
-        out = whole_conversations(plain, conv, kind)
-    else:
-        apart = long.select("__key")
-        near = whole_conversations(plain.join(apart, "__key", "left_anti"), conv, kind)
-        out = near.unionByName(long_conversations(plain.join(apart, "__key", "left_semi"), conv, kind, int(2 * total // long_bytes) + 1))
-    return out.select(F.col("__conv").alias(conv), "part", "parts", *COUNTS, "audit", "repaired", "__key")
+        return named(whole_conversations(plain, conv, kind)), None
+    apart = long.select("__key")
+    near = whole_conversations(plain.join(apart, "__key", "left_anti"), conv, kind)
+    far = long_conversations(plain.join(apart, "__key", "left_semi"), conv, kind, int(2 * total // long_bytes) + 1)
+    return named(near), named(far)
+
+
+def repair(rows: DataFrame, conv: str = "conv_id", long_bytes: int = LONG_BYTES) -> DataFrame:
+    """Conversations (conv, turn, role, text and, if there, ``copies``: how often a row stands, 0 for a row that is gone) with counts, audit and repaired text.
+
+    One row a conversation; one for each of its ``parts``, in order of ``part``, where it is longer than ``long_bytes``:
+    its audit and its text are those of the parts in order, texts that are not empty joined by a newline.
+    """
+    near, far = repaired_parts(rows, conv, long_bytes)
+    return near if far is None else near.unionByName(far)
 
 
-def digests(repaired: DataFrame, conv: str = "conv_id") -> DataFrame:
+def digests(near: DataFrame, far: DataFrame | None = None, conv: str = "conv_id") -> DataFrame:
     """One row a conversation with the hash of its repaired text; the parts of a long one stream through one task in order."""
-    single = repaired.filter("parts = 1").select(conv, *COUNTS, "audit", F.sha2("repaired", 256).alias("repaired_sha256"))
-    parted = repaired.filter("parts > 1").repartition("__key").sortWithinPartitions("__key", "part")
-    kind = repaired.schema[conv].dataType.simpleString()
+    single = near.select(conv, *COUNTS, "audit", F.sha2("repaired", 256).alias("repaired_sha256"))
+    if far is None:
+        return single
+    kind = near.schema[conv].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((batch.schema, r) for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist())
@@ -360,6 +367,7 @@ def digests(repaired: DataFrame, conv: str = "conv_id") -> DataFrame:
             yield pa.RecordBatch.from_pylist([out], pa.schema(fields))
 
     counts = ", ".join(f"{c} long" for c in COUNTS)
+    parted = far.repartition("__key").sortWithinPartitions("__key", "part")
     return single.unionByName(parted.mapInArrow(hashed, f"{conv} {kind}, {counts}, audit string, repaired_sha256 string"))
 
 
@@ -374,4 +382,4 @@ def damaged(conversations: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir):
     """op13: all conversations, damaged and repaired."""
-    return digests(repair(damaged(table(spark, sf_dir, "conversations"))))
+    return digests(*repaired_parts(damaged(table(spark, sf_dir, "conversations"))))
