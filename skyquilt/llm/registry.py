@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, licenses, main_text, mixing, packing, personal, quality, repair, simhash, token_counts, urls, whitening
+from . import fingerprints, licenses, main_text, mixing, packing, personal, quality, repair, repeats, simhash, token_counts, urls, whitening
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_license_scan": licenses.query,
     "op10_main_text": main_text.query,
     "op11_whitening": whitening.query,
+    "op12_substring_dedup": repeats.query,
     "op13_repair": repair.query,
 }
 
