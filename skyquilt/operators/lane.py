@@ -25,10 +25,11 @@ def _with_ranges(rows: DataFrame, order: str, ranges: int) -> DataFrame:
     return placed.withColumn("__source", F.coalesce("source", F.lit(""))).drop("__bounds")
 
 
-def assign_refs(raw: DataFrame, scheme: str, payload: Column, order: list[str], max_bytes: int = MAX_BYTES, middle: Column | None = None, ranges: int = RANGES) -> DataFrame:
+def assign_refs(raw: DataFrame, scheme: str, payload: Column, order: list[str], max_bytes: int = MAX_BYTES, middle: Column | None = None, ranges: int = RANGES, start: DataFrame | None = None) -> DataFrame:
     """Accepted rows with their number by source (from 1) and ``ref``. Empty and oversize payloads take no number.
 
     A row's number is its place in its source's range plus all that the ranges before hold: no source is sorted in one task.
+    ``start`` (source, number), one row a source, is where earlier batches ended.
     """
     fits = payload.isNotNull() & (F.octet_length(payload) > 0) & (F.octet_length(payload) <= max_bytes)
     source, key = sanitize_source(F.col("source")), ["__source", "__range"]
@@ -36,7 +37,11 @@ def assign_refs(raw: DataFrame, scheme: str, payload: Column, order: list[str],
     before = F.sum("__n").over(W.partitionBy("__source").orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
     totals = placed.groupBy(*key).agg(F.count("*").alias("__n")).select(*key, F.coalesce(before, F.lit(0)).alias("__before"))
     within = F.row_number().over(W.partitionBy(*key).orderBy(*order))
-    numbered = placed.withColumn("number", within).join(totals, key).withColumn("number", F.col("number") + F.col("__before")).drop(*key, "__before")
+    numbered = placed.withColumn("number", within).join(totals, key).withColumn("number", F.col("number") + F.col("__before")).drop("__range", "__before")
+    if start is not None:
+        ended = start.select(F.col("source").alias("__source"), F.col("number").alias("__ended"))
+        numbered = numbered.join(ended, "__source", "left").withColumn("number", F.col("number") + F.coalesce("__ended", F.lit(0))).drop("__ended")
+    numbered = numbered.drop("__source")
     parts = [F.lit(f"{scheme}://raw"), source, *([middle] if middle is not None else []), F.lpad(F.col("number").cast("string"), 8, "0")]
     return numbered.withColumn("ref", F.concat_ws("/", *parts))
 

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampType
+
+#: The columns of a state; place is where in the order of writing the object stands.
+STATE = StructType([
+    *[StructField(c, StringType()) for c in ("subject", "predicate", "object", "object_type")],
+    StructField("timestamp", TimestampType()), StructField("confidence", DoubleType()), StructField("source", StringType()),
+    StructField("place", StructType([StructField(c, LongType()) for c in ("batch", "arrival", "idx")])),
+])
 STATE_PREDICATES = {
     "position": "cop.track.position",
     "velocity": "cop.track.velocity",
@@ -84,11 +91,11 @@ def wide(state: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
 
 
 def running_state(old: DataFrame, new: DataFrame) -> DataFrame:
-    """M9: a state and the triples of a new batch, merged; re-running a batch changes nothing."""
-    keep = ["subject", "predicate", "object", "object_type", "timestamp", "confidence", "source", "batch", "arrival", "idx"]
-    both = old.select(*keep).unionByName(new.select(*keep))
-    value = F.struct(*keep[2:])
-    return both.groupBy("subject", "predicate").agg(F.max_by(value, F.struct("batch", "arrival", "idx")).alias("v")).select("subject", "predicate", "v.*")
+    """M9: a state and the triples (or the state) of a new batch, merged; re-running a batch, or an old one, changes nothing."""
+    new = new if "place" in new.columns else current_state(new)
+    columns = STATE.names
+    both = old.select(*columns).unionByName(new.select(*columns))
+    return both.groupBy("subject", "predicate").agg(F.max_by(F.struct(*columns[2:]), "place").alias("v")).select("subject", "predicate", "v.*")
 
 
 def stop_at_first_error(steps: DataFrame, order: str) -> DataFrame:

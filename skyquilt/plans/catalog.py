@@ -615,10 +615,10 @@ def m3(spark, sf_dir):
 
 @query("m9_running_state", _E + "SELECT 'org.edge.cop.mavlink.track.system-' || sys AS subject, arg_max(k, event_id)::VARCHAR AS battery FROM usable WHERE event_type = 'purchase' GROUP BY sys")
 def m9(spark, sf_dir):
-    """The state of the first half of the frames, merged with the second half, and with it again."""
+    """The state of two thirds of the frames, merged with the others, and with them again."""
     t = mavlink.project(mavlink.decode(lenses.frames(spark, sf_dir)), ORG, PLATFORM, SURE, KEEP).filter("predicate = 'cop.track.battery_remaining'")
     early = F.col("arrival") % 3 != 0
-    once = t.filter(early).unionByName(t.filter(~early))
+    once = state.running_state(state.current_state(t.filter(early)), t.filter(~early))
     return state.running_state(once, t.filter(~early)).select("subject", F.col("object").alias("battery"))
 
 

@@ -1,4 +1,4 @@
-"""The same operators over streams."""
+"""State inside one streaming run, and frames in captures."""
 
 from __future__ import annotations
 
@@ -7,16 +7,11 @@ from pyspark.sql import functions as F
 
 
 def streaming_state(triples: DataFrame) -> DataFrame:
-    """M9: current state as a streaming aggregation (complete or update mode); equal to the batch result."""
+    """M9 inside one run: current objects as a streaming aggregation (complete or update mode); across runs see ``ingest.StreamState``."""
     value = F.struct("object", "timestamp")
     return triples.groupBy("subject", "predicate").agg(F.max_by(value, F.struct("batch", "arrival", "idx")).alias("v")).select("subject", "predicate", "v.*")
 
 
-def streaming_births(sightings: DataFrame, delay: str = "1 day") -> DataFrame:
-    """The first sighting of each entity, with replays of up to ``delay`` dropped."""
-    return sightings.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["subject"])
-
-
 def frame_scan(blobs: DataFrame) -> DataFrame:
     """(path, offset, frame, n_bad) of noisy captures (path, content): valid frames, resuming one byte after a bad start."""
     import pandas as pd
