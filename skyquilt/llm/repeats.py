@@ -52,27 +52,57 @@ def unsqueezed(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(kind.itemsize, size).T).view(kind).reshape(-1)
 
 
+def scattered(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers, well mixed, one to one; changes its argument."""
+    for shift, factor in ((30, MIX), (27, SPIN)):
+        x ^= x >> np.uint64(shift)
+        x *= factor
+    x ^= x >> np.uint64(31)
+    return x
+
+
+#: A number for each of two lanes, place in a word and byte; beyond SPAN places they are used again, times an odd number.
+SPAN = 64
+RANDOM = scattered(np.arange(1, 2 * SPAN * 256 + 1, dtype=np.uint64) * MIX).reshape(2, -1)
+
+
 class Chunk:
-    """The documents of a chunk: words one after another, and where each document starts."""
+    """The documents of a chunk: hashes of the words one after another, and where each document starts."""
 
     def __init__(self, texts: bytes, size: int):
         whole = pa.decompress(texts, size, codec="zstd", asbytes=True) if size else b""
-        self.documents = [line.split(b" ") if line else [] for line in whole.split(b"\n")]
-        self.lengths = np.array([len(d) for d in self.documents], dtype=np.int64)
+        self.lines = whole.split(b"\n")
+        raw = np.frombuffer(whole + b"\n", np.uint8)
+        ends = np.flatnonzero((raw == 32) | (raw == 10)) + 1  # a word and the mark after it; the mark alone is an empty line
+        begins = np.concatenate([[0], ends[:-1]])
+        last = raw[ends - 1] == 10
+        real = ends - begins > 1
+        self.owner = (np.cumsum(last) - last)[real]
+        self.lengths = np.bincount(self.owner, minlength=len(self.lines))
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
-        memo: dict[bytes, int] = {}
-        ids = np.fromiter((memo.setdefault(w, len(memo)) for d in self.documents for w in d), np.int64, int(self.starts[-1]))
-        digest = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in memo), np.uint64).reshape(-1, 2)
-        self.words = digest[ids] if len(ids) else np.zeros((0, 2), np.uint64)
-        self.owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.place = np.arange(len(ids)) - self.starts[:-1][self.owner] if len(ids) else np.zeros(0, np.int64)
+        self.place = np.arange(len(self.owner)) - self.starts[:-1][self.owner]
+        # a word's hash: a random number for each byte at its place in the word, added up; two lanes of 64 bits
+        if not real.any():
+            self.words = np.zeros((2, 0), np.uint64)
+            return
+        place = np.arange(len(raw), dtype=np.int32) - np.repeat(begins.astype(np.int32), ends - begins)
+        far = np.flatnonzero(place >= SPAN)
+        cell = (place % SPAN << 8) + raw
+        lanes = []
+        for lane in range(2):
+            value = RANDOM[lane][cell]
+            value[far] *= (place[far] // SPAN * 2 + 1).astype(np.uint64)
+            value[ends - 1] = 0
+            lanes.append(scattered(np.add.reduceat(value, begins[real])))
+        self.words = np.stack(lanes)
 
     def rolling(self, size: int, lane: int, at: np.ndarray | None = None) -> np.ndarray:
         """Hashes of the ``size`` words from each place in ``at``, else from every place that many words from the end of all."""
-        n = max(0, len(self.words) - size + 1)
+        words = self.words[lane]
+        n = max(0, len(words) - size + 1)
         out = np.full(n if at is None else len(at), size + lane, np.uint64)
         for k in range(size):
-            out ^= self.words[k : k + n, lane] if at is None else self.words[at + k, lane]
+            out ^= words[k : k + n] if at is None else words[at + k]
             out *= MIX
             out ^= out >> np.uint64(29)
         out *= SPIN
@@ -80,7 +110,7 @@ class Chunk:
 
     def inside(self, size: int) -> np.ndarray:
         """Which places start ``size`` words of one document."""
-        n = max(0, len(self.words) - size + 1)
+        n = max(0, len(self.owner) - size + 1)
         return self.place[:n] + size <= self.lengths[self.owner[:n]]
 
     def names(self, bits: int, at: np.ndarray | None = None) -> np.ndarray:
@@ -101,8 +131,10 @@ class Chunk:
     def windows(self, bits: int, anchors: np.ndarray) -> np.ndarray:
         """Starts of the windows whose first block is an anchor."""
         starts = np.flatnonzero(self.inside(WINDOW))
-        first = starts + (-self.place[starts]) % BLOCK
-        return starts[np.isin(self.names(bits, first), anchors)]
+        blocks = np.flatnonzero(self.inside(BLOCK) & (self.place[: max(0, len(self.place) - BLOCK + 1)] % BLOCK == 0))
+        hit = np.zeros(len(self.place), bool)
+        hit[blocks] = np.isin(self.names(bits, blocks), anchors)
+        return starts[hit[starts + (-self.place[starts]) % BLOCK]]
 
 
 class Windows:
@@ -126,7 +158,7 @@ class Windows:
     def repeated(self, later: np.ndarray) -> np.ndarray:
         """Which words of the chunk lie in a window that stands earlier; ``later``: keys whose first place is elsewhere."""
         gone = self.starts[~self.new | later[np.cumsum(self.new) - 1]] if len(self.starts) else self.starts
-        edge = np.zeros(len(self.chunk.words) + 1, np.int64)
+        edge = np.zeros(len(self.chunk.owner) + 1, np.int64)
         np.add.at(edge, gone, 1)
         np.add.at(edge, gone + WINDOW, -1)
         return np.cumsum(edge[:-1]) > 0
@@ -299,13 +331,14 @@ def without_repeats(documents: DataFrame, id: str = "doc_id", text: str = "text"
                     if r in marks:
                         lost[p] = np.unpackbits(unsqueezed(marks[r]), count=p.stop - p.start).astype(bool)
                 gone, out = w.repeated(lost), []
-                for words, a, b in zip(w.chunk.documents, w.chunk.starts, w.chunk.starts[1:]):
-                    if not gone[a:b].any():
-                        out.append((len(words), 0, [], b" ".join(words)))
+                lost_by = np.bincount(w.chunk.owner[gone], minlength=len(w.chunk.lines)).tolist()
+                for line, n_lost, a, b in zip(w.chunk.lines, lost_by, w.chunk.starts.tolist(), w.chunk.starts[1:].tolist()):
+                    if not n_lost:
+                        out.append((b - a, 0, [], line))
                         continue
                     edges = np.flatnonzero(np.diff(gone[a:b].astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-                    left = b" ".join(word for word, no in zip(words, gone[a:b].tolist()) if not no)
-                    out.append((len(words), int(gone[a:b].sum()), [{"start": s, "end": e} for s, e in edges.tolist()], left))
+                    left = b" ".join(word for word, no in zip(line.split(b" "), gone[a:b].tolist()) if not no)
+                    out.append((b - a, n_lost, [{"start": s, "end": e} for s, e in edges.tolist()], left))
                 ids = batch.column("ids")[i].values
                 yield pa.RecordBatch.from_arrays([ids, *batch_of(out, fields).columns], ["__doc", *(n for n, _ in fields)])
 
