@@ -107,13 +107,14 @@ def hazard_kind(event: Column) -> Column:
     return F.concat(F.lit("cap-"), F.replace(F.lower(F.trim(event)), F.lit(" "), F.lit("-")))
 
 
-def hazards(documents: DataFrame, now: Column, window: Column, org: str, platform: str) -> DataFrame:
+def hazards(documents: DataFrame, now: Column, window: Column, org: str, platform: str, confidence: float = 0.9) -> DataFrame:
     """V5: hazards of three points or more from ``evidence`` rows, the latest by identifier; of equal times the later arrival."""
-    used = ("alert_status", "msg_type", "severity", "event", "advisory_text", "area_desc", "expires", "polygons", "circles")
+    used = ("certainty", "source_ref", "alert_status", "msg_type", "severity", "event", "advisory_text", "area_desc", "expires", "polygons", "circles")
+    documents = documents if "source_ref" in documents.columns else documents.withColumn("source_ref", F.lit(""))
     last = documents.groupBy("identifier").agg(F.max("observed_at").alias("updated_at"), F.max_by(F.struct(*used), F.struct("observed_at", *[c for c in ("batch", "arrival") if c in documents.columns])).alias("d")).select("identifier", "updated_at", "d.*")
     usable = F.filter("polygons", lambda p: p.isNotNull())
     shaped = settled(last.withColumn("geometry", hazard_geometry(F.coalesce(usable, F.array()), F.coalesce("circles", F.array()))))
     status = hazard_status(F.col("alert_status"), F.col("msg_type"), F.col("expires"), now, F.col("updated_at"), window)
     subject = entity_id(F.lit(org), F.lit(platform), "cap", "hazard_area", entity_token(F.col("identifier")))
     label = hazard_label(F.col("event"), F.col("advisory_text"), F.col("identifier"), F.col("area_desc"))
-    return shaped.filter(F.size("geometry") >= 3).select(subject.alias("subject"), label.alias("label"), hazard_kind(F.col("event")).alias("kind"), F.lower(F.coalesce("severity", F.lit("unknown"))).alias("severity"), status.alias("status"), "geometry", "updated_at")
+    return shaped.filter(F.size("geometry") >= 3).select(subject.alias("subject"), label.alias("label"), hazard_kind(F.col("event")).alias("kind"), F.lower(F.coalesce("severity", F.lit("unknown"))).alias("severity"), status.alias("status"), "geometry", "updated_at", confidence_of(F.col("certainty"), confidence).alias("confidence"), "source_ref")

@@ -11,6 +11,14 @@ from skyquilt.functions.text import freshness_status, source_label, source_of, t
 # Discovery targets in order, (source, entity type, family), and feeds (id, name, kind, planned minutes).
 TARGETS = (("mavlink", "asset", "mavlink"), ("mavlink", "track", "mavlink"), ("tak", "asset", "cot"), ("tak", "track", "cot"), ("tak", "task", "cot"), ("tak", "advisory", "cot"), ("cap", "hazard_area", "cap"), ("adsb", "track", "adsb"))
 FEEDS = (("feed.mavlink", "MAVLink", "telemetry", None), ("feed.tak", "TAK/CoT", "operators", None), ("feed.cap", "CAP", "advisory", 33), ("feed.adsb", "ADS-B", "air-picture", 45))
+# What a feed says without any observation, and with a fresh one.
+FEED_TEXTS = {
+    "feed.mavlink": ("Waiting for graph-backed MAVLink state", "Graph-backed source asset and track state"),
+    "feed.tak": ("Waiting for graph-backed TAK/CoT state", "Graph-backed CoT tracks, tasks, and advisories"),
+    "feed.cap": ("Schema/sample gate pending", "Graph-backed civilian alert evidence"),
+    "feed.adsb": ("ADS-B projection gate pending", "Graph-backed ADS-B aircraft tracks"),
+}
+OUTSIDE = "Last graph-backed state is outside freshness window"
 LIMIT = 500
 
 
@@ -27,7 +35,7 @@ def assets(wide: DataFrame, tracks_view: DataFrame) -> DataFrame:
     """V2: assets with the position of the track that names them as its source; of several the greatest track id."""
     lent = tracks_view.filter("track_source is not null").groupBy(F.col("track_source").alias("subject")).agg(F.max_by(F.struct("lon", "lat"), "subject").alias("at"))
     rows = wide.filter(F.split_part("subject", F.lit("."), F.lit(5)) == "asset")
-    return rows.join(lent, "subject", "left").select("subject", F.coalesce("name", F.split_part("subject", F.lit("."), F.lit(6))).alias("name"), F.coalesce("kind", F.lit("asset")).alias("kind"), F.coalesce("asset_source", source_of(F.col("subject"))).alias("source"), F.col("at.lon").alias("lon"), F.col("at.lat").alias("lat"))
+    return rows.join(lent, "subject", "left").select("subject", F.coalesce("name", F.split_part("subject", F.lit("."), F.lit(6))).alias("name"), F.coalesce("kind", F.lit("asset")).alias("kind"), F.coalesce("asset_source", source_of(F.col("subject"))).alias("source"), F.col("at.lon").alias("lon"), F.col("at.lat").alias("lat"), "confidence", "updated_at", "source_ref")
 
 
 def discovery_targets(spark: SparkSession, scopes: list[tuple[str, str]]) -> DataFrame:
@@ -70,12 +78,13 @@ def feed_observations(tracks_view: DataFrame, tasks_view: DataFrame, advisories_
     return out if hazards_view is None else out.unionByName(hazards_view.select(F.lit("feed.cap").alias("feed"), "updated_at"))
 
 
-def discovery_diagnostics(entities: DataFrame, targets: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Q4, Q5: how many entities each target finds, up to the limit, and whether there are more."""
+def discovery_diagnostics(entities: DataFrame, targets: DataFrame, limit: int = LIMIT, errors: DataFrame | None = None) -> DataFrame:
+    """Q4, Q5: how many entities each target finds, up to the limit, and whether there are more; ``errors`` (prefix, error) are of targets that could not be read."""
     counts = entities.groupBy(F.substring_index("subject", ".", 5).alias("prefix")).agg(F.countDistinct("subject").alias("__n"))
     n = F.coalesce("__n", F.lit(0))
     joined = targets.join(counts, "prefix", "left")
-    return joined.select("org", "platform", "source", "family", "entity_type", "prefix", F.least(n, F.lit(limit)).cast("long").alias("n"), F.lit(limit).cast("long").alias("lim"), (n > limit).alias("at_limit"))
+    joined = joined.withColumn("error", F.lit(None).cast("string")) if errors is None else joined.join(errors, "prefix", "left")
+    return joined.select("org", "platform", "source", "family", "entity_type", "prefix", F.least(n, F.lit(limit)).cast("long").alias("n"), F.lit(limit).cast("long").alias("lim"), (n > limit).alias("at_limit"), "position", "error")
 
 
 def family_fallback(configured: DataFrame, diagnostics: DataFrame, entities: DataFrame) -> DataFrame:
@@ -85,10 +94,19 @@ def family_fallback(configured: DataFrame, diagnostics: DataFrame, entities: Dat
 
 
 def discovery_alerts(diagnostics: DataFrame, now: Column) -> DataFrame:
-    """H4: one alert for each truncation."""
-    slug = lambda c: F.regexp_replace(F.lower(F.trim(c)), "[_ ]", "-")
-    label = F.concat_ws(" ", source_label(F.col("source")), F.replace("entity_type", F.lit("_"), F.lit(" ")), F.lit("discovery truncated"))
-    return diagnostics.filter("at_limit").select(F.concat_ws(".", F.lit("alert.discovery"), slug("org"), slug("platform"), slug("source"), slug("entity_type"), F.lit("limit")).alias("id"), label.alias("label"), F.lit("warning").alias("severity"), F.concat(F.lit("feed."), F.col("source")).alias("entity_id"), now.alias("updated_at"))
+    """H4: one alert for each error of a diagnostic (if it has a column ``error``) and one for each truncation, the error first by ``position``."""
+    slug = lambda c: F.coalesce(F.nullif(F.regexp_replace(F.lower(F.trim(c)), "[_ ]", "-"), F.lit("")), F.lit("unknown"))
+    error = F.nullif("error", F.lit("")) if "error" in diagnostics.columns else F.lit(None).cast("string")
+    failed = F.struct(F.lit(0).alias("sub"), F.lit("error").alias("what"), F.lit("error").alias("suffix"), F.concat(F.lit("Prefix query for "), F.col("prefix"), F.lit(" returned an error: "), error).alias("reason"))
+    many = F.format_string("Prefix query returned %d entities of more than the configured limit of %d; snapshot results may be truncated.", "n", "lim")
+    cut_off = F.struct(F.lit(1).alias("sub"), F.lit("truncated").alias("what"), F.lit("limit").alias("suffix"), many.alias("reason"))
+    each = F.array_compact(F.array(F.when(error.isNotNull(), failed), F.when(F.col("at_limit"), cut_off)))
+    rows = diagnostics.withColumn("a", F.explode(each))
+    label = F.concat_ws(" ", source_label(F.col("source")), F.replace("entity_type", F.lit("_"), F.lit(" ")), F.lit("discovery"), F.col("a.what"))
+    feed = F.concat(F.lit("feed."), slug("source"))
+    id_ = F.concat_ws(".", F.lit("alert.discovery"), slug("org"), slug("platform"), slug("source"), slug("entity_type"), F.col("a.suffix"))
+    place = [F.format_string("%08d.%d", F.col("position"), F.col("a.sub")).alias("place")] if "position" in diagnostics.columns else []
+    return rows.select(id_.alias("id"), label.alias("label"), F.lit("warning").alias("severity"), F.lit("active").alias("status"), feed.alias("entity_id"), F.col("a.reason").alias("reason"), now.alias("updated_at"), *place)
 
 
 def feed_health(spark: SparkSession, observations: DataFrame, now: Column, window: Column) -> DataFrame:
@@ -99,7 +117,9 @@ def feed_health(spark: SparkSession, observations: DataFrame, now: Column, windo
     empty = F.when(F.col("planned").isNotNull(), "planned").otherwise("stale")
     status = F.when(F.col("last").isNull(), empty).when(now - F.col("last") > window, "stale").otherwise("live")
     at = F.coalesce("last", F.when(F.col("planned").isNotNull(), F.timestamp_micros(F.unix_micros(now) - F.col("planned").cast("long") * 60_000_000)).otherwise(now))
-    return joined.select("feed", "name", "kind", status.alias("status"), at.alias("last_event_at"))
+    text = lambda i: F.coalesce(*[F.when(F.col("feed") == f, t[i]) for f, t in FEED_TEXTS.items()])
+    message = F.when(F.col("last").isNull(), text(0)).when(now - F.col("last") > window, OUTSIDE).otherwise(text(1))
+    return joined.select("feed", "name", "kind", status.alias("status"), at.alias("last_event_at"), message.alias("message"))
 
 
 def summary(views: dict[str, DataFrame], feeds: DataFrame) -> DataFrame:
@@ -110,6 +130,11 @@ def summary(views: dict[str, DataFrame], feeds: DataFrame) -> DataFrame:
     return out
 
 
+def ordered(view: DataFrame, *by: str) -> DataFrame:
+    """A view in order of its ids (or of ``by``): a sort by ranges, by the bytes of the text."""
+    return view.orderBy(*(by or ("subject",)))
+
+
 def map_bounds(points: DataFrame) -> DataFrame:
     """T4: the box around points (lon, lat) with its pads and centre."""
     box = points.agg(*[f(c).alias(f"{n}_{c}") for c in ("lon", "lat") for n, f in (("min", F.min), ("max", F.max))])

@@ -24,8 +24,8 @@ def little(n: Column, size: int) -> Column:
     return F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(size))])
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L1: one telemetry frame per event; error events carry a broken checksum."""
+def frames(spark: SparkSession, sf_dir: str, broken: bool = True) -> DataFrame:
+    """L1: one telemetry frame per event; error events carry a broken checksum, unless ``broken`` is false."""
     df = events(spark, sf_dir)
     e, k, zero = F.col("event_id"), F.col("k"), F.lit(0)
     kind = F.col("event_type")
@@ -40,7 +40,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(little(F.length("__payload") / 2, 1), little(zero, 1), little(zero, 1), little(e % 256, 1), little(F.col("user_id") % 150 + 1, 1), little(F.lit(1), 1), little(F.col("__number"), 3), F.col("__payload"))
     df = settled(df.withColumn("__body", body))
     extra = F.when(F.col("__number") == 33, MESSAGES[33][1]).when(F.col("__number") == 147, MESSAGES[147][1]).when(F.col("__number") == 30, MESSAGES[30][1]).otherwise(MESSAGES[0][1])
-    made = settled(df.withColumn("__extra", extra).withColumn("__off", F.when(kind == "error", 1).otherwise(0)).withColumn("__body", F.unhex("__body")))
+    made = settled(df.withColumn("__extra", extra).withColumn("__off", F.when((kind == "error") & F.lit(broken), 1).otherwise(0)).withColumn("__body", F.unhex("__body")))
     made = sealed(made.drop("__number", "__payload"), "__body", "__extra", "__off", "frame").drop("__body", "__extra", "__off")
     made = made.withColumn("source", F.concat(F.lit("uav-"), (F.col("user_id") % 4).cast("string")))
     return assign_refs(made, "mavlink", F.col("frame"), ["event_id"]).withColumn("batch", F.lit(0)).withColumn("arrival", F.col("event_id"))
@@ -114,3 +114,21 @@ def sensor_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     reply = F.concat(F.lit('"taskAck":{"taskId":'), ulid(p), F.lit(',"taskStatus":"DONE","reason":["r"]}'))
     body = F.when(n <= 4, detection).when(n == 5, registration).when(n == 6, status).when(o % 3 == 0, F.concat(reply, F.lit(","), status)).when(o % 3 == 1, F.lit('"alert":{}')).otherwise(reply)
     return li.withColumn("raw_payload", F.concat(F.lit('{"timestamp":"2024-01-01T00:00:00.5Z","nodeId":'), node, F.lit(","), body, F.lit("}")))
+
+
+def nested_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One detection per line item, whose sub-classes nest l_partkey % 13 levels, two at each; the lowest level of some is no whole number."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").cast("long").alias("o"), F.col("l_linenumber").cast("int").alias("n"), F.col("l_partkey").cast("long").alias("p"), F.col("l_suppkey").cast("long").alias("s"))
+    depth = (F.col("p") % 13).cast("int")
+    low = F.when(F.col("s") % 11 == 0, F.concat(depth.cast("string"), F.lit(".5"))).otherwise(depth.cast("string"))
+
+    def around(inner, level):
+        shown = F.when(level == depth, low).otherwise(level.cast("string"))
+        below = F.when(inner == "", "").otherwise(F.concat(F.lit(',"subClass":['), inner, F.lit("]")))
+        return F.concat(F.lit('{"type":"Leaf","level":0},{"type":"L'), level.cast("string"), F.lit('","level":"'), shown, F.lit('"'), below, F.lit("}"))
+
+    levels = F.when(depth > 0, F.reverse(F.sequence(F.lit(1), depth))).otherwise(F.array().cast("array<int>"))
+    inner = F.aggregate(levels, F.lit(""), around)
+    below = F.when(inner == "", "").otherwise(F.concat(F.lit(',"subClass":['), inner, F.lit("]")))
+    head = F.format_string('{"timestamp":"2024-01-01T00:00:00Z","nodeId":"%08x-0000-4000-8000-%012x","detectionReport":{"reportId":"%026d","objectId":"%026d","rangeBearing":{"coordinateSystem":"A","datum":"B"},"classification":[{"type":"Top"', "s", "o", "o", "p")
+    return li.withColumn("raw_payload", F.concat(head, below, F.lit("}]}}")))
