@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from skyquilt.operators.order import before
 
 SCHEMAS = {
     "mavlink": "Ref string, Source string, ReceivedAt timestamp, Version int, Sequence int, SystemID int, ComponentID int, MessageID int, Checksum int, Frame string",
@@ -57,14 +58,16 @@ def read_cot_lines(spark: SparkSession, path: str, max_bytes: int = 1 << 20) ->
     return lines.select(F.col("value").alias("raw_xml"), F.when(F.octet_length("value") > max_bytes, "oversize").alias("error"))
 
 
-def landed_responses(df: DataFrame, key: str, at: str, max_bytes: int = MAX_RESPONSE) -> DataFrame:
-    """Adds outcome: publish, unchanged (304 or the validator of the response before), oversize or error."""
-    before = W.partitionBy(key).orderBy(at)
+def landed_responses(df: DataFrame, key: str, at: str, max_bytes: int = MAX_RESPONSE, ranges: int | None = None) -> DataFrame:
+    """Adds outcome: publish, unchanged (304 or the validator of the last good response), oversize or error.
+
+    The validator goes from range to range of (key, at), so no endpoint's history is scanned in one task.
+    """
     good = F.col("status_code").between(200, 299)
-    last = F.last(F.when(good, F.col("etag")), ignorenulls=True).over(before.rowsBetween(W.unboundedPreceding, -1))
-    same = F.coalesce(F.col("etag") == last, F.lit(False))
+    known = before(df, [key], [at], ranges, __last=(F.when(good, F.col("etag")), "last"))
+    same = F.coalesce(F.col("etag") == F.col("__last"), F.lit(False))
     outcome = F.when(F.col("status_code") == 304, "unchanged").when(~good, "error").when(F.col("size") > max_bytes, "oversize").when(same, "unchanged").otherwise("publish")
-    return df.withColumn("outcome", outcome)
+    return known.withColumn("outcome", outcome).drop("__last")
 
 
 def write_triples(triples: DataFrame, path: str) -> None:
