@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyquilt.functions.folders import new_folder
+from skyquilt.functions.folders import cut, new_folder
 from skyquilt.operators import mavlink, state
 from skyquilt.plans import lenses
 from skyquilt.plans.catalog import _E, KEEP, ORG, PLATFORM, SURE, query
-from skyquilt.streaming import ingest
+from skyquilt.sources import store
+from skyquilt.streaming import freshness, ingest
 
 TURNS = 3
 
@@ -91,3 +92,36 @@ def r1_over_batches(spark, sf_dir):
     for stream in landed(spark, raw, folder, F.floor(F.col("event_id") * TURNS / (last + 1))):
         ingest.StreamLane(spark, folder, "mavlink", F.col("frame"), ["event_id"]).run(stream)
     return ingest.StreamLane(spark, folder, "mavlink", F.col("frame"), ["event_id"]).read(spark).select("event_id", "ref")
+
+
+@query(
+    "s8_triple_store",
+    _E + """, cut AS (SELECT min(event_id) AS stop FROM usable WHERE event_id * 5 > 4 * (SELECT max(event_id) FROM events) AND k = 7), done AS (SELECT usable.* FROM usable, cut WHERE stop IS NULL OR event_id < stop)
+    SELECT p AS predicate, count(*)::BIGINT AS n, count(DISTINCT sys)::BIGINT AS n_subjects, max(event_id) AS last FROM (SELECT 'cop.track.battery_remaining' AS p, * FROM done WHERE event_type = 'purchase' UNION ALL SELECT 'cop.track.position', * FROM done WHERE event_type = 'view' UNION ALL SELECT 'cop.track.observed_at', * FROM done) GROUP BY p""",
+)
+def s8(spark, sf_dir):
+    """What the store holds of vehicles' tracks: two batches, the second written twice and ended by an update of an entity that is not there."""
+    path, seen = new_folder(spark, "s8"), vehicles_seen(spark, sf_dir)
+    last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("event_id")).first()[0] or 0
+    lost = (F.col("event_id") * 5 > 4 * last) & (F.col("k") == 7)
+    planned = cut(state.plan_births(seen).withColumn("subject", F.when(lost, F.concat("subject", F.lit("-lost"))).otherwise(F.col("subject"))).withColumn("kind", F.when(lost, "update").otherwise(F.col("kind"))))
+    first = F.col("event_id") * 2 <= last
+    for part, rows in ((0, planned.filter(first)), (1, planned.filter(~first)), (1, planned.filter(~first))):
+        applied = store.judged(rows, None if part == 0 else planned.filter(first).select("subject")).filter("applied")
+        store.write_triples(mavlink.project_planned(applied, ORG, PLATFORM, SURE, KEEP), path, part)
+    held = store.scan_triples(spark, path, f"{ORG}.{PLATFORM}.cop.mavlink.track")
+    shown = held.filter(F.col("predicate").isin("cop.track.battery_remaining", "cop.track.position", "cop.track.observed_at"))
+    return shown.groupBy("predicate").agg(F.count("*").alias("n"), F.countDistinct("subject").alias("n_subjects"), F.max("arrival").alias("last"))
+
+
+@query("h8_silent_sources", _E + "SELECT (user_id % 4)::VARCHAR AS id, 'stale' AS status, max(ts) FILTER (event_type <> 'error') AS since FROM e GROUP BY user_id % 4")
+def h8(spark, sf_dir):
+    """Sources that have fallen silent, from a stream: an error event is a contact that renews nothing."""
+    folder = new_folder(spark, "h8")
+    lenses.events(spark, sf_dir).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+    told = freshness.freshness_changes(stream, F.col("user_id") % 4, F.col("received_at"), F.col("event_type") != "error", 120)
+    write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/out/part={batch}")
+    # one batch: a stream with timers goes on without input and would not end by itself
+    told.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(once=True).start().awaitTermination()
+    return spark.read.schema(freshness.TOLD).parquet(f"{folder}/out").select("id", "status", "since")

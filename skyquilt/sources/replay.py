@@ -42,14 +42,18 @@ def append_replay(df: DataFrame, feed: str, path: str) -> None:
 
 
 def valid_raw(payload: Column) -> Column:
-    """S3: whether a raw payload row (source, received_at, status_code) is whole."""
+    """S3: whether a raw payload row (source, received_at, status_code, encoding) is whole; a null status is none, a null encoding is not asked for."""
     status = F.coalesce("status_code", F.lit(0))
-    return F.coalesce((F.trim("source") != "") & F.col("received_at").isNotNull() & (F.octet_length(payload) > 0) & ((status == 0) | status.between(100, 599)), F.lit(False))
+    known = F.col("encoding").isNull() | F.col("encoding").isin("json", "protobuf")
+    return F.coalesce((F.trim("source") != "") & F.col("received_at").isNotNull() & (F.octet_length(payload) > 0) & ((status == 0) | status.between(100, 599)) & known, F.lit(False))
 
 
-def read_raw_stream(spark: SparkSession, schema: str, path: str) -> DataFrame:
-    """S3: a stream of raw payload rows from landed JSON files."""
-    return spark.readStream.schema(schema).json(path)
+RAW = "source string, received_at timestamp, status_code int, encoding string, payload string"
+
+
+def read_raw_stream(spark: SparkSession, path: str, more: str = "") -> DataFrame:
+    """S3: a stream of raw payload rows (RAW and the columns of ``more``) from landed JSON files, with ``valid``."""
+    return spark.readStream.schema(RAW + (f", {more}" if more else "")).json(path).withColumn("valid", valid_raw(F.col("payload")))
 
 
 def read_cot_lines(spark: SparkSession, path: str, max_bytes: int = 1 << 20) -> DataFrame:
@@ -70,12 +74,6 @@ def landed_responses(df: DataFrame, key: str, at: str, max_bytes: int = MAX_RESP
     return known.withColumn("outcome", outcome).drop("__last")
 
 
-def write_triples(triples: DataFrame, path: str) -> None:
-    """Append triples, partitioned by the system and type of their subject."""
-    parts = {"system": 4, "type": 5}
-    triples.withColumns({n: F.split_part("subject", F.lit("."), F.lit(i)) for n, i in parts.items()}).write.mode("append").partitionBy(*parts).parquet(path)
-
-
 def split_rejects(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Decoded rows and rejects of one decode job."""
     return decoded.filter("error is null"), decoded.filter("error is not null")

@@ -104,3 +104,63 @@ def test_lane_numbers_go_on(spark, tmp_path):
 
     whole = assign_refs(raw, "cot", F.col("payload"), ["at"])
     assert sorted((r.at, r.ref) for r in lane.read(spark).collect()) == sorted((r.at, r.ref) for r in whole.collect())
+
+
+def test_silence_is_told_without_a_new_event(spark, tmp_path):
+    import time
+
+    from skyquilt.streaming.freshness import freshness_changes
+
+    told = []
+    shape = "source string, at timestamp, status int"
+
+    def land(*rows):
+        spark.createDataFrame(rows, "source string, status int").withColumn("at", F.current_timestamp()).select("source", "at", "status").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def until(n, seconds=60):
+        end = time.time() + seconds
+        while len(told) < n and time.time() < end:
+            time.sleep(0.2)
+
+    def start():
+        stream = spark.readStream.schema(shape).parquet(str(tmp_path / "in"))
+        changes = freshness_changes(stream, F.col("source"), F.col("at"), F.col("status") == 200, 6)
+        return changes.writeStream.outputMode("update").foreachBatch(lambda df, _: told.extend((r.id, r.status, r.since is None) for r in df.collect())).option("checkpointLocation", str(tmp_path / "check")).trigger(processingTime="500 milliseconds").start()
+
+    land(("a", 200), ("b", 304))
+    query = start()
+    until(2)  # a at its timer, without any further row
+    assert told[:2] == [("b", "stale", True), ("a", "stale", False)]
+    query.stop()
+    land(("a", 304), ("c", 200))  # a contact does not renew; known again after a restart
+    query = start()
+    until(3)
+    land(("a", 200))
+    until(4)
+    until(5)
+    query.stop()
+    assert sorted(told[2:4]) == [("a", "live", False), ("c", "stale", False)] and told[4] == ("a", "stale", False)
+
+
+def test_mutations_apply_in_order_until_the_first_failure(spark, tmp_path):
+    from skyquilt.sources import store
+
+    rows = [("create", "a", 1), ("update", "a", 2), ("update", "old", 3), ("create", "b", 4), ("update", "x", 5), ("update", "b", 6), ("create", "a", 7), ("create", "old", 8), ("update", " ", 9), ("create", None, 10)]
+    df = spark.createDataFrame([(k, s, 0, n) for k, s, n in rows], "kind string, subject string, batch int, arrival int").repartition(3)
+    old = spark.createDataFrame([("old",)], "subject string")
+    got = {r.arrival: (r.error, r.applied) for r in store.judged(df, old).collect()}
+    assert got == {1: (None, True), 2: (None, True), 3: (None, True), 4: (None, True), 5: ("not found", False), 6: (None, False), 7: ("already exists", False), 8: ("already exists", False), 9: ("blank id", False), 10: ("blank id", False)}
+    assert store.judged(df.limit(0)).count() == 0
+    path = str(tmp_path / "t")
+    made = spark.createDataFrame([(f"o.p.cop.{s}.{t}.{i}", "p", str(i)) for s in ("tak", "mavlink") for t in ("track", "asset") for i in range(5)], "subject string, predicate string, object string")
+    store.write_triples(made, path, 0)
+    store.write_triples(made.filter("object = '1'"), path, 1)
+    store.write_triples(made.filter("object = '1'"), path, 1)
+    assert store.scan_triples(spark, path).count() == 24
+    some = store.scan_triples(spark, path, "o.p.cop.tak.track")
+    assert some.count() == 6 and some.columns == made.columns
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(system" in plan and "tak" in plan.split("PartitionFilters")[1]
+    store.write_triples(made, str(tmp_path / "u"))
+    store.write_triples(made, str(tmp_path / "u"))
+    assert store.scan_triples(spark, str(tmp_path / "u")).count() == 40
