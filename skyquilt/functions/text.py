@@ -32,8 +32,10 @@ def sanitize_source(value: Column) -> Column:
 
 
 def ref_segment(value: Column) -> Column:
-    """Like a source name, but each bad character becomes a dash of its own."""
-    return F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), r"[^\p{L}\p{Nd}._-]", "-")
+    """Lower-cased and trimmed; a-z, digits, full stops, dashes and underscores stay, each other character becomes a dash of its own; outer dashes go; blank: unknown."""
+    low = F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), r"^\s+|\s+$", "")
+    slug = F.regexp_replace(low, "[^a-z0-9._-]", "-")
+    return F.coalesce(F.nullif(F.regexp_replace(slug, "^-+|-+$", ""), F.lit("")), F.lit("unknown"))
 
 
 def infer_encoding(configured: Column, content_type: Column) -> Column:

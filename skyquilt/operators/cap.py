@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyquilt.functions.text import entity_id, entity_token, first_text, freshness_status
-from skyquilt.operators.triples import settled
+from skyquilt.operators.state import latest_property
+from skyquilt.operators.triples import provenance, settled, to_triples
 
 _PAIR = "array<struct<valueName string, value string>>"
-SHAPE = f"""identifier string, sender string, sent string, status string, msgType string, scope string,
-info array<struct<event string, urgency string, severity string, certainty string, effective string, expires string, senderName string,
-headline string, description string, instruction string, category array<string>, parameter {_PAIR},
+_RESOURCE = "array<struct<resourceDesc string, mimeType string, uri string, digest string>>"
+SHAPE = f"""identifier string, sender string, sent string, status string, msgType string, source string, scope string, references string,
+info array<struct<language string, category array<string>, event string, urgency string, severity string, certainty string, effective string, expires string, senderName string,
+headline string, description string, instruction string, web string, contact string, parameter {_PAIR}, resource {_RESOURCE},
 area array<struct<areaDesc string, polygon array<string>, circle array<string>, geocode {_PAIR}>>>>, _corrupt_record string"""
 ROOT = r"^\s*(<\?xml[^>]*\?>)?\s*<(\w+:)?alert[\s>/]"
 
@@ -37,17 +39,47 @@ def circle(text: Column) -> Column:
     return F.when(good, F.struct(lat.alias("lat"), lon.alias("lon"), km.alias("radius_km")))
 
 
+def _text(value: Column) -> Column:
+    return F.coalesce(F.trim(value), F.lit(""))
+
+
+def _pairs(values: Column) -> Column:
+    """Name and value, trimmed; pairs without either are left out."""
+    named = F.transform(F.coalesce(values, F.array()), lambda x: F.struct(_text(x["valueName"]).alias("name"), _text(x["value"]).alias("value")))
+    return F.filter(named, lambda x: (x["name"] != "") | (x["value"] != ""))
+
+
+def _area(a: Column) -> Column:
+    shapes = lambda c, f: F.transform(F.coalesce(a[c], F.array()), f)
+    return F.struct(_text(a["areaDesc"]).alias("area_desc"), shapes("polygon", polygon).alias("polygons"), shapes("circle", circle).alias("circles"), _pairs(a["geocode"]).alias("geocodes"))
+
+
+def _info(i: Column) -> Column:
+    """One info block, whole; texts are trimmed and never null."""
+    plain = {"language": "language", "event": "event", "urgency": "urgency", "severity": "severity", "certainty": "certainty", "sender_name": "senderName", "headline": "headline", "description": "description", "instruction": "instruction", "web": "web", "contact": "contact"}
+    resources = F.transform(F.coalesce(i["resource"], F.array()), lambda r: F.struct(_text(r["resourceDesc"]).alias("description"), _text(r["mimeType"]).alias("mime_type"), _text(r["uri"]).alias("uri"), _text(r["digest"]).alias("digest")))
+    return F.struct(
+        *[_text(i[c]).alias(n) for n, c in plain.items()],
+        F.filter(F.transform(F.coalesce(i["category"], F.array()), _text), lambda c: c != "").alias("categories"),
+        *[F.try_to_timestamp(F.nullif(_text(i[c]), F.lit(""))).alias(c) for c in ("effective", "expires")],
+        _pairs(i["parameter"]).alias("parameters"), resources.alias("resources"), F.transform(F.coalesce(i["area"], F.array()), _area).alias("areas"),
+    )
+
+
 def decode(raw: DataFrame, xml: str = "raw_xml") -> DataFrame:
-    """Header, the first info and its first area, advisory text and error; any bad time or shape rejects the alert."""
+    """Header, ``infos`` (all blocks with all areas and resources), the first info and its first area as columns, advisory text and error.
+
+    Any bad time or shape rejects the alert; a rejected one has no infos.
+    """
     df = settled(raw.withColumn("__c", F.from_xml(F.col(xml), SHAPE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})))
     head = {n: F.nullif(F.trim(F.col(f"__c.{c}")), F.lit("")) for n, c in {"identifier": "identifier", "sender": "sender", "sent_text": "sent", "alert_status": "status", "msg_type": "msgType", "scope": "scope"}.items()}
     df = df.withColumns(head).withColumn("__i", F.get("__c.info", F.lit(0))).withColumn("__a", F.get("__i.area", F.lit(0)))
     text = lambda f: F.nullif(F.trim(F.col(f"__i.{f}")), F.lit(""))
     df = df.withColumns({n: text(n) for n in ("event", "urgency", "severity", "certainty", "headline", "description", "instruction", "senderName")}).withColumn("area_desc", F.trim("__a.areaDesc"))
     df = df.withColumns({n: F.try_to_timestamp(c) for n, c in {"sent": F.col("sent_text"), "effective": text("effective"), "expires": text("expires")}.items()})
+    df = df.withColumns({"alert_source": _text(F.col("__c.source")), "references": _text(F.col("__c.references")), "infos": F.transform("__c.info", _info)})
     df = df.withColumn("polygons", F.transform("__a.polygon", polygon)).withColumn("circles", F.transform("__a.circle", circle))
-    pairs = lambda c: F.filter(F.transform(c, lambda x: F.struct(F.trim(x["valueName"]).alias("name"), F.trim(x["value"]).alias("value"))), lambda x: (F.coalesce(x["name"], F.lit("")) != "") | (F.coalesce(x["value"], F.lit("")) != ""))
-    df = df.withColumn("geocodes", pairs("__a.geocode")).withColumn("parameters", pairs("__i.parameter"))
+    df = df.withColumn("geocodes", _pairs(F.col("__a.geocode"))).withColumn("parameters", _pairs(F.col("__i.parameter")))
     df = settled(df)
     joined = F.array_join(F.array_compact(F.array("headline", "description", "instruction")), "\n\n")
     df = df.withColumn("advisory_text", first_text(joined, F.col("event"), F.col("identifier")))
@@ -57,7 +89,8 @@ def decode(raw: DataFrame, xml: str = "raw_xml") -> DataFrame:
     bad_shape = F.exists(areas, lambda a: F.exists(F.coalesce(a["polygon"], F.array()), lambda p: polygon(p).isNull()) | F.exists(F.coalesce(a["circle"], F.array()), lambda c: circle(c).isNull()))
     malformed = F.col("__c").isNull() | F.col("__c._corrupt_record").isNotNull() | ~F.col(xml).rlike(ROOT)
     error = F.when(malformed, "malformed").when(missing, "missing header").when(F.coalesce(F.size("__c.info"), F.lit(0)) < 1, "no info").when(F.col("sent").isNull() | bad_time, "bad time").when(bad_shape, "bad shape")
-    return settled(df.withColumn("error", error).drop("__c", "__i", "__a", "sent_text"))
+    whole = settled(df.withColumn("error", error).drop("__c", "__i", "__a", "sent_text"))
+    return whole.withColumn("infos", F.when(F.col("error").isNull(), F.col("infos")))
 
 
 def confidence_of(certainty: Column, base: float) -> Column:
@@ -66,12 +99,54 @@ def confidence_of(certainty: Column, base: float) -> Column:
     return F.when(low == "observed", 0.95).when(low == "likely", 0.82).when(low == "possible", 0.58).when(low == "unlikely", 0.35).when(low == "unknown", 0.4).otherwise(base)
 
 
+#: The evidence document as it is read back.
+_POINT, _NAMED = "struct<lat double, lon double>", "array<struct<name string, value string>>"
+DOCUMENT = f"""identifier string, message_type string, status string, event string, urgency string, severity string, certainty string, area_desc string, sender string, sender_name string,
+sent string, effective string, expires string, polygons array<array<{_POINT}>>, circles array<struct<center {_POINT}, radius_km double>>,
+resources array<struct<description string, mime_type string, uri string, digest string>>, geocodes {_NAMED}, parameters {_NAMED}"""
+
+
+def document(decoded: DataFrame) -> Column:
+    """The evidence document as JSON, of the first info and its first area; empty lists, times and digests are left out."""
+    i = F.get("infos", F.lit(0))
+    a = F.get(i["areas"], F.lit(0))
+    full = lambda c, n: F.when(F.size(c) > 0, c).alias(n)
+    time = lambda c, n: F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), r"\.?0*Z$", "Z").alias(n)
+    circles = F.transform(a["circles"], lambda c: F.struct(F.struct(c["lat"].alias("lat"), c["lon"].alias("lon")).alias("center"), c["radius_km"].alias("radius_km")))
+    resources = F.transform(i["resources"], lambda r: F.struct(r["description"].alias("description"), r["mime_type"].alias("mime_type"), r["uri"].alias("uri"), F.nullif(r["digest"], F.lit("")).alias("digest")))
+    return F.to_json(F.struct(
+        "identifier", F.col("msg_type").alias("message_type"), F.col("alert_status").alias("status"), *[i[c].alias(c) for c in ("event", "urgency", "severity", "certainty")],
+        F.coalesce(a["area_desc"], F.lit("")).alias("area_desc"), "sender", i["sender_name"].alias("sender_name"), time("sent", "sent"), time(F.coalesce(i["effective"], "sent"), "effective"), time(i["expires"], "expires"),
+        full(a["polygons"], "polygons"), full(circles, "circles"), full(resources, "resources"), full(a["geocodes"], "geocodes"), full(i["parameters"], "parameters"),
+    ))
+
+
 def evidence(decoded: DataFrame) -> DataFrame:
-    """The evidence document of each good alert as JSON, with observed_at; what is empty is left out."""
-    full = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
-    time = lambda c, n: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(n)
-    document = F.struct("identifier", F.col("msg_type").alias("message_type"), F.col("alert_status").alias("status"), "event", "urgency", "severity", "certainty", "area_desc", "sender", F.col("senderName").alias("sender_name"), time("sent", "sent"), time(F.coalesce("effective", "sent"), "effective"), time("expires", "expires"), full("polygons"), full("circles"), full("geocodes"), full("parameters"))
-    return decoded.filter("error is null").withColumn("evidence", F.to_json(document)).withColumn("observed_at", F.coalesce("effective", "sent"))
+    """The good alerts with their evidence document and observed_at."""
+    return decoded.filter("error is null").withColumn("evidence", document(decoded)).withColumn("observed_at", F.coalesce("effective", "sent"))
+
+
+def project(decoded: DataFrame, org: str, platform: str, confidence: float, keep: list[str]) -> DataFrame:
+    """Evidence triples of hazards, to be appended: advisory text, the document, source and provenance of each good alert (with ``ref``)."""
+    rows = settled(evidence(decoded).withColumn("__sure", confidence_of(F.col("certainty"), confidence)))
+    pairs = [("cop.hazard.advisory_text", "string", F.col("advisory_text")), ("cop.hazard.evidence", "json", F.col("evidence")), ("cop.hazard.source", "string", F.lit("cap"))]
+    subject = entity_id(F.lit(org), F.lit(platform), "cap", "hazard_area", entity_token(F.col("identifier")))
+    return to_triples(rows, subject, pairs + provenance("cap", F.col("observed_at"), F.col("__sure"), F.col("ref")), keep, F.col("observed_at"), F.lit("cap"), F.col("__sure"))
+
+
+def hazards_of_evidence(triples: DataFrame, now: Column, window: Column) -> DataFrame:
+    """V5, M3: hazards of three points or more, read back from appended evidence: of each property the latest, of equal times the one written last."""
+    names = {"document": "cop.hazard.evidence", "text": "cop.hazard.advisory_text", "source": "cop.hazard.source", "source_ref": "cop.provenance.source_ref", "observed": "cop.provenance.observed_at", "sure": "cop.provenance.confidence"}
+    latest = latest_property(triples.filter(F.col("predicate").isin(*names.values())))
+    wide = latest.groupBy("subject").agg(*[F.max(F.when(F.col("predicate") == p, F.col("object"))).alias(n) for n, p in names.items()])
+    d = F.col("d")
+    read = settled(wide.withColumn("d", F.from_json("document", DOCUMENT)))
+    known = (F.coalesce(d["identifier"], F.lit("")) != "") | (F.coalesce(d["event"], F.lit("")) != "") | d["polygons"].isNotNull() | d["circles"].isNotNull()
+    round_ = F.transform(F.coalesce(d["circles"], F.array()), lambda c: F.struct(c["center"]["lat"].alias("lat"), c["center"]["lon"].alias("lon"), c["radius_km"].alias("radius_km")))
+    shaped = settled(read.filter(known).withColumn("geometry", hazard_geometry(F.coalesce(d["polygons"], F.array()), round_)).withColumn("updated_at", F.try_to_timestamp("observed")))
+    status = hazard_status(d["status"], d["message_type"], F.try_to_timestamp(d["expires"]), now, F.col("updated_at"), window)
+    instance = F.split_part("subject", F.lit("."), F.lit(6))
+    return shaped.filter(F.size("geometry") >= 3).select("subject", hazard_label(d["event"], F.col("text"), instance, d["area_desc"]).alias("label"), hazard_kind(d["event"]).alias("kind"), F.lower(F.coalesce(F.nullif(d["severity"], F.lit("")), F.lit("unknown"))).alias("severity"), status.alias("status"), "geometry", F.coalesce("source", F.lit("cap")).alias("source"), "updated_at", F.col("sure").try_cast("double").alias("confidence"), F.coalesce("source_ref", F.lit("")).alias("source_ref"))
 
 
 def hazard_status(status: Column, msg_type: Column, expires: Column, now: Column, updated: Column, window: Column) -> Column:

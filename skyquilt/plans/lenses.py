@@ -132,3 +132,23 @@ def nested_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     below = F.when(inner == "", "").otherwise(F.concat(F.lit(',"subClass":['), inner, F.lit("]")))
     head = F.format_string('{"timestamp":"2024-01-01T00:00:00Z","nodeId":"%08x-0000-4000-8000-%012x","detectionReport":{"reportId":"%026d","objectId":"%026d","rangeBearing":{"coordinateSystem":"A","datum":"B"},"classification":[{"type":"Top"', "s", "o", "o", "p")
     return li.withColumn("raw_payload", F.concat(head, below, F.lit("}]}}")))
+
+
+def warning_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3: one XML warning per order with two infos, up to three areas, resources and blank parts; the orders of a customer are messages of one warning, in order of their key, with times that tie."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    s = lambda x: x.cast("string")
+    month = F.date_format(F.date_trunc("quarter", "o_orderdate"), "yyyy-MM-dd")
+    ring = lambda n: F.concat_ws(" ", *[F.concat(s(k % 60 + n), F.lit(a), F.lit(","), s(c % 100), F.lit(b)) for a, b in ((".0", ".0"), (".25", ".0"), (".25", ".5"), (".0", ".5"))])
+    first = F.when(k % 7 == 0, "").when(k % 5 == 0, F.concat(F.lit("<circle> "), s(k % 60), F.lit(".5,"), s(c % 100), F.lit(" 12.5 </circle>"))).otherwise(F.concat(F.lit("<polygon>"), ring(0), F.lit("</polygon><polygon>"), ring(1), F.lit("</polygon>")))
+    kind = F.when(F.col("o_orderstatus") == "P", "Cancel").when(k % 2 == 0, "Update").otherwise("Alert")
+    xml = F.concat(
+        F.lit("<alert><identifier> C-"), s(c), F.lit(" </identifier><sender>desk</sender><sent>"), month, F.lit("T00:00:00Z</sent><status>Actual</status><msgType>"), kind, F.lit("</msgType><source> hq </source><scope>Public</scope><references>r"), s(k), F.lit("</references><info><language>en-US</language><category>Met</category><category> </category><category> Geo </category><event>Flood "), s(k % 4),
+        F.lit("</event><urgency>Expected</urgency><severity>"), F.when(k % 6 == 0, "").otherwise("Severe"), F.lit("</severity><certainty>"), F.when(k % 3 == 0, "Observed").otherwise("Likely"), F.lit("</certainty><effective>"), month, F.lit("T06:00:00Z</effective><expires>"), F.when(k % 11 == 0, F.concat(month, F.lit("T07:00:00Z"))).otherwise("2099-01-01T00:00:00Z"), F.lit("</expires><senderName>Desk</senderName><headline> Rise "), s(k),
+        F.lit("</headline><description></description><instruction>Leave</instruction><web>http://w/"), s(k), F.lit("</web><contact>c</contact><parameter><valueName>level</valueName><value>"), s(k % 9), F.lit("</value></parameter><parameter><valueName> </valueName><value></value></parameter><resource><resourceDesc>map</resourceDesc><mimeType>image/png</mimeType><uri>u"), s(k), F.lit("</uri><digest>"), F.when(k % 2 == 0, s(k)).otherwise(""),
+        F.lit("</digest></resource><area><areaDesc>Bank "), s(c % 5), F.lit("</areaDesc>"), first, F.lit("<geocode><valueName>SAME</valueName><value>0"), s(c), F.lit("</value></geocode></area>"), F.when(k % 3 == 1, F.concat(F.lit("<area><areaDesc>Far</areaDesc><circle>1,2 3</circle></area><area><areaDesc>Off</areaDesc><polygon>"), ring(2), F.lit("</polygon></area>"))).otherwise(""),
+        F.lit("</info><info><event>Wind</event><urgency>U</urgency><severity>Minor</severity><certainty>Possible</certainty><resource><uri>a</uri></resource><resource><uri>b</uri></resource></info></alert>"),
+    )
+    made = o.select("o_orderkey", "o_custkey", F.lit(3).alias("batch"), k.cast("long").alias("arrival"), F.concat(F.lit("cap://raw/desk/"), s(k)).alias("ref"), xml.alias("raw_xml"))
+    return settled(made)
