@@ -60,9 +60,10 @@ def find_overlaps(rules: DataFrame) -> DataFrame:
 
 
 def find_dangling_edges(triples: DataFrame, entities: DataFrame) -> DataFrame:
-    """Source edges whose target is no asset by its id, or no known entity."""
+    """Source edges whose target is no known entity, or none that the target pattern takes: six parts, none blank, an asset of the domain ``cop``."""
     edges = triples.filter(F.col("predicate") == "cop.track.source").select("subject", F.col("object").alias("target"))
-    known = entities.filter(_part(5) == "asset").select(F.col("subject").alias("target")).distinct()
+    fits = F.col("subject").rlike(r"^[^.]+\.[^.]+\.cop\.[^.]+\.asset\.[^.]+$")
+    known = entities.filter(fits).select(F.col("subject").alias("target")).distinct()
     return edges.join(known, "target", "left_anti")
 
 

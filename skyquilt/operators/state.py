@@ -55,6 +55,24 @@ def mutation_log(planned: DataFrame, profile: str, owner: str) -> DataFrame:
     return planned.select("batch", "arrival", "kind", message.alias("message_type"), "subject", name.alias("entity_type"), F.lit(profile).alias("indexing_profile"), F.lit(owner).alias("owner"), F.col("ref").alias("trace_id"), request.alias("request_id"))
 
 
+def mutations(planned: DataFrame, token: Column, rules: DataFrame, asset: Column | None = None) -> DataFrame:
+    """All mutations of ``planned`` sightings (batch, arrival, kind, subject, ref) in order of (batch, arrival, sub), with owner and profile by contract.
+
+    Where ``asset`` is not null, a create is preceded by that of its source asset. ``token`` names the entity in request
+    ids. Evidence of hazards is appended, not updated.
+    """
+    created, kind = F.col("kind") == "create", F.split_part("subject", F.lit("."), F.lit(5))
+    name = F.when(kind == "hazard_area", "hazard-evidence").otherwise(kind)
+    verb = F.when(created, "create").when(kind == "hazard_area", "append").otherwise("update")
+    own = F.struct(F.lit(1).alias("sub"), "kind", F.col("subject").alias("id"), F.concat_ws("-", verb, name, token).alias("request_id"))
+    before = F.struct(F.lit(0).alias("sub"), F.lit("create").alias("kind"), asset.alias("id"), F.concat(F.lit("create-source-asset-"), token).alias("request_id")) if asset is not None else None
+    each = F.array_compact(F.array(F.when(created & asset.isNotNull(), before), own)) if asset is not None else F.array(own)
+    rows = planned.select("batch", "arrival", F.col("ref").alias("trace_id"), F.explode(each).alias("m")).select("batch", "arrival", "m.sub", "m.kind", F.col("m.id").alias("subject"), "m.request_id", "trace_id")
+    held = rules.select("owner", F.col("profile").alias("indexing_profile"), F.col("system").alias("__system"), F.col("entity_type").alias("__type"))
+    fits = (F.split_part("subject", F.lit("."), F.lit(5)) == F.col("__type")) & ((F.col("__system") == "*") | (F.split_part("subject", F.lit("."), F.lit(4)) == F.col("__system")))
+    return rows.join(F.broadcast(held), fits, "left").drop("__system").withColumnRenamed("__type", "entity_type")
+
+
 def append_evidence(old: DataFrame, new: DataFrame) -> DataFrame:
     """M2: every triple is kept, equal ones too."""
     return old.unionByName(new)

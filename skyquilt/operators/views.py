@@ -19,6 +19,8 @@ FEED_TEXTS = {
     "feed.adsb": ("ADS-B projection gate pending", "Graph-backed ADS-B aircraft tracks"),
 }
 OUTSIDE = "Last graph-backed state is outside freshness window"
+# Fixed value: where the map looks when there is nothing to show (lon, lat).
+CENTRE = (-77.0002, 38.9001)
 LIMIT = 500
 
 
@@ -136,10 +138,14 @@ def ordered(view: DataFrame, *by: str) -> DataFrame:
 
 
 def map_bounds(points: DataFrame) -> DataFrame:
-    """T4: the box around points (lon, lat) with its pads and centre."""
+    """T4: the box around points (lon, lat) with its pads and centre; without any, the default box."""
     box = points.agg(*[f(c).alias(f"{n}_{c}") for c in ("lon", "lat") for n, f in (("min", F.min), ("max", F.max))])
-    west, east, south, north = F.col("min_lon") - 0.01, F.col("max_lon") + 0.01, F.col("min_lat") - 0.008, F.col("max_lat") + 0.008
-    return box.select(west.alias("west"), south.alias("south"), east.alias("east"), north.alias("north"), ((F.col("min_lon") + F.col("max_lon")) / 2).alias("lon"), ((F.col("min_lat") + F.col("max_lat")) / 2).alias("lat"))
+    lon, lat = CENTRE
+    edge = lambda c, pad, default: F.coalesce(F.col(c) + pad, F.lit(default))
+    sides = box.select(
+        edge("min_lon", -0.01, lon - 0.02).alias("west"), edge("min_lat", -0.008, lat - 0.02).alias("south"), edge("max_lon", 0.01, lon + 0.02).alias("east"), edge("max_lat", 0.008, lat + 0.02).alias("north"),
+    )
+    return sides.select("*", ((F.col("west") + F.col("east")) / 2).alias("lon"), ((F.col("south") + F.col("north")) / 2).alias("lat"))
 
 
 def nearest(points: DataFrame, lon: float, lat: float, k: int) -> DataFrame:

@@ -79,6 +79,11 @@ def split_rejects(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     return decoded.filter("error is null"), decoded.filter("error is not null")
 
 
+def captured(decoded: DataFrame, feed: str) -> DataFrame:
+    """What the lane and the replay keep of decoded records: rejects too, their headline null, but warnings only after a good parse."""
+    return split_rejects(decoded)[0] if feed == "cap" else decoded
+
+
 def validate_inputs(inputs: DataFrame) -> DataFrame:
     """Adds error: inputs need a name, a reference and a payload."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
