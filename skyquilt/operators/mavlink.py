@@ -148,8 +148,8 @@ def decode(raw: DataFrame, frame: str = "frame") -> DataFrame:
     return raw.mapInArrow(decoded, StructType([*raw.schema.fields, *DECODED]))
 
 
-def sealed(bodies: DataFrame, body: str, extra: str, off: str, frame: str) -> DataFrame:
-    """Adds ``frame``: version 2 frames of bodies without start and checksum. off is added to the checksum: faults, for tests."""
+def sealed(bodies: DataFrame, body: str, extra: str, off: str, frame: str, start: bytes = b"\xfd") -> DataFrame:
+    """Adds ``frame``: version 2 frames (1 with a ``start`` of fe) of bodies without start and checksum. off is added to the checksum: faults, for tests."""
     places = [bodies.columns.index(c) for c in (body, extra, off)]
 
     def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +157,7 @@ def sealed(bodies: DataFrame, body: str, extra: str, off: str, frame: str) -> Da
             column, more, wrong = (batch.column(i) for i in places)
             read = Bytes(column)
             check = (read.checksum(np.arange(len(column)), 0, read.size, more.to_numpy().astype(np.int64)) + wrong.to_numpy()) & 0xFFFF
-            made = [b"\xfd" + b.as_py() + int(c).to_bytes(2, "little") for b, c in zip(column, check)]
+            made = [start + b.as_py() + int(c).to_bytes(2, "little") for b, c in zip(column, check)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, frame])
 
     return bodies.mapInArrow(closed, StructType([*bodies.schema.fields, StructField(frame, BinaryType())]))

@@ -95,15 +95,18 @@ def entities(triples: DataFrame) -> DataFrame:
     return triples.groupBy("subject").agg(F.max("timestamp").alias("updated_at"), F.count("*").alias("n_triples")).withColumn("entity_type", F.split_part("subject", F.lit("."), F.lit(5)))
 
 
-def wide(state: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
-    """M5-M8: chosen predicates as columns; empty text counts as missing, with confidence (the stated one, else the first above 0 in order of writing) and update time resolved."""
+def wide(state: DataFrame, columns: dict[str, str] | None = None, observed: tuple[str, ...] = ("observed_at",), now: Column | None = None) -> DataFrame:
+    """M5-M8: chosen predicates as columns; empty text counts as missing, with confidence (the stated one, else the first above 0 in order of writing) and update time resolved.
+
+    The update time is the first of the columns ``observed`` that can be read, else the last time of all triples, else ``now``.
+    """
     columns = columns or STATE_PREDICATES
     object_ = F.nullif("object", F.lit(""))
     picked = [F.max(F.when(F.col("predicate") == p, object_)).alias(n) for n, p in columns.items()]
     some = F.min_by(F.when(F.col("confidence") > 0, F.col("confidence")), F.when(F.col("confidence") > 0, F.col("place")))
     out = state.groupBy("subject").agg(*picked, F.max("timestamp").alias("__last"), some.alias("__some"))
-    seen = F.coalesce(F.try_to_timestamp("observed_at"), F.col("__last")) if "observed_at" in columns else F.col("__last")
-    out = out.withColumn("updated_at", seen)
+    named = [F.try_to_timestamp(c) for c in observed if c in columns]
+    out = out.withColumn("updated_at", F.coalesce(*named, F.col("__last"), *([now] if now is not None else [])))
     stated = F.col("provenance_confidence").try_cast("double") if "provenance_confidence" in columns else F.lit(None).cast("double")
     return out.withColumn("confidence", F.coalesce(stated, "__some", F.lit(1.0))).drop("__last", "__some")
 

@@ -258,13 +258,27 @@ def inside(lon: Column, lat: Column, ring: Column) -> Column:
     return F.aggregate(edges, F.lit(0), lambda acc, x: acc + x) % 2 == 1
 
 
+#: Sides of the cells that points and hazards meet in, in degrees; a hazard takes the least that covers its box with few of them.
+CELL_SIDES = (1 / 16, 1 / 4, 1, 4, 16, 64, 256)
+FEW = 4
+
+
 def hazard_intersections(points: DataFrame, hazards: DataFrame) -> DataFrame:
-    """(entity_id, hazard_id) of points (subject, lon, lat) in hazards, met on cells of one degree.
+    """(entity_id, hazard_id) of points (subject, lon, lat) in hazards, met on cells as large as each hazard needs.
 
-    A hazard has one row per cell of its box, at most the 64,800 of the globe; a point has one.
+    A hazard has one row for each cell of its box, at most (FEW + 1) ** 2 whatever its size; a point has one for each
+    size of cell. So small hazards meet only points close by, and a hazard over half the globe is not copied to every degree.
     """
-    side = lambda f, c: F.floor(f(F.transform("geometry", lambda p: p[c])))
-    cells = hazards.filter(F.size("geometry") >= 3).select(F.col("subject").alias("hazard_id"), "geometry", F.explode(F.sequence(side(F.array_min, "lon"), side(F.array_max, "lon"))).alias("x"))
-    cells = cells.select("hazard_id", "geometry", "x", F.explode(F.sequence(side(F.array_min, "lat"), side(F.array_max, "lat"))).alias("y"))
-    placed = points.filter("lon is not null and lat is not null").select(F.col("subject").alias("entity_id"), "lon", "lat", F.floor("lon").alias("x"), F.floor("lat").alias("y"))
-    return placed.join(cells, ["x", "y"]).filter(inside(F.col("lon"), F.col("lat"), F.col("geometry"))).select("entity_id", "hazard_id")
+    side = lambda f, c: f(F.transform("geometry", lambda p: p[c]))
+    boxed = hazards.filter(F.size("geometry") >= 3).select(F.col("subject").alias("hazard_id"), "geometry", *[side(f, c).alias(f"{n}_{c}") for c in ("lon", "lat") for n, f in (("min", F.array_min), ("max", F.array_max))])
+    wide = F.greatest(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat"))
+    size = F.lit(float(CELL_SIDES[-1]))
+    for s in reversed(CELL_SIDES[:-1]):
+        size = F.when(wide <= s * FEW, float(s)).otherwise(size)
+    cells = boxed.withColumn("cell", size)
+    for c, at in (("lon", "x"), ("lat", "y")):
+        cells = cells.withColumn(at, F.explode(F.sequence(F.floor(F.col(f"min_{c}") / F.col("cell")), F.floor(F.col(f"max_{c}") / F.col("cell")))))
+    cells = cells.select("hazard_id", "geometry", "cell", "x", "y")
+    placed = points.filter("lon is not null and lat is not null").select(F.col("subject").alias("entity_id"), "lon", "lat", F.explode(F.array(*[F.lit(float(s)) for s in CELL_SIDES])).alias("cell"))
+    placed = placed.withColumns({"x": F.floor(F.col("lon") / F.col("cell")), "y": F.floor(F.col("lat") / F.col("cell"))})
+    return placed.join(cells, ["cell", "x", "y"]).filter(inside(F.col("lon"), F.col("lat"), F.col("geometry"))).select("entity_id", "hazard_id")

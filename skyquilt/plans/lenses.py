@@ -46,6 +46,24 @@ def frames(spark: SparkSession, sf_dir: str, broken: bool = True) -> DataFrame:
     return assign_refs(made, "mavlink", F.col("frame"), ["event_id"]).withColumn("batch", F.lit(0)).withColumn("arrival", F.col("event_id"))
 
 
+def command_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1: commands and their replies: version 2 commands, version 1 replies, every second of those cut behind its result."""
+    df = events(spark, sf_dir)
+    e, k = F.col("event_id"), F.col("k")
+    param = F.element_at(F.array(*[F.lit(r.upper()) for r in ROLLS]), (k % 4 + 1).cast("int"))
+    command = F.concat(param, *[F.lit("00000000")] * 6, little(k * 4, 2), little(e % 250, 1), little(F.lit(1), 1), little(k % 3, 1))
+    reply = F.concat(little(k * 4, 2), little(k % 8, 1), F.when(e % 4 == 1, F.concat(little(k, 1), little(-k * 1000, 4), little(F.lit(9), 1), little(F.lit(8), 1))).otherwise(""))
+    asked = e % 2 == 0
+    payload = F.when(asked, command).otherwise(reply)
+    made = settled(df.withColumn("__payload", payload))
+    size = F.length("__payload") / 2
+    two = F.concat(little(size, 1), F.lit("0000"), little(e, 1), F.lit("0701"), little(F.lit(76), 3), F.col("__payload"))
+    one = F.concat(little(size, 1), little(e, 1), F.lit("0701"), little(F.lit(77), 1), F.col("__payload"))
+    made = settled(made.withColumn("__body", F.unhex(F.when(asked, two).otherwise(one))).withColumn("__extra", F.when(asked, MESSAGES[76][1]).otherwise(MESSAGES[77][1])).withColumn("__off", F.lit(0)).drop("__payload"))
+    parts = [sealed(made.filter(asked), "__body", "__extra", "__off", "frame"), sealed(made.filter(~asked), "__body", "__extra", "__off", "frame", b"\xfe")]
+    return parts[0].unionByName(parts[1]).drop("__body", "__extra", "__off")
+
+
 def cot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2: one XML event per event."""
     df = events(spark, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyquilt.operators.order import before
+from skyquilt.operators.order import before, numbered
 
 SCHEMAS = {
     "mavlink": "Ref string, Source string, ReceivedAt timestamp, Version int, Sequence int, SystemID int, ComponentID int, MessageID int, Checksum int, Frame string",
@@ -33,6 +33,15 @@ def scan_replay(spark: SparkSession, feed: str, path: str) -> DataFrame:
     return raw.withColumn(name, F.when(whole, F.unbase64(name)).otherwise(F.raise_error(F.lit("replay record without ref or payload")).cast("binary")))
 
 
+def replay_rejects(spark: SparkSession, feed: str, path: str) -> DataFrame:
+    """(position, error) of the records that ``scan_replay`` fails on; position: from 1, by line, files in order of their names."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    placed = numbered(lines, "file", "block", "line", name="position").withColumn("r", F.from_json("value", f"{SCHEMAS[feed]}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    blank = lambda c: F.coalesce(F.trim(f"r.{c}"), F.lit("")) == ""
+    error = F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), "malformed").when(blank("Ref"), "no ref").when(blank(PAYLOAD[feed]), "no payload")
+    return placed.select("position", error.alias("error")).filter("error is not null")
+
+
 def append_replay(df: DataFrame, feed: str, path: str) -> None:
     """Append one JSON line per record; refuses records without ref or payload."""
     name = PAYLOAD[feed]

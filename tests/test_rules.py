@@ -120,3 +120,32 @@ def test_mutations_with_assets_and_evidence(spark):
         (1, 0, "create", "create-source-asset-a", "feed.asset", "control", "r1"), (1, 1, "create", "create-track-a", "feed.tak", "signal", "r1"), (2, 1, "update", "update-track-a", "feed.tak", "signal", "r2"),
         (3, 1, "update", "append-hazard-evidence-h", "feed.cap", "content", "r3"), (4, 1, "create", "create-thing-t", None, None, "r4"),
     ]
+
+
+def test_positions_of_bad_replay_records(spark, tmp_path):
+    good = json.dumps({"Ref": "r", "Source": "s", "RawXML": "PGEvPg=="})
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.json").write_text("\n".join([good, json.dumps({"Ref": " ", "RawXML": "PGEvPg=="}), good, "{broken", json.dumps({"Ref": "r5"})]))
+    (tmp_path / "p" / "b.json").write_text(good + "\n" + json.dumps({"RawXML": ""}))
+    assert {r.position: r.error for r in replay.replay_rejects(spark, "cot", str(tmp_path / "p")).collect()} == {2: "no ref", 4: "malformed", 5: "no payload", 7: "no ref"}
+
+
+def test_hazards_of_all_sizes_meet_points_once(spark):
+    import random
+
+    rng = random.Random(2)
+    boxes = [(0.01, 0.01), (0.3, 0.05), (1, 1), (9, 2), (50, 20), (300, 120)]
+    hazards = [(f"h{i}", "l", [(y, x), (y, x + w), (y + h, x + w), (y + h, x)]) for i, (w, h) in enumerate(boxes * 3) for x, y in [(rng.uniform(-170, 170 - w) if w < 300 else -150.0, rng.uniform(-60, 60 - h))]]
+    points = [(f"p{n}", rng.uniform(-180, 180), rng.uniform(-90, 90)) for n in range(200)]
+    points += [(f"q{i}", ring[0][1] + 0.5 * (ring[1][1] - ring[0][1]), ring[0][0] + 0.25 * (ring[2][0] - ring[0][0])) for i, (_, _, ring) in enumerate(hazards)]
+    got = [(r.entity_id, r.hazard_id) for r in views.hazard_intersections(spark.createDataFrame(points, "subject string, lon double, lat double"), spark.createDataFrame(hazards, "subject string, label string, geometry array<struct<lat double, lon double>>")).collect()]
+    want = [(p, h) for p, x, y in points for h, _, ring in hazards if ring[0][1] < x < ring[1][1] and ring[0][0] < y < ring[2][0]]
+    assert sorted(got) == sorted(want) and len(want) > 50
+
+
+def test_update_time_of_a_wide_entity(spark):
+    rows = [("a", "p.one", "2024-01-02T00:00:00Z"), ("a", "p.two", "2024-01-05T00:00:00Z"), ("b", "p.one", "soon"), ("b", "p.two", "2024-01-05T00:00:00Z"), ("c", "p.one", "")]
+    t = spark.createDataFrame([(s, p, o, "time", "x", 0.5, 0, i, 0) for i, (s, p, o) in enumerate(rows)], "subject string, predicate string, object string, object_type string, source string, confidence double, batch int, arrival int, idx int")
+    held = state.current_state(t.withColumn("timestamp", F.when(F.col("subject") != "c", F.timestamp_seconds("arrival"))))
+    w = state.wide(held, {"one": "p.one", "two": "p.two"}, observed=("one", "two"), now=F.timestamp_seconds(F.lit(99)))
+    assert {r.subject: r.updated_at.isoformat() for r in w.collect()} == {"a": "2024-01-02T00:00:00", "b": "2024-01-05T00:00:00", "c": "1970-01-01T00:01:39"}
