@@ -6,7 +6,7 @@ Sketches of any two texts are comparable, however unequal, and merge: the sketch
 their sketches.
 
 Defined results: null and empty texts, and texts of white space alone, have an empty sketch, and two empty
-sketches have likeness 1; a text of fewer than five words is one shingle; equal texts have equal sketches. Documents
+sketches have likeness 1; containment of a text with no hash below the fraction is null; a text of fewer than five words is one shingle; equal texts have equal sketches. Documents
 are ordered by doc_id, null first, ties by text, repeated rows next to each other; a lone document is its own next;
 doc_id must be a whole number, other kinds raise TypeError; an empty table gives an empty result; only doc_id and
 text are read.
@@ -84,8 +84,12 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the first sketch's shingles that the second has too; null where the first is empty."""
-    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a))
+    """Estimated share of the first text's shingles that the second has too, from what the first keeps below the fraction.
+
+    Null where it keeps nothing there: a least hash alone is no sample, as a longer text need not keep it.
+    """
+    low = lambda sk: F.filter(sk, lambda h: F.shiftrightunsigned(h, 64 - SCALE_BITS) == 0)
+    return bind(low(a), lambda mine: F.when(F.size(mine) > 0, F.size(F.array_intersect(mine, b)) / F.size(mine)))
 
 
 def id_ranges(ids: DataFrame, rows: int = ROWS_PER_RANGE) -> list[int]:

@@ -179,6 +179,22 @@ def test_likeness_estimates_the_resemblance(spark):
     assert abs(near - 1 / 3) < 0.06 and abs(inside - 0.5) < 0.08
 
 
+def test_short_texts_inside_long_ones(spark):
+    """A contained text is contained by 1, or not judged; null only where no hash is below the fraction."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for n in (1, 2, 3, 4, 8, 30):
+        for _ in range(40):
+            words = [f"w{k}" for k in rng.integers(0, 10**6, 400)]
+            rows.append((n, " ".join(words[90 : 90 + n + 4]), " ".join(words), " ".join(f"x{w}" for w in words)))
+    df = spark.createDataFrame(rows, "n int, a string, b string, c string")
+    sk = fingerprints.sketch
+    got = df.select("n", fingerprints.containment(sk(df.a), sk(df.b)).alias("inside"), fingerprints.containment(sk(df.a), sk(df.c)).alias("apart"), fingerprints.containment(sk(df.b), sk(df.a)).alias("back")).collect()
+    assert {r.inside for r in got} == {1.0, None} and {r.apart for r in got} == {0.0, None}
+    assert all(r.inside is not None for r in got if r.n == 30) and sum(r.inside is not None for r in got if r.n == 8) > 30
+    assert all(abs(r.back - r.n / 396) < 0.08 for r in got)
+
+
 def brute_sketch(text):
     """The kept hashes, from the definition; xxhash of longs as Spark has it comes from the session in the test."""
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
