@@ -1,6 +1,7 @@
 """Quality rules, line first.
 
 Each line with a word is judged by itself: too many symbols, exclamation in place of sentences, navigation,
+menus of any length (LEAST_SEPARATORS separators or more that are SEPARATOR_PERCENT of the line's words),
 boilerplate phrases in a short line. Failing lines are removed; a document that loses more than LOST of its
 word characters is rejected. So is one that fails the document rules (too few words, repetition).
 
@@ -34,10 +35,11 @@ BOILERPLATE_WORDS = 20
 NAVIGATION = r"([»›→].*){2}"
 NAVIGATION_WORDS = 15
 SHOUT_WORDS = 5
-# Only for kept_documents: what stands between the entries of a menu, and site furniture in the other languages.
+# What stands between the entries of a menu.
 SEPARATORS = ("|", "·", "•", ">", "/", "»", "›", "→")
 LEAST_SEPARATORS = 3
 SEPARATOR_PERCENT = 30
+# Only for kept_documents: site furniture in the other languages.
 BOILERPLATE_ELSEWHERE = (
     r"(?i)(^|[^\p{L}])(alle cookies akzeptieren|cookie-?(richtlinie|einstellungen)|datenschutzerklärung|nutzungsbedingungen|alle rechte vorbehalten|hier klicken|weiterlesen"
     r"|(accepter|gérer) (tous )?les cookies|politique de confidentialité|conditions d'utilisation|tous droits réservés|cliquez ici|lire la suite|mentions légales"
@@ -57,7 +59,7 @@ def line_fails(line: Column, more: Callable[[Column, Column], Column] | None = N
         shouting = (n >= SHOUT_WORDS) & (2 * count_of(line, "!") > n)
         navigation = (n <= NAVIGATION_WORDS) & line.rlike(NAVIGATION)
         boilerplate = (n <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
-        any_rule = symbols | shouting | navigation | boilerplate
+        any_rule = symbols | shouting | navigation | boilerplate | is_menu(line)
         return (n > 0) & (any_rule if more is None else any_rule | more(line, n))
 
     return bind(F.size(words(line)), judged)
@@ -74,8 +76,8 @@ def is_menu(line: Column) -> Column:
 
 
 def line_fails_stage(line: Column) -> Column:
-    """What kept_documents removes: also menus by their separators, and short furniture in the other languages."""
-    return line_fails(line, lambda x, n: is_menu(x) | (n <= BOILERPLATE_WORDS) & x.rlike(BOILERPLATE_ELSEWHERE))
+    """What kept_documents removes: also short furniture in the other languages."""
+    return line_fails(line, lambda x, n: (n <= BOILERPLATE_WORDS) & x.rlike(BOILERPLATE_ELSEWHERE))
 
 
 def repeated_words(tokens: Column) -> Column:
@@ -163,12 +165,15 @@ again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FR
 covered AS (SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n FROM again, (VALUES (0), (1), (2)) AS t(k) WHERE again.n > 1 GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
 judged AS (
-  SELECT doc_id, line, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines),
+  SELECT doc_id, line, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+         len([x FOR x IN regexp_extract_all(line, '[^\x20\x09-\x0D]+') IF x IN ('|', '·', '•', '>', '/', '»', '›', '→')]) AS n_sep
+  FROM lines),
 failed AS (
   SELECT doc_id, line, chars, n, n > 0 AND (
       100 * len(regexp_extract_all(line, '[#*$%&|<>]')) > 20 * chars
       OR (n >= 5 AND 2 * len(regexp_extract_all(line, '!')) > n)
       OR (n <= 15 AND regexp_matches(line, '([»›→].*){2}'))
+      OR (n_sep >= 3 AND 100 * n_sep >= 30 * n)
       OR (n <= 20 AND regexp_matches(line, '(?i)(^|[^a-z])(accept (all )?cookies|cookie (policy|settings)|privacy policy|terms of (use|service)|all rights reserved|enable javascript|click here|sign (in|up)|log ?in|subscribe (now|to our)|skip to (main )?content|share (this|on)|read more)([^a-z]|$)'))
     ) AS bad FROM judged),
 by_line AS (

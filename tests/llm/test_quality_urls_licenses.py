@@ -39,6 +39,12 @@ def test_stage_removes_menus_of_any_length_and_furniture_of_all_languages(spark)
     paths = "see a/b or either / or, 3 > 2 | maybe not in this one sentence of prose"
     texts = [menu, good + "\n" + " · ".join("abcdef"), good + "\nAlle Cookies akzeptieren", good + "\nTous droits réservés", good + "\nIniciar sesión", good + "\n" + paths, good + "\nHome | About", good]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    judged = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame([(0, menu), (1, good + "\n" + menu), (2, good + "\n" + paths), (3, good)], "doc_id long, text string")).collect()}
+    assert judged == {0: False, 1: False, 2: True, 3: True}
+    sql = duckdb.connect()
+    sql.sql("create table documents (doc_id bigint, text varchar)")
+    sql.executemany("insert into documents values (?, ?)", [(0, menu), (1, good + "\n" + menu), (2, good + "\n" + paths), (3, good)])
+    assert dict(sql.sql(f"select doc_id, kept from ({quality.ORACLE})").fetchall()) == judged
     got = {r.doc_id: r.text for r in quality.kept_documents(docs).collect()}
     assert got == {1: good, 2: good, 3: good, 4: good, 5: texts[5], 6: texts[6], 7: good}
 
