@@ -39,10 +39,11 @@ def shared_folder(spark: SparkSession) -> str:
     named = context.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if context.getCheckpointDir() is not None:
+        return context.getCheckpointDir()
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 

@@ -1,18 +1,20 @@
 """Near-duplicates by similarity of word shingles: wide SimHash fingerprints, ball hashing, verified on whole texts.
 
 At a similarity of 0.8 two fingerprints of 64 bits differ in about ten bits, more than balls of any size that can be
-emitted would bridge. So the fingerprint is wider: 64 bits that stand for a text's class, and BLOCKS blocks of
-BLOCK_BITS further bits. In each block every class emits all variants within half of the block's radius of two (itself
+emitted would bridge. So the fingerprint is wider: 64 bits that stand for a text's class, and further blocks, whose
+width grows with the number of rows, so that a variant is met by chance by a bounded number of classes at any size,
+and whose number grows with their width, so that the recall stays (`shape`). In each block every class emits all variants within half of the block's radius of two (itself
 and every single flip); two classes whose blocks differ in two bits or fewer meet in a variant. What meets, and
 differs in at most LIKELY of the 64 bits, is joined by the least spanning forest of those differences, not by all
 pairs. Every tree link is then verified: it stays if the distinct shingles of the two whole texts have a Jaccard
 similarity of SIMILAR or more. Components of the verified links are the groups.
 
-Blocks differ in two bits or fewer with a chance of 0.18 at similarity 0.8 (0.87 over the ten blocks), 0.26 at 0.85
-(0.95), 0.41 at 0.9 (0.99) and 0.65 at 0.95; a link that no block catches is found only by way of other texts.
+The number of blocks is the least with which a lone pair whose bits differ with the chance DIFFER, that of similarity
+0.8, meets with a chance of RECALL or more; a link that no block catches is found only by way of other texts.
 
 Equal texts are one node from the start and are never compared. In a bucket with more than CHUNK classes the forest
-grows over CHUNK of them at a time, each time together with one class of every tree so far.
+grows over CHUNK of them at a time, each time together with one class of every tree so far. The links of a text that
+has more than 1/HOT of them are compared in SALTS parts.
 
 Defined results: null and empty texts, and texts of white space, have no shingle and form one group; a text of fewer
 words than a shingle is one shingle; of each group one row stays, that with the least doc_id, then the least hash of
@@ -22,6 +24,7 @@ its text, null ids last; equal rows count as one; an empty table gives an empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +36,26 @@ from .simhash import components
 
 SHINGLE = 5
 SIMILAR = 0.8
-BLOCKS = 10
-BLOCK_BITS = 28
-LIKELY = 18
+LEAST_BITS = 26
+DIFFER = 0.155
+RECALL = 0.94
+LIKELY = 20
+HOT = 1000
+SALTS = 16
 CHUNK = 8192
 KNOWN_WORDS = 200_000
 ROWS_AT_ONCE = 4096
-_WORDS_WIDE = -(-(64 + BLOCKS * BLOCK_BITS) // 64)
-_SEEDS = np.random.default_rng(5).integers(0, 2**64, _WORDS_WIDE, dtype=np.uint64)
+_SEEDS = np.random.default_rng(5).integers(0, 2**64, 96, dtype=np.uint64)
 _PLACES = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
+def shape(rows: int) -> tuple[int, int]:
+    """(bits of a block, number of blocks) for a table of so many rows."""
+    bits = max(LEAST_BITS, rows.bit_length())
+    meets = sum(comb(bits, d) * DIFFER**d * (1 - DIFFER) ** (bits - d) for d in range(3))
+    return bits, ceil(log(1 - RECALL) / log(1 - meets))
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept while they are few."""
 
@@ -76,19 +88,20 @@ def shingles(text: str | None, hashes: WordHashes, shingle: int = SHINGLE) -> np
     return np.unique(mixed(h))
 
 
-def wide_fingerprint(grams: np.ndarray) -> np.ndarray:
-    """The SimHash bits of a set of shingle hashes, as 0 and 1."""
-    ones = np.zeros(64 * _WORDS_WIDE, np.int64)
+def wide_fingerprint(grams: np.ndarray, bits: int) -> np.ndarray:
+    """The first ``bits`` SimHash bits of a set of shingle hashes, or a few more, as 0 and 1."""
+    seeds = _SEEDS[: -(-bits // 64)]
+    ones = np.zeros(64 * len(seeds), np.int64)
     for at in range(0, len(grams), ROWS_AT_ONCE):
-        part = mixed(grams[at : at + ROWS_AT_ONCE, None] ^ _SEEDS[None, :])
+        part = mixed(grams[at : at + ROWS_AT_ONCE, None] ^ seeds[None, :])
         ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     return (2 * ones > len(grams)).astype(np.uint8)
 
 
-def ball(blocks: np.ndarray) -> np.ndarray:
+def ball(blocks: np.ndarray, bits: int) -> np.ndarray:
     """All variants within one bit of each block, tagged with the block's number. blocks: one row per class."""
-    flips = np.concatenate([np.zeros(1, np.int64), np.int64(1) << np.arange(BLOCK_BITS)])
-    tags = np.arange(blocks.shape[1], dtype=np.int64) << BLOCK_BITS
+    flips = np.concatenate([np.zeros(1, np.int64), np.int64(1) << np.arange(bits)])
+    tags = np.arange(blocks.shape[1], dtype=np.int64) << bits
     return ((blocks.astype(np.int64) | tags)[:, :, None] ^ flips).reshape(len(blocks), -1)
 
 
@@ -144,15 +157,15 @@ def _met(keys: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch({"a": pairs[0].view(np.int64), "b": pairs[1].view(np.int64)})
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Tree links (a, b) between classes (fp long, blocks binary) that meet in a variant."""
+def candidates(classes: DataFrame, bits: int, number: int) -> DataFrame:
+    """Tree links (a, b) between classes (fp long, blocks binary: ``number`` of ``bits`` each) that meet in a variant."""
 
     def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
-                blocks = np.frombuffer(b"".join(part.column("blocks").to_pylist()), "<u4").reshape(part.num_rows, BLOCKS)
-                keys = ball(blocks)
+                blocks = np.frombuffer(b"".join(part.column("blocks").to_pylist()), "<u8").reshape(part.num_rows, number)
+                keys = ball(blocks, bits)
                 yield pa.record_batch({"variant": keys.ravel(), "fp": np.repeat(part.column("fp").to_numpy(), keys.shape[1])})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,17 +182,17 @@ def candidates(classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
-def row_keys(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_hash, fp (long) and blocks (binary) of every row."""
+def row_keys(documents: DataFrame, bits: int, number: int, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, text_hash, fp (long) and blocks (binary: ``number`` of ``bits`` each) of every row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = WordHashes(), (1 << np.arange(BLOCK_BITS)).astype("<u4")
+        hashes, powers = WordHashes(), np.int64(1) << np.arange(bits)
         for batch in batches:
             fps, blocks = [], []
             for text in batch.column("text"):
-                bits = wide_fingerprint(shingles(text.as_py(), hashes, shingle))
-                fps.append(int((bits[:64] * _PLACES).sum(dtype=np.uint64).view(np.int64)))
-                blocks.append((bits[64 : 64 + BLOCKS * BLOCK_BITS].reshape(BLOCKS, BLOCK_BITS) @ powers).astype("<u4").tobytes())
+                wide = wide_fingerprint(shingles(text.as_py(), hashes, shingle), 64 + number * bits)
+                fps.append(int((wide[:64] * _PLACES).sum(dtype=np.uint64).view(np.int64)))
+                blocks.append((wide[64 : 64 + number * bits].reshape(number, bits) @ powers).astype("<u8").tobytes())
             columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(fps, pa.int64()), pa.array(blocks, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "blocks"])
 
@@ -205,8 +218,17 @@ def verified(links: DataFrame, texts: DataFrame, similar: float = SIMILAR, shing
             yield batch.select(["a", "b"]).filter(pa.array(stays, pa.bool_()))
 
     # The links are the smaller side by far: hashed, so that no text is sorted.
-    first = texts.select(F.col("text_hash").alias("a"), F.col("text").alias("text_a")).join(links.hint("shuffle_hash"), "a")
-    second = texts.select(F.col("text_hash").alias("b"), F.col("text").alias("text_b")).join(first.hint("shuffle_hash"), "b")
+    total = links.count()
+    parts = {}
+    for side in "ab":
+        often = links.groupBy(F.col(side).alias("text_hash")).count().filter(F.col("count") * HOT > total + HOT * SALTS)
+        hot = F.broadcast(often.select("text_hash", F.lit(SALTS).alias("parts")))  # fewer than HOT rows, whatever the data
+        parted = texts.join(hot, "text_hash", "left").select("text_hash", "text", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
+        parts[side] = parted.select(F.col("text_hash").alias(side), F.col("text").alias(f"text_{side}"), F.col("salt").alias(f"salt_{side}"))
+        salt = F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("parts")), F.lit(0)).cast("int").alias(f"salt_{side}")
+        links = links.join(hot.withColumnRenamed("text_hash", side), side, "left").select(*[c for c in links.columns if c != side], side, salt)
+    first = parts["a"].join(links.hint("shuffle_hash"), ["a", "salt_a"])
+    second = parts["b"].join(first.hint("shuffle_hash"), ["b", "salt_b"])
     return second.select("a", "b", "text_a", "text_b").mapInArrow(compared, "a long, b long")
 
 
@@ -223,14 +245,15 @@ def _with_keys(documents: DataFrame) -> DataFrame:
 
 def groups(documents: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, bool]:
     """(distinct texts with text_hash and their least row, roots of those in groups of several texts: node, root, whether rows are repeated)."""
-    keyed = row_keys(documents, shingle)
+    bits, number = shape(documents.count())
+    keyed = row_keys(documents, bits, number, shingle)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     by_row = keyed.groupBy("text_hash", "doc_id").agg(F.count("*").alias("rows"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks"))
     distinct = cut(by_row.groupBy("text_hash").agg(F.min(row).alias("least"), F.max("rows").alias("rows"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks")))
     repeated = bool((distinct.agg(F.max("rows")).first()[0] or 0) > 1)
     classes = distinct.groupBy("fp").agg(F.min(F.struct("text_hash", "blocks")).alias("of")).select("fp", F.col("of.text_hash").alias("text_hash"), F.col("of.blocks").alias("blocks"))
     named = classes.select("fp", F.col("text_hash").alias("of"))
-    met = candidates(classes.select("fp", "blocks"))
+    met = candidates(classes.select("fp", "blocks"), bits, number)
     between = met.join(named.select(F.col("fp").alias("a"), F.col("of").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("of").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     within = distinct.select("fp", "text_hash").join(named, "fp").filter("text_hash <> of").select(F.col("text_hash").alias("a"), F.col("of").alias("b"))
     links = cut(between.union(within).distinct(), narrow=True)
