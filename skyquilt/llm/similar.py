@@ -1,20 +1,23 @@
-"""Near-duplicates by similarity of word shingles: wide SimHash fingerprints, ball hashing, verified on whole texts.
-
-At a similarity of 0.8 two fingerprints of 64 bits differ in about ten bits, more than balls of any size that can be
-emitted would bridge. So the fingerprint is wider: 64 bits that stand for a text's class, and further blocks, whose
-width grows with the number of rows, so that a variant is met by chance by a bounded number of classes at any size,
-and whose number grows with their width, so that the recall stays (`shape`). In each block every class emits all variants within half of the block's radius of two (itself
-and every single flip); two classes whose blocks differ in two bits or fewer meet in a variant. What meets, and
-differs in at most LIKELY of the 64 bits, is joined by the least spanning forest of those differences, not by all
-pairs. Every tree link is then verified: it stays if the distinct shingles of the two whole texts have a Jaccard
-similarity of SIMILAR or more. Components of the verified links are the groups.
-
-The number of blocks is the least with which a lone pair whose bits differ with the chance DIFFER, that of similarity
-0.8, meets with a chance of RECALL or more; a link that no block catches is found only by way of other texts.
-
-Equal texts are one node from the start and are never compared. In a bucket with more than CHUNK classes the forest
-grows over CHUNK of them at a time, each time together with one class of every tree so far. The links of a text that
-has more than 1/HOT of them are compared in SALTS parts.
+"""Near-duplicates by similarity of word shingles: an exact join by rare shingles, verified on whole texts.
+
+A text is the set of its distinct shingles; texts of equal sets are one class. All shingles are put in one order, those
+that the fewest classes hold first. Two sets of a Jaccard similarity of SIMILAR or more have a shingle in common among
+the first n - ceil(SIMILAR * n) + 1 of each, n being its size (its prefix), so the classes that share a shingle of
+their prefixes, a bucket, hold every pair that is similar enough, whatever its similarity and whoever else is near.
+Shingles of one class alone are in no bucket, so most texts, whose prefix is made of such, meet nobody. The first
+shingle that two sets share also bounds what they can share after it (`possible`), which spares most comparisons.
+
+Pairs are compared in two rounds. First all pairs of a bucket of up to SMALL classes; of a larger one the pairs of
+each class with the CENTRES that have the fewest rarer shingles, so are the most like all others, and, for chains of
+versions, the least spanning forest of its 64-bit SimHash fingerprints (`bucket_links`). What the verified links join
+needs no more comparison. Then, in the larger buckets, every pair that may be similar enough and is
+not joined yet (`rest`); a bucket with more than BLOCK classes is dealt out by pairs of its parts. So no link that
+joins two groups is left out, and copies and large groups of near copies make no pairs of all with all. Texts that
+share rare shingles, may be similar by their sizes and are not are compared pair by pair; an exact answer needs that.
+
+A link stays if the distinct shingles of the two whole texts have a Jaccard similarity of SIMILAR or more. Components
+of the verified links are the groups. The links of a text that has more than 1/HOT of them are compared in SALTS parts.
+The numbers of classes of shingles count up to MANY and are equal beyond, which bounds what a task holds of a shingle.
 
 Defined results: null and empty texts, and texts of white space, have no shingle and form one group; a text of fewer
 words than a shingle is one shingle; of each group one row stays, that with the least doc_id, then the least hash of
@@ -28,7 +31,7 @@ from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, doc_key
@@ -43,6 +46,12 @@ LIKELY = 20
 HOT = 1000
 SALTS = 16
 CHUNK = 8192
+SMALL = 16
+CENTRES = 2
+BLOCK = 1024
+MANY = 1 << 20
+FEW = 100_000
+SLACK = 1 - 1e-9
 KNOWN_WORDS = 200_000
 ROWS_AT_ONCE = 4096
 _SEEDS = np.random.default_rng(5).integers(0, 2**64, 96, dtype=np.uint64)
@@ -50,7 +59,10 @@ _PLACES = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
 def shape(rows: int) -> tuple[int, int]:
-    """(bits of a block, number of blocks) for a table of so many rows."""
+    """(bits of a block, number of blocks) with which ball hashing finds a pair of similarity 0.8 with a chance of RECALL.
+
+    For tables of so many rows; `groups` is exact and does not use it.
+    """
     bits = max(LEAST_BITS, rows.bit_length())
     meets = sum(comb(bits, d) * DIFFER**d * (1 - DIFFER) ** (bits - d) for d in range(3))
     return bits, ceil(log(1 - RECALL) / log(1 - meets))
@@ -98,13 +110,6 @@ def wide_fingerprint(grams: np.ndarray, bits: int) -> np.ndarray:
     return (2 * ones > len(grams)).astype(np.uint8)
 
 
-def ball(blocks: np.ndarray, bits: int) -> np.ndarray:
-    """All variants within one bit of each block, tagged with the block's number. blocks: one row per class."""
-    flips = np.concatenate([np.zeros(1, np.int64), np.int64(1) << np.arange(bits)])
-    tags = np.arange(blocks.shape[1], dtype=np.int64) << bits
-    return ((blocks.astype(np.int64) | tags)[:, :, None] ^ flips).reshape(len(blocks), -1)
-
-
 def forest(fps: np.ndarray, limit: int = LIKELY) -> tuple[list[int], list[int]]:
     """Links (positions) of the least spanning forest of distinct fingerprints, over differences of at most ``limit`` bits.
 
@@ -141,64 +146,161 @@ def bucket_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _met(keys: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
-    """Links of all buckets in sorted keys."""
-    found = [(np.empty(0, np.uint64), np.empty(0, np.uint64))]
-    if len(keys):
-        heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        sizes = np.diff(np.concatenate([heads, [len(keys)]]))
-        two = heads[sizes == 2]
-        x, y = owners[two], owners[two + 1]
-        near = (np.bitwise_count(x ^ y) <= LIKELY) & (x != y)
-        found.append((x[near], y[near]))
-        found += [bucket_links(owners[at : at + size]) for at, size in zip(heads[sizes > 2], sizes[sizes > 2])]
-    a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-    pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-    return pa.record_batch({"a": pairs[0].view(np.int64), "b": pairs[1].view(np.int64)})
+def possible(n_x: np.ndarray, at_x: np.ndarray, n_y: np.ndarray, at_y: np.ndarray, similar: float) -> np.ndarray:
+    """Whether sets of n_x and n_y shingles can be similar enough if the first that they share stands at those places."""
+    return np.minimum(n_x - at_x, n_y - at_y) >= similar / (1 + similar) * SLACK * (n_x + n_y)
 
 
-def candidates(classes: DataFrame, bits: int, number: int) -> DataFrame:
-    """Tree links (a, b) between classes (fp long, blocks binary: ``number`` of ``bits`` each) that meet in a variant."""
+def _whole(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Sorted rows as columns, no group of the first ``keys`` columns cut, and the place where the group of each row begins."""
+    held = None
+    for batch in batches:
+        part = [c.to_numpy() for c in batch.columns]
+        held = [np.concatenate(x) for x in zip(held, part)] if held else part
+        if not len(held[0]):
+            continue
+        same = np.logical_and.reduce([c == c[-1] for c in held[:keys]])
+        last = len(same) - int(same[::-1].argmin()) if not same.all() else 0
+        if last:
+            yield _begun([c[:last] for c in held], keys)
+            held = [c[last:] for c in held]
+    if held and len(held[0]):
+        yield _begun(held, keys)
 
-    def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
-                blocks = np.frombuffer(b"".join(part.column("blocks").to_pylist()), "<u8").reshape(part.num_rows, number)
-                keys = ball(blocks, bits)
-                yield pa.record_batch({"variant": keys.ravel(), "fp": np.repeat(part.column("fp").to_numpy(), keys.shape[1])})
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners = np.empty(0, np.int64), np.empty(0, np.uint64)
-        for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy()])
-            owners = np.concatenate([owners, batch.column(1).to_numpy().view(np.uint64)])
-            last = np.searchsorted(keys, keys[-1]) if len(keys) else 0
-            yield _met(keys[:last], owners[:last])
-            keys, owners = keys[last:], owners[last:]
-        yield _met(keys, owners)
-
-    dealt = classes.mapInArrow(emitted, "variant long, fp long").repartition("variant").sortWithinPartitions("variant")
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+def _begun(columns: list[np.ndarray], keys: int) -> tuple[list[np.ndarray], np.ndarray]:
+    new = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:keys]])
+    return columns, np.maximum.accumulate(np.where(np.concatenate([[True], new]), np.arange(len(new) + 1), 0))
+
+
+def all_pairs(begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of places in one group, by their distance. begins: where the group of each place begins, ascending."""
+    at, far = np.arange(len(begins)), 1
+    while True:
+        at = at[at + far < len(begins)]
+        at = at[begins[at + far] == begins[at]]
+        if not len(at):
+            return
+        yield at, at + far
+        far += 1
+
+
+def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
 
-def row_keys(documents: DataFrame, bits: int, number: int, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_hash, fp (long) and blocks (binary: ``number`` of ``bits`` each) of every row."""
+def row_keys(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, text_hash, class (hash of the set of shingles), n (their number) and fp (64 SimHash bits, long) of every row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = WordHashes(), np.int64(1) << np.arange(bits)
+        from xxhash import xxh64_intdigest
+
+        hashes = WordHashes()
         for batch in batches:
-            fps, blocks = [], []
+            found = []
             for text in batch.column("text"):
-                wide = wide_fingerprint(shingles(text.as_py(), hashes, shingle), 64 + number * bits)
-                fps.append(int((wide[:64] * _PLACES).sum(dtype=np.uint64).view(np.int64)))
-                blocks.append((wide[64 : 64 + number * bits].reshape(number, bits) @ powers).astype("<u8").tobytes())
-            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(fps, pa.int64()), pa.array(blocks, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "blocks"])
+                grams = shingles(text.as_py(), hashes, shingle)
+                fp = (wide_fingerprint(grams, 64)[:64] * _PLACES).sum(dtype=np.uint64)
+                found.append((xxh64_intdigest(grams.tobytes(), 42), len(grams), int(fp)))
+            classes, sizes, fps = np.array(found, np.uint64).reshape(-1, 3).T.copy().view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *map(pa.array, (classes, sizes, fps))], ["doc_id", "text_hash", "class", "n", "fp"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     text = F.coalesce("text", F.lit(""))
-    return documents.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(hashed, f"doc_id {kind}, text_hash long, fp long, blocks binary")
+    return documents.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(hashed, f"doc_id {kind}, text_hash long, class long, n long, fp long")
+
+
+def prefixes(texts: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
+    """(gram, class, n, at): the shingles of every prefix that another text has too. texts: text_hash and text, one row each.
+
+    ``class`` is the text_hash, ``n`` the number of its shingles, ``at`` the place of this one in the common order.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for name, text in zip(batch.column("text_hash").to_pylist(), batch.column("text")):
+                grams = shingles(text.as_py(), hashes, shingle).view(np.int64)
+                for at in range(0, len(grams), MANY):
+                    part = grams[at : at + MANY]
+                    yield pa.record_batch({"gram": part, "class": np.full(len(part), name, np.int64), "n": np.full(len(part), len(grams), np.int64)})
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many rows have each gram, up to MANY; rows alone with theirs go."""
+        held, often = None, []
+        for batch in batches:
+            part = [c.to_numpy() for c in batch.columns]
+            held = [np.concatenate(x) for x in zip(held, part)] if held else part
+            if not len(held[0]):
+                continue
+            gram = held[0][-1]
+            last = int(np.searchsorted(held[0], gram))
+            if len(held[0]) - last >= MANY or gram in often[-1:]:  # of a gram that has so many rows none is held back
+                often, last = [*often, gram], len(held[0])
+            yield rows([c[:last] for c in held], often)
+            held, often = [c[last:] for c in held], often[-1:]
+        if held and len(held[0]):
+            yield rows(held, often)
+
+    def rows(columns: list[np.ndarray], often: list[int]) -> pa.RecordBatch:
+        heads = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]])) if len(columns[0]) else np.empty(0, np.int64)
+        sizes = np.diff(np.concatenate([heads, [len(columns[0])]]))
+        share = np.minimum(np.repeat(sizes, sizes), MANY)
+        share[np.isin(columns[0], often)] = MANY
+        keep = share > 1
+        return pa.record_batch([pa.array(c[keep]) for c in (*columns, share)], ["gram", "class", "n", "share"])
+
+    dealt = texts.select("text_hash", "text").mapInArrow(split, "gram long, class long, n long").repartition("gram").sortWithinPartitions("gram")
+    # Counted from the end, so that the shingles that no other text has, which come first, are not needed.
+    from_end = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("share"), F.desc("gram")))
+    ranked = dealt.mapInArrow(counted, "gram long, class long, n long, share long").withColumn("from_end", from_end)
+    return ranked.filter(F.col("from_end") >= F.ceil(F.col("n") * (similar * SLACK))).select("gram", "class", "n", (F.col("n") - F.col("from_end")).alias("at"))
+
+
+def candidates(prefix: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """First links (a, b) between the classes of each bucket: all possible ones of small buckets, those with centres and tree links of others.
+
+    prefix: as `prefixes` gives it, with the fingerprint fp of each class.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, name, n, at, fps), begins in _whole(batches, 1):
+            large = np.bincount(begins, minlength=len(begins))[begins] > SMALL
+            small = np.flatnonzero(~large)
+            for x, y in all_pairs(begins[small]):
+                x, y = small[x], small[y]
+                near = possible(n[x], at[x], n[y], at[y], similar)
+                yield _links(name[x[near]], name[y[near]])
+            for head in np.unique(begins[large]):
+                here = np.flatnonzero(begins == head)
+                distinct, first, of = np.unique(fps[here].view(np.uint64), return_index=True, return_inverse=True)
+                a, b = bucket_links(distinct)
+                centres = here[np.lexsort((name[here], at[here]))][:CENTRES]
+                x = np.concatenate([here[first[np.searchsorted(distinct, a)]], here, np.tile(here, len(centres))])
+                y = np.concatenate([here[first[np.searchsorted(distinct, b)]], here[first[of]], np.repeat(centres, len(here))])
+                near = possible(n[x], at[x], n[y], at[y], similar) & (x != y)
+                yield _links(name[x[near]], name[y[near]])
+
+    dealt = prefix.select("gram", "class", "n", "at", "fp").repartition("gram").sortWithinPartitions("gram")
+    return dealt.mapInArrow(meet, "a long, b long").distinct()
+
+
+def rest(prefix: DataFrame, roots: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """All possible links (a, b) of the buckets that are not small, between classes of different roots (node, root)."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j, part, name, n, at, root), begins in _whole(batches, 3):
+            for x, y in all_pairs(begins):
+                near = (root[x] != root[y]) & ((i[x] == j[x]) | (part[x] != part[y])) & possible(n[x], at[x], n[y], at[y], similar)
+                if near.any():
+                    yield _links(name[x[near]], name[y[near]])
+
+    rooted = prefix.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    open_ = rooted.groupBy("gram").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).filter((F.col("rows") > SMALL) & (F.col("low") != F.col("high")))
+    parts = open_.select("gram", F.ceil(F.col("rows") / BLOCK).cast("long").alias("parts"))
+    parted = rooted.join(parts, "gram").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = parted.select("gram", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "class", "n", "at", "root")
+    return dealt.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(meet, "a long, b long").distinct()
 
 
 def verified(links: DataFrame, texts: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
@@ -243,30 +345,40 @@ def _with_keys(documents: DataFrame) -> DataFrame:
     return documents.select(row, doc_key(), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
 
 
+def _texts(documents: DataFrame, classes: DataFrame, repeated: bool, few: bool = False) -> DataFrame:
+    """text_hash (the class) and text of one row of each class. few: so few classes that they may be broadcast."""
+    rows = documents.select(doc_key(), F.xxhash64(F.coalesce("text", F.lit(""))).alias("of"), F.coalesce("text", F.lit("")).alias("text"))
+    wanted = classes.select(doc_key(), F.col("text_hash").alias("of"), F.col("class").alias("text_hash"))
+    return _once(rows.join(wanted.hint("broadcast" if few else "shuffle_hash"), ["__doc", "of"]).select("text_hash", "text"), ["text_hash"], repeated)
+
+
 def groups(documents: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, bool]:
-    """(distinct texts with text_hash and their least row, roots of those in groups of several texts: node, root, whether rows are repeated)."""
-    bits, number = shape(documents.count())
-    keyed = row_keys(documents, bits, number, shingle)
+    """(distinct texts with text_hash, class and their least row, roots of classes in groups of several: node, root, whether rows are repeated)."""
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    by_row = keyed.groupBy("text_hash", "doc_id").agg(F.count("*").alias("rows"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks"))
-    distinct = cut(by_row.groupBy("text_hash").agg(F.min(row).alias("least"), F.max("rows").alias("rows"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks")))
+    same = [F.first(c).alias(c) for c in ("class", "n", "fp")]
+    by_row = row_keys(documents, shingle).groupBy("text_hash", "doc_id").agg(F.count("*").alias("rows"), *same)
+    distinct = cut(by_row.groupBy("text_hash").agg(F.min(row).alias("least"), F.max("rows").alias("rows"), *same))
     repeated = bool((distinct.agg(F.max("rows")).first()[0] or 0) > 1)
-    classes = distinct.groupBy("fp").agg(F.min(F.struct("text_hash", "blocks")).alias("of")).select("fp", F.col("of.text_hash").alias("text_hash"), F.col("of.blocks").alias("blocks"))
-    named = classes.select("fp", F.col("text_hash").alias("of"))
-    met = candidates(classes.select("fp", "blocks"), bits, number)
-    between = met.join(named.select(F.col("fp").alias("a"), F.col("of").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("of").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    within = distinct.select("fp", "text_hash").join(named, "fp").filter("text_hash <> of").select(F.col("text_hash").alias("a"), F.col("of").alias("b"))
-    links = cut(between.union(within).distinct(), narrow=True)
-    nodes = links.select(F.col("a").alias("text_hash")).union(links.select(F.col("b").alias("text_hash"))).distinct()
-    least = distinct.join(nodes, "text_hash", "left_semi").select("text_hash", F.col("least.doc_id").alias("doc_id")).select("text_hash", doc_key())
-    texts = _with_keys(documents).join(least.hint("shuffle_hash"), ["text_hash", "__doc"], "left_semi").select("text_hash", F.coalesce("row.text", F.lit("")).alias("text"))
-    return distinct, components(verified(links, _once(texts, ["text_hash"], repeated), similar, shingle)), repeated
+    classes = distinct.groupBy("class").agg(F.min(F.struct("text_hash", "least.doc_id", "fp")).alias("of")).select("class", "of.*")
+
+    def near(links: DataFrame) -> DataFrame:
+        nodes = links.select(F.col("a").alias("class")).union(links.select(F.col("b").alias("class"))).distinct()
+        named = cut(classes.join(nodes, "class", "left_semi"), narrow=True)
+        return verified(links, _texts(documents, named, repeated, named.count() <= FEW), similar, shingle)
+
+    prefix = cut(prefixes(_texts(documents, classes, repeated), similar, shingle).join(classes.select("class", "fp"), "class"))
+    first = cut(candidates(prefix, similar), narrow=True)
+    roots = components(near(first))
+    more = cut(rest(prefix, roots, similar).join(first, ["a", "b"], "left_anti"), narrow=True)
+    if not more.isEmpty():
+        roots = components(near(more).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return distinct, roots, repeated
 
 
 def one_of_each(documents: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
     """The documents without near-duplicates: one row of each group."""
     distinct, roots, repeated = groups(documents, similar, shingle)
-    rooted = distinct.join(roots, F.col("text_hash") == F.col("node"), "left").select(F.coalesce("root", "text_hash").alias("root"), "least")
+    rooted = distinct.join(roots, F.col("class") == F.col("node"), "left").select(F.coalesce("root", "class").alias("root"), "least")
     stays = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("doc_id"), F.col("least.text_hash").alias("text_hash")).select(doc_key(), "text_hash")
     kept = _once(_with_keys(documents).join(stays.hint("shuffle_hash"), ["text_hash", "__doc"], "left_semi"), ["text_hash", "__doc"], repeated)
     return kept.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])

@@ -113,3 +113,63 @@ def test_large_buckets_stay_joined(monkeypatch):
     monkeypatch.setattr(similar, "CHUNK", 7)
     a, b = similar.bucket_links(fps)
     assert len(a) == len(fps) - 1 and len(set(a.tolist()) | set(b.tolist())) == len(fps)
+
+
+def kept_of(spark, texts):
+    return {r.doc_id for r in similar.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def least_of_groups(texts):
+    least = {}
+    for k, g in enumerate(brute_groups(texts)):
+        least.setdefault(g, k)
+    return set(least.values())
+
+
+def lone_pairs(rng):
+    for k in range(250):
+        words = [f"v{rng.randrange(5000)}" for _ in range(100 + k)]
+        yield from (" ".join(words), edited(words, 1 + k % 5 * (100 + k) // 200, rng))
+
+
+def test_no_lone_pair_is_left_out(spark):
+    texts = list(lone_pairs(random.Random(11)))
+    want = least_of_groups(texts)
+    near = [jaccard(*texts[k : k + 2]) for k in range(0, len(texts), 2)]
+    assert sum(0.8 <= j < 0.83 for j in near) >= 15 and sum(0.77 < j < 0.8 for j in near) >= 10
+    assert kept_of(spark, texts) == want
+
+
+def family(words, size, changes, rng):
+    """Edits of one text, of which some pairs are above the limit and others just below."""
+    base = [f"b{rng.random()}" for _ in range(words)]
+    return [edited(base, changes(k), rng) for k in range(size)]
+
+
+def test_no_link_of_a_family_is_left_out(spark):
+    """Links that are in no spanning forest of fingerprints count too."""
+    rng = random.Random(12)
+    texts = [t for f in range(20) for t in family(90 + 5 * f, 24, lambda k: k % 5, rng)]
+    texts += ["a b c", "A b C", "a b", "a b c d e f", "a b c d e f g", "", "  ", *family(5, 8, lambda k: k % 2, rng), *family(30, 40, lambda k: k % 2, rng)]
+    want = least_of_groups(texts)
+    assert len(want) > 80 and kept_of(spark, texts) == want
+
+
+def test_all_pairs_of_large_buckets_and_frequent_shingles(spark, monkeypatch):
+    """Small limits: forests, parts of buckets and shingles too frequent to be counted."""
+    for name, value in (("SMALL", 3), ("BLOCK", 5), ("MANY", 8), ("FEW", 0)):
+        monkeypatch.setattr(similar, name, value)
+    rng = random.Random(13)
+    shared = " ".join(f"common{k}" for k in range(60))
+    texts = [t for f in range(5) for t in family(100, 40, lambda k: 1 + k % 4, rng)] + [f"{shared} own{k} {shared[: 9 * k]} end{k}" for k in range(60)]
+    want = least_of_groups(texts)
+    assert 3 < len(want) < 200 and kept_of(spark, texts) == want
+
+
+def test_the_second_round_compares_what_is_not_joined(spark, monkeypatch):
+    """Without any first link all pairs that may be similar enough are found, each group by its own links."""
+    monkeypatch.setattr(similar, "SMALL", 2)
+    monkeypatch.setattr(similar, "CENTRES", 0)
+    monkeypatch.setattr(similar, "bucket_links", lambda fps: (fps[:0], fps[:0]))
+    texts = family(100, 60, lambda k: 1 + k % 4, random.Random(14))
+    assert kept_of(spark, texts) == least_of_groups(texts)
