@@ -4,7 +4,8 @@ A text is the set of its distinct shingles; texts of equal sets are one class. A
 that the fewest classes hold first. Two sets of a Jaccard similarity of SIMILAR or more have a shingle in common among
 the first n - ceil(SIMILAR * n) + 1 of each, n being its size (its prefix), so the classes that share a shingle of
 their prefixes, a bucket, hold every pair that is similar enough, whatever its similarity and whoever else is near.
-Shingles of one class alone are in no bucket, so most texts, whose prefix is made of such, meet nobody. The first
+Shingles of one class alone are in no bucket, so most texts, whose prefix is made of such, meet nobody; most of those
+are told by their first shingles in the order of the hashes before any shingle is counted for the order (`sharers`). The first
 shingle that two sets share also bounds what they can share after it (`possible`), which spares most comparisons.
 
 Pairs are compared in two rounds. First all pairs of a bucket of up to SMALL classes; of a larger one the pairs of
@@ -210,10 +211,11 @@ def row_keys(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return documents.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(hashed, f"doc_id {kind}, text_hash long, class long, n long, fp long")
 
 
-def prefixes(texts: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
-    """(gram, class, n, at): the shingles of every prefix that another text has too. texts: text_hash and text, one row each.
+def shared(texts: DataFrame, shingle: int = SHINGLE, similar: float | None = None) -> DataFrame:
+    """(gram, class, n, share): shingles that several texts have, and how many do. texts: text_hash and text, one row each.
 
-    ``class`` is the text_hash, ``n`` the number of its shingles, ``at`` the place of this one in the common order.
+    ``class`` is the text_hash, ``n`` the number of its shingles. With ``similar`` only the first shingles of each text by
+    their hashes are taken: n - ceil(similar * n), and a quarter of similar * n more.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,9 +223,11 @@ def prefixes(texts: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE)
         for batch in batches:
             for name, text in zip(batch.column("text_hash").to_pylist(), batch.column("text")):
                 grams = shingles(text.as_py(), hashes, shingle).view(np.int64)
-                for at in range(0, len(grams), MANY):
-                    part = grams[at : at + MANY]
-                    yield pa.record_batch({"gram": part, "class": np.full(len(part), name, np.int64), "n": np.full(len(part), len(grams), np.int64)})
+                n = len(grams)
+                taken = n if similar is None else n - ceil(similar * SLACK * n) + ceil(similar * SLACK * n / 4)
+                for at in range(0, taken, MANY):
+                    part = grams[at : min(taken, at + MANY)]
+                    yield pa.record_batch({"gram": part, "class": np.full(len(part), name, np.int64), "n": np.full(len(part), n, np.int64)})
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How many rows have each gram, up to MANY; rows alone with theirs go."""
@@ -251,9 +255,24 @@ def prefixes(texts: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE)
         return pa.record_batch([pa.array(c[keep]) for c in (*columns, share)], ["gram", "class", "n", "share"])
 
     dealt = texts.select("text_hash", "text").mapInArrow(split, "gram long, class long, n long").repartition("gram").sortWithinPartitions("gram")
+    return dealt.mapInArrow(counted, "gram long, class long, n long, share long")
+
+
+def sharers(texts: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
+    """class: the texts that may have a similar one, by their first shingles alone.
+
+    Of what two similar sets share, the first k stand in the first n - ceil(similar * n) + k of both. k is a quarter of
+    similar * n for the smaller set, which has at least similar times as many shingles as the other.
+    """
+    counts = shared(texts, shingle, similar).groupBy("class", "n").count()
+    return counts.filter(F.col("count") >= F.ceil(F.col("n") * (similar * similar / 4 * SLACK))).select("class")
+
+
+def prefixes(texts: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
+    """(gram, class, n, at): the shingles of every prefix that another text has too; ``at`` is the place in the common order."""
     # Counted from the end, so that the shingles that no other text has, which come first, are not needed.
     from_end = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("share"), F.desc("gram")))
-    ranked = dealt.mapInArrow(counted, "gram long, class long, n long, share long").withColumn("from_end", from_end)
+    ranked = shared(texts, shingle).withColumn("from_end", from_end)
     return ranked.filter(F.col("from_end") >= F.ceil(F.col("n") * (similar * SLACK))).select("gram", "class", "n", (F.col("n") - F.col("from_end")).alias("at"))
 
 
@@ -366,7 +385,8 @@ def groups(documents: DataFrame, similar: float = SIMILAR, shingle: int = SHINGL
         named = cut(classes.join(nodes, "class", "left_semi"), narrow=True)
         return verified(links, _texts(documents, named, repeated, named.count() <= FEW), similar, shingle)
 
-    prefix = cut(prefixes(_texts(documents, classes, repeated), similar, shingle).join(classes.select("class", "fp"), "class"))
+    some = cut(classes.join(sharers(_texts(documents, classes, repeated), similar, shingle), "class", "left_semi"), narrow=True)
+    prefix = cut(prefixes(_texts(documents, some, repeated, some.count() <= FEW), similar, shingle).join(some.select("class", "fp"), "class"))
     first = cut(candidates(prefix, similar), narrow=True)
     roots = components(near(first))
     more = cut(rest(prefix, roots, similar).join(first, ["a", "b"], "left_anti"), narrow=True)
