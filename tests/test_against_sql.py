@@ -49,3 +49,39 @@ def test_quiet_frames_stay_broken(spark):
     made = spark.createDataFrame([(bytes([1, 2, a, b]),) for a, b in ends], "frame binary").select(lenses.without_start(F.col("frame")).alias("f"))
     for (a, b), r in zip(ends, made.collect()):
         assert bytes(r.f[:2]) == b"\x01\x02" and bytes(r.f[2:]) != bytes([a, b]) and not set(r.f[2:]) & {0xFD, 0xFE}
+
+
+def test_deep_classes_are_walked_through_once(spark, monkeypatch):
+    """One look for deep messages, whatever their depth, and the same rows and errors as by expressions."""
+    from skyquilt.operators import sapient
+
+    node, ulid = "00000000-0000-4000-8000-00000000000a", "0" * 25 + "Z"
+    message = lambda classes: f'{{"timestamp":"2024-01-01T00:00:00Z","nodeId":"{node}","detectionReport":{{"reportId":"{ulid}","objectId":"{ulid}","rangeBearing":{{"coordinateSystem":"A","datum":"B"}},"classification":{classes}}}}}'
+    chain = lambda n, last='"level":1': '[{"type":"t","level":0,"subClass":' * n + '[{"type":"e",%s}]' % last + "}]" * n
+    odd = ["[]", "null", "7", "{}", "[1]", "[null]", '["a"]', '[{"type":" "}]', '[{"type":3}]', '[{"type":" a ","confidence":"0.5"}]', '[{"type":"a","confidence":"x"}]', '[{"type":"a","confidence":true}]', '[{"type":"a","confidence":null}]', '[{"type":"a","confidence":1e-1}]',
+           '[{"type":"a","confidence":[1]}]', '[{"type":"a","level":"9"}]', '[{"type":"a","level":1.5}]', '[{"type":"a","subClass":null}]', '[{"type":"a","subClass":{}}]', '[{"type":"a","subClass":[]}]', '[{"type":"a","subClass":[{"type":"b"}]}]', '[{"type":"a","subClass":[{"type":"b","level":"1.0"}]}]',
+           '[{"type":"a","subClass":[{"type":"b","level":1.5}]}]', '[{"type":"a","subClass":[{"type":"b","level":true}]}]', '[{"type":"a","subClass":[{"type":"b","level":" 2 "},{"type":"c","level":-3,"subClass":[{"type":"d","level":12345678901}]}]},{"type":"z"}]',
+           '[{"type":"a","subClass":[{"type":"b","level":"NaN"}]}]', chain(4), chain(4, '"level":"x"'), chain(3, '"level":1,"subClass":3')]
+    shape = "n int, raw_payload string"
+    shown = lambda d: sorted((r.n, r.error, r.detection and [tuple(c) for c in r.detection.classes]) for r in d.collect())
+    plain = spark.createDataFrame(list(enumerate(map(message, odd))), shape)
+    want = shown(sapient.decode(plain))
+    assert sum(e is None for _, e, _ in want) >= 9 and sum(e == "bad class" for _, e, _ in want) >= 15
+    deep = spark.createDataFrame([(100, message(chain(60))), (101, message(chain(60, '"level":0.5'))), (102, None)], shape)
+    spark.sparkContext.setJobGroup("deep", "")
+    decoded = sapient.decode(plain.unionByName(deep))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("deep")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = shown(decoded)
+    assert got[:-3] == want and [g[1] for g in got[-3:]] == [None, "bad class", "malformed"] and len(jobs) <= 3
+    assert got[-3][2] == [("0" + ".0" * i, "t" if i < 60 else "e", None, int(i == 60)) for i in range(61)]
+
+
+def test_one_row_group_is_dealt_out(spark, tmp_path):
+    """What is made of each row costs more than the row, so the file does not set the number of tasks."""
+    rows = [(k, k % 7, 20 * k + 1, k + 2) for k in range(200)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/t/lineitem.parquet")
+    busy = lenses.nested_messages(spark, f"{tmp_path}/t").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert busy == 4
+    got, want = both(spark, "d14_nested_classes", f"{tmp_path}/t", ["lineitem"])
+    assert got == want and len(got) > 1000
