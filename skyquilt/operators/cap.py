@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyquilt.functions.text import entity_id, entity_token, first_text, freshness_status
+from skyquilt.functions.text import entity_id, entity_token, first_text, freshness_status, once
 from skyquilt.operators.state import latest_property
 from skyquilt.operators.triples import provenance, settled, to_triples
 
@@ -22,21 +22,24 @@ ROOT = r"^\s*(<\?xml[^>]*\?>)?\s*<(\w+:)?alert[\s>/]"
 
 def polygon(text: Column) -> Column:
     """array<struct<lat, lon>> of at least three points in range; null if it is no polygon."""
-    def point(pair: Column) -> Column:
-        p = F.split(pair, ",")
+    def point(p: Column) -> Column:
         return F.struct(F.get(p, F.lit(0)).try_cast("double").alias("lat"), F.get(p, F.lit(1)).try_cast("double").alias("lon"), (F.size(p) == 2).alias("two"))
 
-    points = F.transform(F.split(F.trim(text), r"\s+"), point)
-    good = F.forall(points, lambda x: F.coalesce(x["two"] & x["lat"].between(-90, 90) & x["lon"].between(-180, 180), F.lit(False)))
-    return F.when(good & (F.size(points) >= 3), F.transform(points, lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))))
+    def ring(points: Column) -> Column:
+        good = F.forall(points, lambda x: F.coalesce(x["two"] & x["lat"].between(-90, 90) & x["lon"].between(-180, 180), F.lit(False)))
+        return F.when(good & (F.size(points) >= 3), F.transform(points, lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))))
+
+    return once(F.transform(F.split(F.trim(text), r"\s+"), lambda pair: once(F.split(pair, ","), point)), ring)
 
 
 def circle(text: Column) -> Column:
     """struct<lat, lon, radius_km>; null if it is no circle with a radius."""
-    parts = F.split(F.trim(text), r"[\s,]+")
-    lat, lon, km = [F.get(parts, F.lit(i)).try_cast("double") for i in range(3)]
-    good = (F.size(parts) == 3) & lat.between(-90, 90) & lon.between(-180, 180) & (km > 0)
-    return F.when(good, F.struct(lat.alias("lat"), lon.alias("lon"), km.alias("radius_km")))
+    def read(c: Column) -> Column:
+        good = (c["n"] == 3) & c["lat"].between(-90, 90) & c["lon"].between(-180, 180) & (c["radius_km"] > 0)
+        return F.when(good, F.struct(*[c[n].alias(n) for n in ("lat", "lon", "radius_km")]))
+
+    parts = lambda p: F.struct(F.size(p).alias("n"), *[F.get(p, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(("lat", "lon", "radius_km"))])
+    return once(once(F.split(F.trim(text), r"[\s,]+"), parts), read)
 
 
 def _text(value: Column) -> Column:
@@ -66,6 +69,11 @@ def _info(i: Column) -> Column:
     )
 
 
+def _any_bad(given: Column, read: Column, name: str) -> Column:
+    """Whether a time is given, not blank, and could not be read."""
+    return (_text(given[name]) != "") & read[name].isNull()
+
+
 def decode(raw: DataFrame, xml: str = "raw_xml") -> DataFrame:
     """Header, ``infos`` (all blocks with all areas and resources), the first info and its first area as columns, advisory text and error.
 
@@ -78,15 +86,18 @@ def decode(raw: DataFrame, xml: str = "raw_xml") -> DataFrame:
     df = df.withColumns({n: text(n) for n in ("event", "urgency", "severity", "certainty", "headline", "description", "instruction", "senderName")}).withColumn("area_desc", F.trim("__a.areaDesc"))
     df = df.withColumns({n: F.try_to_timestamp(c) for n, c in {"sent": F.col("sent_text"), "effective": text("effective"), "expires": text("expires")}.items()})
     df = df.withColumns({"alert_source": _text(F.col("__c.source")), "references": _text(F.col("__c.references")), "infos": F.transform("__c.info", _info)})
-    df = df.withColumn("polygons", F.transform("__a.polygon", polygon)).withColumn("circles", F.transform("__a.circle", circle))
-    df = df.withColumn("geocodes", _pairs(F.col("__a.geocode"))).withColumn("parameters", _pairs(F.col("__i.parameter")))
-    df = settled(df)
+    df = settled(df)  # so that every shape and list is read once
+    first = F.get("infos", F.lit(0))
+    area = F.get(first["areas"], F.lit(0))
+    given = {c: F.when(F.col(f"__a.{c[:-1]}").isNotNull(), area[c]) for c in ("polygons", "circles")}
+    none = F.array().cast("array<struct<name string, value string>>")
+    df = df.withColumns(given | {"geocodes": F.coalesce(area["geocodes"], none), "parameters": F.coalesce(first["parameters"], none)})
     joined = F.array_join(F.array_compact(F.array("headline", "description", "instruction")), "\n\n")
     df = df.withColumn("advisory_text", first_text(joined, F.col("event"), F.col("identifier")))
     missing = F.greatest(*[F.col(n).isNull() for n in head])
-    bad_time = F.exists("__c.info", lambda i: (F.coalesce(F.trim(i["effective"]), F.lit("")) != "") & F.try_to_timestamp(i["effective"]).isNull() | (F.coalesce(F.trim(i["expires"]), F.lit("")) != "") & F.try_to_timestamp(i["expires"]).isNull())
-    areas = F.flatten(F.transform("__c.info", lambda i: F.coalesce(i["area"], F.array())))
-    bad_shape = F.exists(areas, lambda a: F.exists(F.coalesce(a["polygon"], F.array()), lambda p: polygon(p).isNull()) | F.exists(F.coalesce(a["circle"], F.array()), lambda c: circle(c).isNull()))
+    times = F.zip_with("__c.info", "infos", lambda i, x: _any_bad(i, x, "effective") | _any_bad(i, x, "expires"))
+    bad_time = F.exists(times, lambda bad: bad)
+    bad_shape = F.exists("infos", lambda i: F.exists(i["areas"], lambda a: F.exists(a["polygons"], lambda p: p.isNull()) | F.exists(a["circles"], lambda c: c.isNull())))
     malformed = F.col("__c").isNull() | F.col("__c._corrupt_record").isNotNull() | ~F.col(xml).rlike(ROOT)
     error = F.when(malformed, "malformed").when(missing, "missing header").when(F.coalesce(F.size("__c.info"), F.lit(0)) < 1, "no info").when(F.col("sent").isNull() | bad_time, "bad time").when(bad_shape, "bad shape")
     whole = settled(df.withColumn("error", error).drop("__c", "__i", "__a", "sent_text"))

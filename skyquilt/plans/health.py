@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skyquilt.functions.folders import stored
 from skyquilt.functions.text import entity_id, entity_token
 from skyquilt.operators import cap, contracts, cot, health, mavlink, runs, state
 from skyquilt.plans import lenses
@@ -72,6 +73,8 @@ def p21(spark, sf_dir):
     hazard = entity_id(F.lit(ORG), F.lit(PLATFORM), "cap", "hazard_area", entity_token(F.col("identifier")))
     alerts = cap.decode(lenses.warning_histories(spark, sf_dir)).filter("error is null").withColumn("subject", hazard)
     asset = entity_id(F.lit(ORG), F.lit(PLATFORM), F.lit("tak"), F.lit("asset"), entity_token(F.col("uid")))
+    # births read the sightings twice, the decoding is done once
+    seen, events, alerts = [stored(rows.select("batch", "arrival", "ref", "subject", *more)) for rows, more in ((seen, ["system_id"]), (events, ["uid", "route"]), (alerts, ["identifier"]))]
     log = state.mutations(state.plan_births(seen), F.col("system_id").cast("string"), rules, mavlink.subject_of(ORG, PLATFORM, "asset"))
     log = log.unionByName(state.mutations(state.plan_births(events), entity_token(F.col("uid")), rules, F.when(F.col("route") == "track", asset)))
     log = log.unionByName(state.mutations(state.plan_births(alerts), entity_token(F.col("identifier")), rules))

@@ -85,3 +85,20 @@ def test_one_row_group_is_dealt_out(spark, tmp_path):
     assert busy == 4
     got, want = both(spark, "d14_nested_classes", f"{tmp_path}/t", ["lineitem"])
     assert got == want and len(got) > 1000
+
+
+def small_tables(spark, folder, n=60):
+    sf_dir = events_in(spark, folder, [(k, 5 * k % 37, ("view", "click", "purchase", "signup", "error")[k % 5], k * 7 % 30) for k in range(n)])
+    rows = [(k, k % 9, "FOP"[k % 3], datetime(1995, 1 + k % 12, 3), "1-URGENT") for k in range(n)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string").coalesce(1).write.parquet(f"{folder}/orders.parquet")
+    return sf_dir
+
+
+def test_births_do_not_decode_again(spark, tmp_path):
+    """What is read twice for births has been decoded and stored before: the plan of the result neither parses XML nor reads frames."""
+    sf_dir = small_tables(spark, tmp_path / "t")
+    planned = lambda df: df._jdf.queryExecution().optimizedPlan().toString().lower()
+    plan = planned(entry.queries()["p21_all_mutations"](spark, sf_dir))
+    assert "from_xml" not in plan and "fromxml" not in plan and "xmltostructs" not in plan and "mapinarrow" not in plan
+    got, want = both(spark, "p21_all_mutations", sf_dir, ["events", "orders"])
+    assert got == want and len(got) > 100
