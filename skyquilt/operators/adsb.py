@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyquilt.functions.folders import stored
 from skyquilt.functions.text import entity_id, entity_token, wkt_point
 from skyquilt.operators.triples import provenance, settled, time_text, to_triples
 
@@ -30,12 +31,14 @@ def position_source_label(code: Column) -> Column:
 def decode(raw: DataFrame, key: str, text: str = "raw_json") -> DataFrame:
     """One row per state vector of a good snapshot (``key`` names it); one bad row rejects its snapshot.
 
-    Rejected snapshots give one row with an error and no state.
+    Rejected snapshots give one row with an error and no state. No row holds the text of its snapshot, which would grow
+    with the square of the states in it. The states are read once and stored.
     """
     v = F.try_parse_json(F.col(text))
-    base = settled(raw.withColumn("__v", v)).withColumn("snapshot_time", F.try_variant_get("__v", "$.time", "bigint")).withColumn("__s", F.try_variant_get("__v", "$.states", "array<variant>"))
+    base = settled(raw.withColumn("__v", v).drop(text)).withColumn("snapshot_time", F.try_variant_get("__v", "$.time", "bigint")).withColumn("__s", F.try_variant_get("__v", "$.states", "array<variant>"))
     head = F.when(F.col("__v").isNull(), "malformed").when(F.coalesce("snapshot_time", F.lit(0)) <= 0, "no time").when(F.col("__s").isNull(), "no states")
-    rows = base.withColumn("__head", head).select("*", F.posexplode_outer(F.when(head.isNull(), F.col("__s"))).alias("state_no", "__row"))
+    plain = [c for c in raw.columns if c != text]
+    rows = base.select(*plain, "snapshot_time", head.alias("__head"), F.posexplode_outer(F.when(head.isNull(), F.col("__s"))).alias("state_no", "__row"))
     rows = settled(rows.withColumn("__a", F.try_variant_get("__row", "$", "array<variant>")))
     bad: list[Column] = []
     for name, at, kind, required in FIELDS:
@@ -50,8 +53,8 @@ def decode(raw: DataFrame, key: str, text: str = "raw_json") -> DataFrame:
             bad.append(F.col(name).isNull() if kind == "string" else F.coalesce(F.col(name) <= 0, F.lit(True)))
     wrong = F.coalesce(F.size("__a") < LEAST, F.lit(True)) | reduce(lambda x, y: x | y, bad)
     error = F.coalesce("__head", F.when(F.col("state_no").isNotNull() & wrong, "bad state"))
-    rows = settled(rows.withColumn("error", error)).drop("__v", "__s", "__row", "__a", "__head")
-    rows = rows.withColumn("time_position", F.when(F.col("time_position") > 0, F.col("time_position")))
+    rows = rows.withColumn("error", error).drop("__row", "__a", "__head")
+    rows = stored(rows.withColumn("time_position", F.when(F.col("time_position") > 0, F.col("time_position"))))
     spoiled = rows.filter("error is not null").groupBy(key).agg(F.min("error").alias("__bad"))
     joined = rows.join(spoiled, key, "left")
     good = joined.filter("__bad is null and state_no is not null").drop("__bad")

@@ -102,3 +102,27 @@ def test_births_do_not_decode_again(spark, tmp_path):
     assert "from_xml" not in plan and "fromxml" not in plan and "xmltostructs" not in plan and "mapinarrow" not in plan
     got, want = both(spark, "p21_all_mutations", sf_dir, ["events", "orders"])
     assert got == want and len(got) > 100
+
+
+def test_states_do_not_carry_their_snapshot(spark):
+    """The bytes that decoding stores grow with the states of a snapshot, not with their square."""
+    from skyquilt.operators import adsb
+
+    state = '["a1b2c3","Call","Land",null,1704067200,-77.25,10.5,null,false,5.125,180.5,null,null,null,null,false,1]'
+    made = lambda n: spark.createDataFrame([(1, '{"time":1704067200,"states":[%s]}' % ",".join([state] * n)), (2, '{"time":1704067200,"states":[%s,[]]}' % state)], "slot int, raw_json string")
+    decoded = adsb.decode(made(300), "slot")
+    assert "raw_json" not in decoded.columns and "parse_json" not in decoded._jdf.queryExecution().optimizedPlan().toString().lower()
+    rows = decoded.collect()
+    assert sorted((r.slot, r.state_no) for r in rows if r.error is None) == [(1, i) for i in range(300)]
+    assert [(r.slot, r.state_no, r.error, r.icao24) for r in rows if r.error] == [(2, None, "bad state", None)]
+
+
+def test_triples_of_births_are_made_of_stored_sightings(spark, tmp_path):
+    from skyquilt.plans import catalog
+
+    sf_dir = small_tables(spark, tmp_path / "t")
+    for triples in (catalog.vehicle_triples(spark, sf_dir), catalog.operator_triples(spark, sf_dir)):
+        plan = triples._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "mapinarrow" not in plan and "from_xml" not in plan and "xmltostructs" not in plan and triples.count() > 50
+    got, want = both(spark, "t1_all_feeds", sf_dir, ["events", "orders"])
+    assert got == want and len(got) > 20
