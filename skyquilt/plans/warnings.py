@@ -65,9 +65,9 @@ def p15(spark, sf_dir):
 )
 def v5(spark, sf_dir):
     """Hazards from the evidence of all messages, appended in two parts; times tie within a quarter, then the later message wins."""
-    t = cap.project(cap.decode(lenses.warning_histories(spark, sf_dir)), ORG, PLATFORM, 0.5, KEEP)
-    odd = F.col("arrival") % 2 == 1
-    h = cap.hazards_of_evidence(state.append_evidence(t.filter(odd), t.filter(~odd)), now(), window())
+    raw, odd = lenses.warning_histories(spark, sf_dir), F.col("arrival") % 2 == 1
+    old, new = [cap.project(cap.decode(part), ORG, PLATFORM, 0.5, KEEP) for part in (raw.filter(odd), raw.filter(~odd))]
+    h = cap.hazards_of_evidence(state.append_evidence(old, new), now(), window())
     return h.select("subject", "label", "kind", "severity", "status", F.size("geometry").alias("n_points"), F.date_format("updated_at", "yyyy-MM-dd HH:mm").alias("updated"), "confidence", "source_ref")
 
 
